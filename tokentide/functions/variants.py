@@ -1,0 +1,69 @@
+"""Typed reads from parsed JSON.
+
+Log fields are schema-on-read: a field of the wrong JSON type counts as absent.
+A VARIANT column keeps the JSON type, so a text "12" is not read as a number.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def parse(text: Column) -> Column:
+    """VARIANT of a JSON text; NULL when blank or malformed."""
+    return F.try_parse_json(text)
+
+
+def node(j: Column, path: str) -> Column:
+    return F.try_variant_get(j, path, "variant")
+
+
+def _type(j: Column, path: str) -> Column:
+    return F.schema_of_variant(node(j, path))
+
+
+def has(j: Column, path: str) -> Column:
+    """True when the key is present, even with a JSON null."""
+    return node(j, path).isNotNull()
+
+
+def is_null_or_absent(j: Column, path: str) -> Column:
+    return node(j, path).isNull() | F.is_variant_null(node(j, path))
+
+
+def is_object(j: Column, path: str) -> Column:
+    return F.coalesce(_type(j, path).startswith("OBJECT"), F.lit(False))
+
+
+def text(j: Column, path: str) -> Column:
+    return F.when(_type(j, path) == "STRING", F.try_variant_get(j, path, "string"))
+
+
+def integer(j: Column, path: str) -> Column:
+    return F.when(_type(j, path) == "BIGINT", F.try_variant_get(j, path, "bigint"))
+
+
+def count(j: Column, path: str) -> Column:
+    """A non-negative integer, else NULL."""
+    value = integer(j, path)
+    return F.when(value >= 0, value)
+
+
+def count_or_zero(j: Column, path: str) -> Column:
+    return F.coalesce(count(j, path), F.lit(0).cast("bigint"))
+
+
+def number(j: Column, path: str) -> Column:
+    kind = _type(j, path)
+    numeric = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+    return F.when(numeric, F.try_variant_get(j, path, "double"))
+
+
+def flag(j: Column, path: str) -> Column:
+    value = F.when(_type(j, path) == "BOOLEAN", F.try_variant_get(j, path, "boolean"))
+    return F.coalesce(value, F.lit(False))
+
+
+def first_present(j: Column, *paths: str) -> Column:
+    """The node of the first path whose key is present (a JSON null counts)."""
+    return F.coalesce(*[node(j, p) for p in paths])
