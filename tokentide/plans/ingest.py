@@ -36,6 +36,16 @@ def finish_grok(rows: DataFrame, fact: DataFrame, prices: DataFrame, **device: s
     return finish(drop_near_activity(rows, fact), fact, prices, **device)
 
 
+def rollout_tables(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged (records, threads, events) of rollout logs.
+
+    Logs are parsed once into a narrow table that all later steps read.
+    """
+    records = staged(rollout_records(lines), "records")
+    threads = staged(resolve_parents(classify_threads(records), records, chunk_rows), "threads")
+    return records, threads, staged(token_events(records, chunk_rows), "events")
+
+
 def rollout_rows(
     lines: DataFrame,
     ingest_ts: int,
@@ -45,12 +55,9 @@ def rollout_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(usage rows, threads) of rollout logs, replayed history removed.
 
-    Logs are parsed once into a narrow staged table that all later steps read.
     Deltas need the log from its start, so cursors only limit what is emitted.
     """
-    records = staged(rollout_records(lines), "records")
-    threads = staged(resolve_parents(classify_threads(records), records, chunk_rows), "threads")
-    events = staged(token_events(records, chunk_rows), "events")
+    records, threads, events = rollout_tables(lines, chunk_rows)
     prefixes = replay_prefix(threads, events, parent_timeline(records), chunk_rows)
     rows = rollout_usage(drop_replayed(events, threads, prefixes), ingest_ts)
     if cursors is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reports", "prices")
+_MODULES = ("reports", "prices", "logs")
 
 
 def all_queries():

@@ -340,7 +340,7 @@ _LISTED = f"""listed AS (SELECT * FROM updated UNION ALL SELECT * FROM added
   FROM local WHERE model_id NOT IN (SELECT model_id FROM updated))"""
 _REFRESH = f"{_CATALOG}, {_UPDATED}, {_ADDED}, {_LISTED}"
 
-_POINTS = f"""WITH raw AS (
+_POINTS = f"""WITH raw_points AS (
   SELECT o_orderkey AS point_no, {sql_case('o_custkey % 7', POINT_MODELS)} AS model,
          {sql_case('o_orderkey % 7', POINT_EFFORTS)} AS effort,
          CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) / 3000 END AS iq,
@@ -351,7 +351,7 @@ _POINTS = f"""WITH raw AS (
 valid AS (
   SELECT point_no, model, effort, iq, CASE WHEN price >= 0 THEN price END AS average_price_usd,
          CASE WHEN minutes >= 0 THEN minutes END AS average_minutes, total
-  FROM raw WHERE iq BETWEEN 0 AND 150 AND model <> '' AND effort <> '' AND total > 0
+  FROM raw_points WHERE iq BETWEEN 0 AND 150 AND model <> '' AND effort <> '' AND total > 0
 ),
 reliable AS (SELECT * FROM valid WHERE model LIKE 'gpt-%' AND total >= 30)"""
 
