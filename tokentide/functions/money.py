@@ -7,14 +7,21 @@ from pyspark.sql import Column, functions as F
 from ..schema import MONEY, PRICE
 from .tokens import billable_input
 
-ZERO_MONEY = F.lit(0).cast(MONEY)
-_MILLIONTH = F.lit("0.000001").cast("decimal(6,6)")
-_TICK = F.lit("0.0000000001").cast("decimal(10,10)")
+def no_money() -> Column:
+    return F.lit(0).cast(MONEY)
+
+
+def _millionth() -> Column:
+    return F.lit("0.000001").cast("decimal(6,6)")
+
+
+def _tick() -> Column:
+    return F.lit("0.0000000001").cast("decimal(10,10)")
 
 
 def component(tokens: Column, per_million: Column) -> Column:
     """tokens x price / 1e6 by multiplication, so the scale stays exact."""
-    return (tokens.cast("decimal(12,0)") * per_million.cast(PRICE) * _MILLIONTH).cast(MONEY)
+    return (tokens.cast("decimal(12,0)") * per_million.cast(PRICE) * _millionth()).cast(MONEY)
 
 
 def cost_columns(multiplier: Column | None = None) -> dict[str, Column]:
@@ -46,7 +53,7 @@ def per_million(text: Column) -> Column:
 
 def ticks(count: Column) -> Column:
     """Reported cost in ticks of 1e-10; NULL when nothing was reported."""
-    return F.when(count > 0, (count.cast("decimal(19,0)") * _TICK).cast(MONEY))
+    return F.when(count > 0, (count.cast("decimal(19,0)") * _tick()).cast(MONEY))
 
 
 def parse_usd(text: Column) -> Column:

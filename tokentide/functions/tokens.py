@@ -13,7 +13,8 @@ from ..schema import (
     TOKEN_COLUMNS,
 )
 
-ZERO = F.lit(0).cast("bigint")
+def zero() -> Column:
+    return F.lit(0).cast("bigint")
 
 
 def cache_inclusive(app: Column | None = None) -> Column:
@@ -31,7 +32,7 @@ def fresh_input() -> Column:
     cached = (
         F.when(cache_inclusive() & (kind == SEMANTICS_TOTAL), read + written)
         .when(cache_inclusive() & (kind == SEMANTICS_LEGACY), read)
-        .otherwise(ZERO)
+        .otherwise(zero())
     )
     return F.when((kind != SEMANTICS_FRESH) & (given >= cached), given - cached).otherwise(given)
 
@@ -43,7 +44,7 @@ def real_total() -> Column:
 def billable_input(app: Column | None = None) -> Column:
     """Input tokens charged at the input price; never below zero."""
     net = F.col("input_tokens") - F.col("cache_read_tokens") - F.col("cache_creation_tokens")
-    return F.when(cache_inclusive(app), F.greatest(net, ZERO)).otherwise(F.col("input_tokens"))
+    return F.when(cache_inclusive(app), F.greatest(net, zero())).otherwise(F.col("input_tokens"))
 
 
 def is_billable() -> Column:
@@ -51,11 +52,11 @@ def is_billable() -> Column:
 
 
 def clamp(value: Column) -> Column:
-    return F.greatest(ZERO, F.least(value, F.lit(MAX_TOKEN_COUNT).cast("bigint")))
+    return F.greatest(zero(), F.least(value, F.lit(MAX_TOKEN_COUNT).cast("bigint")))
 
 
 def saturating_minus(current: Column, previous: Column) -> Column:
-    return F.greatest(current - F.coalesce(previous, ZERO), ZERO)
+    return F.greatest(current - F.coalesce(previous, zero()), zero())
 
 
 def is_success() -> Column:

@@ -9,11 +9,8 @@ from ..functions.names import effective_model, provider_name
 from ..functions.times import bucket_label, event_date, is_hourly
 from ..functions.tokens import fresh_input, is_success, real_total
 
-_ZERO = F.lit(0).cast("bigint")
-
-
 def _total(column: Column | str) -> Column:
-    return F.coalesce(F.sum(column), _ZERO)
+    return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -24,7 +24,8 @@ from ..schema import (
 )
 from .filters import UsageQuery, apply_filters, in_range
 
-_ANY_CACHE = F.lit(-1).cast("bigint")
+def _any_cache() -> Column:
+    return F.lit(-1).cast("bigint")
 
 
 def _source() -> Column:
@@ -73,7 +74,7 @@ def _proxy_side(usage: DataFrame, width: int, by_device: bool) -> DataFrame:
         F.lower("model").alias("_model"),
         "created_at",
         *([F.col("device_id").alias("_device")] if by_device else []),
-    ).select("*", F.explode(F.array(F.col("_written"), _ANY_CACHE)).alias("_cache"))
+    ).select("*", F.explode(F.array(F.col("_written"), _any_cache())).alias("_cache"))
     return near_buckets(rows, keys, width)
 
 
@@ -94,7 +95,7 @@ def drop_proxied(
     left = rows.withColumns(
         {
             "_cand": F.coalesce(candidate, F.lit(False)),
-            "_key_cache": F.when(open_cache & (F.col("cache_creation_tokens") == 0), _ANY_CACHE).otherwise(
+            "_key_cache": F.when(open_cache & (F.col("cache_creation_tokens") == 0), _any_cache()).otherwise(
                 F.col("cache_creation_tokens")
             ),
             "_key_bucket": bucket_of(F.col("created_at"), width),

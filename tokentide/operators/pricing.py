@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.money import ZERO_MONEY, cost_columns, per_million
+from ..functions.money import cost_columns, no_money, per_million
 from ..functions.names import catalog_key, strip_day
 from ..schema import (
     COST_COLUMNS,
@@ -97,12 +97,12 @@ def price_usage(rows: DataFrame, prices: DataFrame, **lookup) -> DataFrame:
     """
     priced = with_prices(rows, prices, **lookup)
     found = F.col("priced_as").isNotNull()
-    costs = {n: F.when(found, c).otherwise(ZERO_MONEY) for n, c in cost_columns().items()}
+    costs = {n: F.when(found, c).otherwise(no_money()) for n, c in cost_columns().items()}
     if "reported_cost" in rows.columns:
         reported, whole = F.col("reported_cost"), F.col("reported_replaces") == "all"
         trusted = reported.isNotNull() & (~found | ~F.col("reported_partial") | whole)
         for name in COST_COLUMNS[:4]:
-            costs[name] = F.when(reported.isNotNull() & whole, ZERO_MONEY).otherwise(costs[name])
+            costs[name] = F.when(reported.isNotNull() & whole, no_money()).otherwise(costs[name])
         costs["total_cost_usd"] = F.when(trusted, reported).otherwise(costs["total_cost_usd"])
     drop = [*PRICE_COLUMNS, "priced_as", "reported_cost", "reported_replaces", "reported_partial"]
     return priced.withColumns(costs).drop(*drop)

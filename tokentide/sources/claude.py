@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import variants as V
+from ..functions import logs as J
 from ..functions.names import request_key
 from ..functions.times import rfc3339_seconds
 from ..functions.tokens import is_billable
 from ..operators.merge import best_per_key
 from ..schema import SOURCE_CLAUDE
 
+_LINE = """type string, sessionId variant, timestamp string, message struct<id:variant,model:variant,
+stop_reason:variant,usage:struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,
+cache_creation_input_tokens:bigint>>"""
+
 
 def claude_usage(lines: DataFrame, ingest_ts: int) -> DataFrame:
     """Usage rows from (file_path, line_no, value).
@@ -20,29 +24,32 @@ def claude_usage(lines: DataFrame, ingest_ts: int) -> DataFrame:
     is the first session id of the file, if that came no later than the row.
     """
     j = F.col("j")
-    parsed = lines.filter(F.trim("value") != "").select("file_path", "line_no", V.parse(F.col("value")).alias("j"))
+    place = ("file_path", "line_no")
 
-    has_session = parsed.filter(V.text(j, "$.sessionId").isNotNull())
-    sessions = has_session.groupBy("file_path").agg(
-        F.min_by(V.text(j, "$.sessionId"), "line_no").alias("_session"), F.min("line_no").alias("_since")
+    named = J.parsed(lines.filter(F.col("value").contains("sessionId")), "value", "sessionId variant", *place)
+    sessions = (
+        J.computed(named, list(place), {"session": J.text(j["sessionId"])})
+        .filter("session is not null")
+        .groupBy("file_path")
+        .agg(F.min_by("session", "line_no").alias("_session"), F.min("line_no").alias("_since"))
     )
 
-    turns = parsed.filter(
-        (V.text(j, "$.type") == "assistant")
-        & V.text(j, "$.message.id").isNotNull()
-        & V.has(j, "$.message.usage")
-    ).select(
-        "file_path",
-        "line_no",
-        V.text(j, "$.message.id").alias("message_id"),
-        F.coalesce(V.text(j, "$.message.model"), F.lit("unknown")).alias("model"),
-        V.count_or_zero(j, "$.message.usage.input_tokens").alias("input_tokens"),
-        V.count_or_zero(j, "$.message.usage.output_tokens").alias("output_tokens"),
-        V.count_or_zero(j, "$.message.usage.cache_read_input_tokens").alias("cache_read_tokens"),
-        V.count_or_zero(j, "$.message.usage.cache_creation_input_tokens").alias("cache_creation_tokens"),
-        V.text(j, "$.message.stop_reason").isNotNull().alias("finished"),
-        V.text(j, "$.timestamp").alias("at"),
-    )
+    logged = J.parsed(lines.filter(F.col("value").contains("assistant")), "value", _LINE, *place)
+    message, usage = j["message"], j["message"]["usage"]
+    turns = J.computed(
+        logged.filter((j["type"] == "assistant") & usage.isNotNull()),
+        list(place),
+        {
+            "message_id": J.text(message["id"]),
+            "model": F.coalesce(J.text(message["model"]), F.lit("unknown")),
+            "input_tokens": J.count_or_zero(usage["input_tokens"]),
+            "output_tokens": J.count_or_zero(usage["output_tokens"]),
+            "cache_read_tokens": J.count_or_zero(usage["cache_read_input_tokens"]),
+            "cache_creation_tokens": J.count_or_zero(usage["cache_creation_input_tokens"]),
+            "finished": J.text(message["stop_reason"]).isNotNull(),
+            "at": j["timestamp"],
+        },
+    ).filter("message_id is not null")
     best = best_per_key(
         turns,
         ["file_path", "message_id"],

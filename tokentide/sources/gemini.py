@@ -4,39 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import variants as V
+from ..functions import logs as J
 from ..functions.names import request_key
 from ..functions.times import rfc3339_seconds
 from ..schema import SEMANTICS_LEGACY, SOURCE_GEMINI
 
+_CHAT = """sessionId variant, messages array<struct<id:variant,type:string,model:variant,timestamp:string,
+tokens:struct<input:bigint,output:bigint,cached:bigint,thoughts:bigint>>>"""
+_COUNTS = ("input", "output", "cached", "thoughts")
+
 
 def gemini_usage(documents: DataFrame, ingest_ts: int) -> DataFrame:
     """Usage rows from (file_path, value)."""
     j, m = F.col("j"), F.col("m")
-    chats = documents.select("file_path", V.parse(F.col("value")).alias("j"))
-    messages = chats.select(
-        "file_path",
-        V.text(j, "$.sessionId").alias("session_id"),
-        F.posexplode(F.try_variant_get(j, "$.messages", "array<variant>")).alias("line_no", "m"),
-    ).filter((V.text(m, "$.type") == "gemini") & V.has(m, "$.tokens"))
-    tokens = {n: V.count_or_zero(m, f"$.tokens.{n}") for n in ("input", "output", "cached", "thoughts")}
+    messages = (
+        J.parsed(documents, "value", _CHAT, "file_path")
+        .select("file_path", j["sessionId"].alias("session"), F.posexplode(j["messages"]).alias("line_no", "m"))
+        .filter((m["type"] == "gemini") & m["tokens"].isNotNull())
+    )
     unknown = F.lit("unknown")
-    rows = messages.withColumns({f"_{n}": c for n, c in tokens.items()}).filter(
-        F.greatest(*[F.col(f"_{n}") for n in tokens]) > 0
+    rows = J.computed(
+        messages.filter(F.greatest(*[J.count_or_zero(m["tokens"][n]) for n in _COUNTS]) > 0),
+        ["file_path", "line_no"],
+        {
+            "session_id": J.text(F.col("session")),
+            "message_id": F.coalesce(J.text(m["id"]), unknown),
+            "model": F.coalesce(J.text(m["model"]), unknown),
+            "at": m["timestamp"],
+            **{f"_{n}": J.count_or_zero(m["tokens"][n]) for n in _COUNTS},
+        },
     )
-    model = F.coalesce(V.text(m, "$.model"), unknown)
     return rows.select(
         "file_path",
         F.col("line_no").cast("bigint").alias("line_no"),
-        request_key(
-            "gemini_session",
-            F.coalesce(F.col("session_id"), unknown),
-            F.coalesce(V.text(m, "$.id"), unknown),
-        ).alias("request_id"),
+        request_key("gemini_session", F.coalesce("session_id", unknown), F.col("message_id")).alias("request_id"),
         F.lit("_gemini_session").alias("provider_id"),
         F.lit("gemini").alias("app_type"),
-        model.alias("model"),
-        model.alias("request_model"),
+        "model",
+        F.col("model").alias("request_model"),
         F.col("_input").alias("input_tokens"),
         (F.col("_output") + F.col("_thoughts")).alias("output_tokens"),
         F.col("_cached").alias("cache_read_tokens"),
@@ -44,6 +49,6 @@ def gemini_usage(documents: DataFrame, ingest_ts: int) -> DataFrame:
         F.lit(SEMANTICS_LEGACY).alias("input_token_semantics"),
         "session_id",
         F.lit(SOURCE_GEMINI).alias("provider_type"),
-        F.coalesce(rfc3339_seconds(V.text(m, "$.timestamp")), F.lit(ingest_ts).cast("bigint")).alias("created_at"),
+        F.coalesce(rfc3339_seconds(F.col("at")), F.lit(ingest_ts).cast("bigint")).alias("created_at"),
         F.lit(SOURCE_GEMINI).alias("data_source"),
     )

@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import variants as V
+from ..functions import logs as J
 from ..functions.money import ticks
 from ..functions.names import request_key
 from ..functions.times import mixed_epoch
 from ..functions.tokens import clamp
 from ..operators.ordered import CHUNK_ROWS, running
 from ..schema import SEMANTICS_TOTAL, SETTLE_WINDOW_SECONDS, SOURCE_GROK
+from ..session import staged
 
 _METHOD = "_x.ai/session/update"  # fixed value
-_USAGE = "$.params.update.usage"
-_MODEL_MAP = "map<string,variant>"
+_COUNTERS = """inputTokens:bigint,outputTokens:bigint,cachedReadTokens:bigint,apiDurationMs:bigint,
+costUsdTicks:bigint,costIsPartial:boolean"""
+_LINE = f"""method string, timestamp variant, params struct<update:struct<sessionUpdate:variant,prompt_id:variant,
+usage:struct<{_COUNTERS},modelUsage:map<string,struct<{_COUNTERS}>>>>>"""
 
 
 def grok_events(lines: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Parsed turns with their position in the file."""
     j = F.col("j")
-    kind = V.text(j, "$.params.update.sessionUpdate")
-    parsed = lines.filter(F.col("value").contains("session") & F.col("value").contains("usage")).select(
-        "file_path", "line_no", V.parse(F.col("value")).alias("j")
+    update = j["params"]["update"]
+    usable = F.col("value").contains("session") & F.col("value").contains("usage")
+    updates = J.parsed(lines.filter(usable), "value", _LINE, "file_path", "line_no").filter(
+        (j["method"] == _METHOD) & update["usage"].isNotNull()
     )
-    events = parsed.filter(
-        (V.text(j, "$.method") == _METHOD)
-        & (kind.isNull() | (kind == "turn_completed"))
-        & V.is_object(j, _USAGE)
-    ).select(
-        "file_path",
-        "line_no",
-        mixed_epoch(V.integer(j, "$.timestamp"), V.text(j, "$.timestamp")).alias("created_at"),
-        F.coalesce(V.text(j, "$.params.update.prompt_id"), F.lit("")).alias("prompt_id"),
-        V.node(j, _USAGE).alias("usage"),
+    events = J.computed(
+        updates,
+        ["file_path", "line_no"],
+        {
+            "kind": J.text(update["sessionUpdate"]),
+            "created_at": mixed_epoch(J.integer(j["timestamp"]), J.text(j["timestamp"])),
+            "prompt_id": F.coalesce(J.text(update["prompt_id"]), F.lit("")),
+            "usage": update["usage"],
+        },
     )
-    timed = events.filter(F.col("created_at").isNotNull())
-    placed = running(timed, ["file_path"], "line_no", count={"_n": F.lit(True)}, chunk_rows=chunk_rows)
+    timed = events.filter(
+        (F.col("kind").isNull() | (F.col("kind") == "turn_completed")) & F.col("created_at").isNotNull()
+    ).drop("kind")
+    # Numbering reads its input twice; the logs are parsed once.
+    placed = running(staged(timed, "turns"), ["file_path"], "line_no", count={"_n": F.lit(True)}, chunk_rows=chunk_rows)
     return placed.withColumn("event_no", F.col("_n") - 1).drop("_n")
 
 
@@ -55,29 +61,24 @@ def deferred_files(events: DataFrame, as_of: int, window: int = SETTLE_WINDOW_SE
     return events.filter(F.lit(as_of) - F.col("created_at") < window).select("file_path").distinct()
 
 
-def _counter(name: str) -> Column:
-    return V.count_or_zero(F.col("c"), f"$.{name}")
-
-
 def grok_usage(events: DataFrame) -> DataFrame:
     """Usage rows of (settled) events; the session is the folder of the file."""
-    usage = F.col("usage")
-    per_model = F.when(
-        V.is_object(usage, "$.modelUsage"), F.try_variant_get(usage, "$.modelUsage", _MODEL_MAP)
-    )
-    models = F.when(F.size(per_model) > 0, per_model).otherwise(F.create_map(F.lit("unknown"), usage))
+    usage, c = F.col("usage"), F.col("c")
+    names = ("inputTokens", "outputTokens", "cachedReadTokens", "apiDurationMs", "costUsdTicks", "costIsPartial")
+    whole = F.create_map(F.lit("unknown"), F.struct(*[usage[n].alias(n) for n in names]))
+    per_model = F.when(F.size(usage["modelUsage"]) > 0, usage["modelUsage"]).otherwise(whole)
     rows = events.select(
         "file_path",
         "event_no",
         "created_at",
         "prompt_id",
-        V.flag(usage, "$.costIsPartial").alias("_partial"),
-        F.explode(models).alias("model", "c"),
+        F.coalesce(usage["costIsPartial"], F.lit(False)).alias("_partial"),
+        F.explode(per_model).alias("model", "c"),
     ).select(
         "*",
-        _counter("inputTokens").alias("_input"),
-        _counter("outputTokens").alias("_output"),
-        _counter("cachedReadTokens").alias("_cached"),
+        J.count_or_zero(c["inputTokens"]).alias("_input"),
+        J.count_or_zero(c["outputTokens"]).alias("_output"),
+        J.count_or_zero(c["cachedReadTokens"]).alias("_cached"),
     )
     rows = rows.filter(F.greatest("_input", "_output", "_cached") > 0)
     folder = F.element_at(F.split("file_path", "/"), -2)
@@ -95,12 +96,12 @@ def grok_usage(events: DataFrame) -> DataFrame:
         clamp(F.col("_cached")).alias("cache_read_tokens"),
         F.lit(0).cast("bigint").alias("cache_creation_tokens"),
         F.lit(SEMANTICS_TOTAL).alias("input_token_semantics"),
-        _counter("apiDurationMs").alias("latency_ms"),
+        J.count_or_zero(c["apiDurationMs"]).alias("latency_ms"),
         folder.alias("session_id"),
         F.lit(SOURCE_GROK).alias("provider_type"),
         "created_at",
         F.lit(SOURCE_GROK).alias("data_source"),
-        ticks(_counter("costUsdTicks")).alias("reported_cost"),
+        ticks(J.count(c["costUsdTicks"])).alias("reported_cost"),
         F.lit("total").alias("reported_replaces"),
-        (F.col("_partial") | V.flag(F.col("c"), "$.costIsPartial")).alias("reported_partial"),
+        (F.col("_partial") | F.coalesce(c["costIsPartial"], F.lit(False))).alias("reported_partial"),
     )

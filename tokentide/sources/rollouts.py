@@ -4,37 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import variants as V
+from ..functions import logs as J
 from ..functions.names import UUID_PATTERN, request_key, thread_id, thread_model
 from ..functions.times import rfc3339, rfc3339_seconds
-from ..functions.tokens import ZERO, clamp, saturating_minus
+from ..functions.tokens import clamp, saturating_minus, zero
 from ..operators.ordered import CHUNK_ROWS, running
 from ..schema import SEMANTICS_LEGACY, SOURCE_CODEX
 
-_TOTAL = "$.payload.info.total_token_usage"
-_LAST = "$.payload.info.last_token_usage"
+_USAGE = """struct<input_tokens:bigint,cached_input_tokens:variant,cache_read_input_tokens:bigint,
+output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"""
+_LINE = f"""type string, timestamp string, payload struct<type:string,id:variant,thread_id:variant,threadId:variant,
+forked_from_id:variant,source:struct<subagent:struct<thread_spawn:struct<parent_thread_id:variant>>>,model:variant,
+info:struct<model:variant,model_name:variant,total_token_usage:{_USAGE},last_token_usage:{_USAGE}>>"""
 
 
-def _counter(j: Column, base: str, *names: str) -> Column:
-    """Count under the first name that is present; a present non-number is no count."""
-    value = V.first_present(j, *[f"{base}.{n}" for n in names])
-    return V.count(value, "$")
+def _counters(usage: Column) -> Column:
+    """The five counters of a usage object.
+
+    Cached tokens come from the first of two keys that is present, even if its
+    value is no number.
+    """
+    first = usage["cached_input_tokens"]
+    cached = F.when(first.isNotNull(), J.integer(first)).otherwise(usage["cache_read_input_tokens"])
+    return F.when(
+        usage.isNotNull(),
+        F.struct(
+            J.count(usage["input_tokens"]).alias("input"),
+            J.count(cached).alias("cached"),
+            J.count(usage["output_tokens"]).alias("output"),
+            J.count(usage["reasoning_output_tokens"]).alias("reasoning"),
+            J.count(usage["total_tokens"]).alias("total"),
+        ),
+    )
 
 
-def _signature(j: Column, base: str) -> Column:
-    fields = [
-        _counter(j, base, "input_tokens"),
-        _counter(j, base, "cached_input_tokens", "cache_read_input_tokens"),
-        _counter(j, base, "output_tokens"),
-        _counter(j, base, "reasoning_output_tokens"),
-        _counter(j, base, "total_tokens"),
-    ]
-    joined = F.concat_ws(",", *[F.coalesce(f.cast("string"), F.lit("-")) for f in fields])
-    return F.when(V.is_object(j, base), joined).otherwise(F.lit("none"))
+def _signature(counters: str) -> Column:
+    names = ("input", "cached", "output", "reasoning", "total")
+    values = [F.coalesce(F.col(f"{counters}.{n}").cast("string"), F.lit("-")) for n in names]
+    return F.when(F.col(counters).isNotNull(), F.concat_ws(",", *values)).otherwise(F.lit("none"))
+
+
+def _clean(v: Column) -> Column:
+    return F.nullif(F.trim(J.text(v)), F.lit(""))
 
 
 def rollout_records(lines: DataFrame) -> DataFrame:
-    """One narrow row per relevant line of (file_path, file_name, line_no, value).
+    """One narrow row per line of (file_path, file_name, line_no, value) that is JSON.
 
     kind: meta, model, token or other; ``other`` rows only carry the time, which
     tells how far a parent log has been written.
@@ -43,70 +58,79 @@ def rollout_records(lines: DataFrame) -> DataFrame:
     has_event = value.contains('"event_msg"')
     tagged = has_event | value.contains('"turn_context"') | value.contains('"session_meta"')
     own = tagged & (~has_event | value.contains('"token_count"'))
-
-    kind = V.text(j, "$.type")
-    is_count = (
-        (kind == "event_msg")
-        & (V.text(j, "$.payload.type") == "token_count")
-        & ~V.is_null_or_absent(j, "$.payload.info")
-        & (V.is_object(j, _TOTAL) | V.is_object(j, _LAST))
-    )
-    has_total = V.has(j, _TOTAL)
-    base_is_object = F.when(has_total, V.is_object(j, _TOTAL)).otherwise(V.is_object(j, _LAST))
-
-    def used(*names: str) -> Column:
-        return F.coalesce(
-            F.when(has_total, _counter(j, _TOTAL, *names)).otherwise(_counter(j, _LAST, *names)), ZERO
-        )
-
-    context_model = V.text(V.first_present(j, "$.payload.model", "$.payload.info.model"), "$")
-    event_model = V.text(
-        V.first_present(j, "$.payload.info.model", "$.payload.info.model_name", "$.payload.model"), "$"
-    )
-    meta_id = V.first_present(j, "$.payload.id", "$.payload.thread_id", "$.payload.threadId")
-
-    parsed = lines.select("file_path", "file_name", "line_no", "value", V.parse(value).alias("j")).filter(
-        j.isNotNull()
-    )
-    row_kind = (
-        F.when(own & (kind == "session_meta"), "meta")
-        .when(own & (kind == "turn_context"), "model")
-        .when(is_count, "token")
-        .otherwise("other")
-    )
-    is_token, is_meta = F.col("kind") == "token", F.col("kind") == "meta"
-    return (
-        parsed.withColumn("kind", row_kind)
-        .select(
-            "file_path",
-            thread_id(F.col("file_name")).alias("thread_id"),
-            "line_no",
-            "kind",
-            V.text(j, "$.timestamp").alias("at"),
-            F.when(F.col("kind") == "model", thread_model(context_model))
-            .when(is_token, thread_model(event_model))
-            .alias("model"),
-            F.when(is_token, F.concat_ws("|", _signature(j, _TOTAL), _signature(j, _LAST))).alias("signature"),
-            (is_token & base_is_object).alias("counted"),
-            (is_token & has_total).alias("is_total"),
-            F.when(is_token, used("input_tokens")).alias("input"),
-            F.when(is_token, used("cached_input_tokens", "cache_read_input_tokens")).alias("cached"),
-            F.when(is_token, used("output_tokens")).alias("output"),
-            F.when(
+    marked = lines.select("file_path", "file_name", "line_no", "value", own.alias("own"))
+    logged = J.parsed(marked, "value", _LINE, "file_path", "file_name", "line_no", "own", "value")
+
+    payload, info = j["payload"], j["payload"]["info"]
+    total, last = info["total_token_usage"], info["last_token_usage"]
+    is_count = (j["type"] == "event_msg") & (payload["type"] == "token_count")
+    is_meta = F.col("own") & (j["type"] == "session_meta")
+    is_context = F.col("own") & (j["type"] == "turn_context")
+    # A total that is present but no object still counts as present.
+    info_keys = F.json_object_keys(F.get_json_object("value", "$.payload.info"))
+    names_total = F.coalesce(F.array_contains(info_keys, "total_token_usage"), F.lit(False))
+    place = ["file_path", "file_name", "line_no"]
+    read = J.computed(
+        logged,
+        place,
+        {
+            "at": j["timestamp"],
+            "is_meta": F.coalesce(is_meta, F.lit(False)),
+            "is_context": F.coalesce(is_context, F.lit(False)),
+            "has_total": F.when(total.isNotNull(), True).when(is_count & last.isNotNull(), names_total).otherwise(False),
+            "of_total": F.when(is_count, _counters(total)),
+            "of_last": F.when(is_count, _counters(last)),
+            "named": F.when(
+                is_context,
+                J.text(F.coalesce(payload["model"], info["model"])),
+            ).when(is_count, J.text(F.coalesce(info["model"], info["model_name"], payload["model"]))),
+            "meta": F.when(
                 is_meta,
                 F.struct(
-                    _clean(V.text(meta_id, "$")).alias("id"),
-                    _clean(V.text(j, "$.payload.forked_from_id")).alias("forked_from"),
-                    _clean(V.text(j, "$.payload.source.subagent.thread_spawn.parent_thread_id")).alias("spawned_by"),
+                    _clean(F.coalesce(payload["id"], payload["thread_id"], payload["threadId"])).alias("id"),
+                    _clean(payload["forked_from_id"]).alias("forked_from"),
+                    _clean(payload["source"]["subagent"]["thread_spawn"]["parent_thread_id"]).alias("spawned_by"),
                 ),
-            ).alias("meta"),
-        )
-        .withColumn("ts", rfc3339(F.col("at")))
+            ),
+        },
+    )
+    is_token = F.col("of_total").isNotNull() | F.col("of_last").isNotNull()
+    kind = (
+        F.when(F.col("is_meta"), "meta")
+        .when(F.col("is_context"), "model")
+        .when(is_token, "token")
+        .otherwise("other")
+    )
+    used = F.when(F.col("has_total"), F.col("of_total")).otherwise(F.col("of_last"))
+    columns = {
+        "kind": kind,
+        "model": thread_model(F.col("named")),
+        "signature": F.when(is_token, F.concat_ws("|", _signature("of_total"), _signature("of_last"))),
+        "used": used,
+        "ts": rfc3339(F.col("at")),
+    }
+    rows = J.computed(read, [*place, "at", "has_total", "meta"], columns)
+    counted = F.col("used").isNotNull()
+
+    def used_count(name: str) -> Column:
+        return F.when(counted, F.coalesce(F.col(f"used.{name}"), zero())).alias(name)
+
+    return rows.select(
+        "file_path",
+        thread_id(F.col("file_name")).alias("thread_id"),
+        "line_no",
+        "kind",
+        "at",
+        F.when(F.col("kind").isin("model", "token"), F.col("model")).alias("model"),
+        "signature",
+        counted.alias("counted"),
+        (counted & F.col("has_total")).alias("is_total"),
+        used_count("input"),
+        used_count("cached"),
+        used_count("output"),
+        "meta",
+        "ts",
     )
-
-
-def _clean(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
 
 
 def rollout_index(files: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tokentide.functions.logs import computed
 from tokentide.operators import cursors as C
 from tokentide.operators.dedup import drop_near_activity, ingest_dedup
 from tokentide.operators.merge import (
@@ -29,7 +30,7 @@ from tokentide.sources.claude import claude_usage
 from tokentide.sources.gemini import gemini_usage
 from tokentide.sources.grok import deferred_files, grok_events, grok_usage, settled_events
 from tokentide.sources.opencode import opencode_incomplete, opencode_usage
-from tokentide.sources.rollouts import rollout_index, rollout_records, rollout_usage, token_events
+from tokentide.sources.rollouts import rollout_index, rollout_usage
 from tokentide.sources.zcode import zcode_incomplete, zcode_usage
 
 from .views import (
@@ -63,6 +64,18 @@ ROW = (
 )
 
 
+def log_events(spark, sf):
+    """Events, dealt out to all cores when they sit in fewer files than that."""
+    e = events(spark, sf)
+    cores = spark.sparkContext.defaultParallelism
+    return e if e.rdd.getNumPartitions() >= cores else e.repartition(cores, "event_id")
+
+
+def written(df, **columns):
+    """Raw records; their text is made once, whatever later reads of it filter on."""
+    return computed(df, [], columns)
+
+
 def iso(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
@@ -80,7 +93,7 @@ def tokens_in() -> Column:
 
 def claude_lines(spark, sf):
     """Two lines per event: a draft and the final version; views are user lines."""
-    e = events(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
+    e = log_events(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
     final = F.col("x") == 1
     kind = F.when(F.col("event_type") == "view", "user").otherwise("assistant")
     message = F.struct(
@@ -100,12 +113,11 @@ def claude_lines(spark, sf):
         F.when(F.col("event_type") != "signup", iso(F.col("t"))).alias("timestamp"),
         message.alias("message"),
     )
-    return e.select(
-        F.concat(F.lit("/home/projects/p/s-"), "user_id", F.lit(".jsonl")).alias("file_path"),
-        (F.col("event_id") * 2 + F.col("x")).alias("line_no"),
-        F.when(final & (F.col("event_type") == "purchase"), F.concat(F.to_json(line), F.lit("  ")))
-        .otherwise(F.to_json(line))
-        .alias("value"),
+    return written(
+        e,
+        file_path=F.concat(F.lit("/home/projects/p/s-"), "user_id", F.lit(".jsonl")),
+        line_no=F.col("event_id") * 2 + F.col("x"),
+        value=F.concat(F.to_json(line), F.when(F.col("event_type") == "purchase", "  ").otherwise("")),
     )
 
 
@@ -117,7 +129,7 @@ def ingest_claude(spark, sf):
 
 
 def gemini_documents(spark, sf):
-    e = events(spark, sf)
+    e = log_events(spark, sf)
     own = F.struct(
         F.when(F.col("event_type") != "error", F.concat(F.lit("g"), "event_id")).alias("id"),
         F.lit("gemini").alias("type"),
@@ -132,7 +144,9 @@ def gemini_documents(spark, sf):
         F.when(F.col("event_type") != "signup", F.concat(F.lit("c"), "event_id")).alias("sessionId"),
         F.array(asked, own).alias("messages"),
     )
-    return e.select(F.concat(F.lit("/tmp/p/chats/session-"), "event_id", F.lit(".json")).alias("file_path"), F.to_json(body).alias("value"))
+    return written(
+        e, file_path=F.concat(F.lit("/tmp/p/chats/session-"), "event_id", F.lit(".json")), value=F.to_json(body)
+    )
 
 
 def ingest_gemini(spark, sf):
@@ -143,7 +157,7 @@ def ingest_gemini(spark, sf):
 
 
 def opencode_tables(spark, sf):
-    e = events(spark, sf)
+    e = log_events(spark, sf)
     sessions = e.groupBy(F.concat(F.lit("s-"), "user_id").alias("id")).agg((F.min("t") * 1000).alias("time_updated"))
     data = F.struct(
         F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"),
@@ -159,12 +173,13 @@ def opencode_tables(spark, sf):
             (F.col("t") * 1000 + 7).alias("created"), F.when(F.col("event_type") != "error", F.col("t") * 1000 + 900).alias("completed")
         ).alias("time"),
     )
-    messages = e.select(
-        F.concat(F.lit("m"), "event_id").alias("id"),
-        F.concat(F.lit("s-"), "user_id").alias("session_id"),
-        (F.col("t") * 1000).alias("time_created"),
-        (F.col("t") * 1000 + 900).alias("time_updated"),
-        F.to_json(data).alias("data"),
+    messages = written(
+        e,
+        id=F.concat(F.lit("m"), "event_id"),
+        session_id=F.concat(F.lit("s-"), "user_id"),
+        time_created=F.col("t") * 1000,
+        time_updated=F.col("t") * 1000 + 900,
+        data=F.to_json(data),
     )
     return sessions, messages
 
@@ -191,7 +206,7 @@ def opencode_watermarks(spark, sf):
 
 
 def zcode_tables(spark, sf):
-    e = events(spark, sf)
+    e = log_events(spark, sf)
     sessions = e.groupBy(F.concat(F.lit("s-"), "user_id").alias("id")).agg(
         (F.min("t") * 1000).alias("time_created"),
         F.max(F.when(F.col("event_type") == "signup", F.col("t") * 1000 + 5000)).alias("time_updated"),
@@ -227,7 +242,7 @@ def zcode_watermarks(spark, sf):
 
 
 def grok_lines(spark, sf):
-    e = events(spark, sf)
+    e = log_events(spark, sf)
 
     def counters(factor: int) -> list[Column]:
         return [
@@ -265,10 +280,11 @@ def grok_lines(spark, sf):
         .when(F.col("k") % 3 == 1, record(F.col("t") * 1000 + 456))
         .otherwise(record(iso(F.col("t"))))
     )
-    return e.select(
-        F.concat(F.lit("/home/sessions/s-"), "user_id", F.lit("/updates.jsonl")).alias("file_path"),
-        F.col("event_id").alias("line_no"),
-        by_kind.alias("value"),
+    return written(
+        e,
+        file_path=F.concat(F.lit("/home/sessions/s-"), "user_id", F.lit("/updates.jsonl")),
+        line_no=F.col("event_id"),
+        value=by_kind,
     )
 
 
@@ -349,7 +365,7 @@ def _as_lines(df):
 
 
 def plain_threads(spark, sf):
-    e = events(spark, sf)
+    e = log_events(spark, sf)
     metas = e.groupBy(F.col("user_id").alias("owner")).agg(F.min("t").alias("t"))
     meta = metas.select("owner", F.lit(0).cast("bigint").alias("line_no"), meta_line(F.col("owner"), F.col("t")).alias("value"))
     return _as_lines(_lines_of(e, F.col("user_id")).unionByName(meta))
@@ -357,7 +373,7 @@ def plain_threads(spark, sf):
 
 def forked_threads(spark, sf):
     """Even users are parents; each odd user's log starts with a copy of its parent's up to the fork."""
-    e = events(spark, sf)
+    e = log_events(spark, sf)
     user, odd = F.col("user_id"), F.col("user_id") % 2 == 1
     parents = e.filter(~odd)
     own = _lines_of(parents, user)
@@ -375,8 +391,7 @@ def forked_threads(spark, sf):
 
 
 def counter_deltas(spark, sf):
-    events_ = token_events(rollout_records(plain_threads(spark, sf)))
-    return rollout_usage(events_, NOW).select(*ROW)
+    return rollout_usage(rollout_tables(plain_threads(spark, sf))[2], NOW).select(*ROW)
 
 
 def replay_trim(spark, sf):

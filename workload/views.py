@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokentide.functions.money import ZERO_MONEY, component
+from tokentide.functions.money import component, no_money
 from tokentide.schema import MONEY, conform
 
 APPS = ("claude", "codex", "gemini", "opencode", "zcode", "grokbuild", "claude-desktop")
@@ -78,10 +78,10 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     priced = F.col("user_id") % 6 < 4
     costs = {
-        f"{kind}_cost_usd": F.when(priced, component(tokens[f"{kind}_tokens"], F.lit(p))).otherwise(ZERO_MONEY)
+        f"{kind}_cost_usd": F.when(priced, component(tokens[f"{kind}_tokens"], F.lit(p))).otherwise(no_money())
         for kind, p in STORED_PRICES.items()
     }
-    total = sum(costs.values(), ZERO_MONEY).cast(MONEY)
+    total = sum(costs.values(), no_money()).cast(MONEY)
     return conform(
         e.select(
             F.concat(F.when(twin, "px:").otherwise("ev:"), event).alias("request_id"),
