@@ -51,9 +51,9 @@ def make_usage(spark):
 
 @pytest.fixture(scope="session")
 def make_lines(spark):
-    def make(path, texts):
-        name = path.split("/")[-1]
-        rows = [(path, name, i, t) for i, t in enumerate(texts, 1)]
+    def make(logs):
+        """Lines of logs given as path -> texts."""
+        rows = [(p, p.split("/")[-1], i, t) for p, texts in logs.items() for i, t in enumerate(texts, 1)]
         return spark.createDataFrame(rows, "file_path string, file_name string, line_no bigint, value string")
 
     return make
