@@ -24,13 +24,13 @@ from tokentide.operators.replay import parent_timeline, replay_prefix
 from tokentide.operators.transfer import export_usage, import_summary, import_usage, read_export
 from tokentide.plans.ingest import ingest_all, rollout_rows, rollout_tables
 from tokentide.schema import SESSION_SOURCES
-from tokentide.session import new_path
+from tokentide.session import new_path, staged
 from tokentide.operators.pricing import seed_prices
 from tokentide.sources.claude import claude_usage
 from tokentide.sources.gemini import gemini_usage
 from tokentide.sources.grok import deferred_files, grok_events, grok_usage, settled_events
 from tokentide.sources.opencode import opencode_incomplete, opencode_usage
-from tokentide.sources.rollouts import rollout_index, rollout_usage
+from tokentide.sources.rollouts import rollout_index, rollout_records, rollout_usage, token_events
 from tokentide.sources.zcode import zcode_incomplete, zcode_usage
 
 from .views import (
@@ -64,13 +64,6 @@ ROW = (
 )
 
 
-def log_events(spark, sf):
-    """Events, dealt out to all cores when they sit in fewer files than that."""
-    e = events(spark, sf)
-    cores = spark.sparkContext.defaultParallelism
-    return e if e.rdd.getNumPartitions() >= cores else e.repartition(cores, "event_id")
-
-
 def written(df, **columns):
     """Raw records; their text is made once, whatever later reads of it filter on."""
     return computed(df, [], columns)
@@ -93,7 +86,7 @@ def tokens_in() -> Column:
 
 def claude_lines(spark, sf):
     """Two lines per event: a draft and the final version; views are user lines."""
-    e = log_events(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
+    e = events(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"))
     final = F.col("x") == 1
     kind = F.when(F.col("event_type") == "view", "user").otherwise("assistant")
     message = F.struct(
@@ -129,7 +122,7 @@ def ingest_claude(spark, sf):
 
 
 def gemini_documents(spark, sf):
-    e = log_events(spark, sf)
+    e = events(spark, sf)
     own = F.struct(
         F.when(F.col("event_type") != "error", F.concat(F.lit("g"), "event_id")).alias("id"),
         F.lit("gemini").alias("type"),
@@ -157,7 +150,7 @@ def ingest_gemini(spark, sf):
 
 
 def opencode_tables(spark, sf):
-    e = log_events(spark, sf)
+    e = events(spark, sf)
     sessions = e.groupBy(F.concat(F.lit("s-"), "user_id").alias("id")).agg((F.min("t") * 1000).alias("time_updated"))
     data = F.struct(
         F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"),
@@ -206,7 +199,7 @@ def opencode_watermarks(spark, sf):
 
 
 def zcode_tables(spark, sf):
-    e = log_events(spark, sf)
+    e = events(spark, sf)
     sessions = e.groupBy(F.concat(F.lit("s-"), "user_id").alias("id")).agg(
         (F.min("t") * 1000).alias("time_created"),
         F.max(F.when(F.col("event_type") == "signup", F.col("t") * 1000 + 5000)).alias("time_updated"),
@@ -242,7 +235,7 @@ def zcode_watermarks(spark, sf):
 
 
 def grok_lines(spark, sf):
-    e = log_events(spark, sf)
+    e = events(spark, sf)
 
     def counters(factor: int) -> list[Column]:
         return [
@@ -365,7 +358,7 @@ def _as_lines(df):
 
 
 def plain_threads(spark, sf):
-    e = log_events(spark, sf)
+    e = events(spark, sf)
     metas = e.groupBy(F.col("user_id").alias("owner")).agg(F.min("t").alias("t"))
     meta = metas.select("owner", F.lit(0).cast("bigint").alias("line_no"), meta_line(F.col("owner"), F.col("t")).alias("value"))
     return _as_lines(_lines_of(e, F.col("user_id")).unionByName(meta))
@@ -373,7 +366,7 @@ def plain_threads(spark, sf):
 
 def forked_threads(spark, sf):
     """Even users are parents; each odd user's log starts with a copy of its parent's up to the fork."""
-    e = log_events(spark, sf)
+    e = events(spark, sf)
     user, odd = F.col("user_id"), F.col("user_id") % 2 == 1
     parents = e.filter(~odd)
     own = _lines_of(parents, user)
@@ -391,7 +384,8 @@ def forked_threads(spark, sf):
 
 
 def counter_deltas(spark, sf):
-    return rollout_usage(rollout_tables(plain_threads(spark, sf))[2], NOW).select(*ROW)
+    records = staged(rollout_records(plain_threads(spark, sf)), "records")
+    return rollout_usage(token_events(records), NOW).select(*ROW)
 
 
 def replay_trim(spark, sf):

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tokentide.functions.money import component, no_money
-from tokentide.schema import MONEY, conform
-
 APPS = ("claude", "codex", "gemini", "opencode", "zcode", "grokbuild", "claude-desktop")
 SOURCES = (
     "session_log",
@@ -50,8 +47,14 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out to all cores; one read by that many tasks stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     return e.select(
         "event_id",
         "user_id",
@@ -62,47 +65,56 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _pick(values: tuple[str, ...], index: str) -> str:
+    return "element_at(array({}), cast({} as int) + 1)".format(", ".join(f"'{v}'" for v in values), index)
+
+
+def _cost(kind: str) -> str:
+    amount = f"cast({kind}_tokens as decimal(12,0)) * cast({STORED_PRICES[kind]} as decimal(18,12)) * 0.000001BD"
+    return f"cast(if(user_id % 6 < 4, {amount}, 0) as decimal(28,18)) AS {kind}_cost_usd"
+
+
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    both = F.when(F.col("event_id") % 5 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    e = e.select("*", F.explode(both).alias("twin"))
-    twin, k, event = F.col("twin"), F.col("k"), F.col("event_id")
-    app = pick(APPS, event % 7)
-    model = pick(MODELS, F.col("user_id") % 6)
-    device = F.col("user_id") % 4
-    tokens = {
-        "input_tokens": F.floor(F.col("value") * 100).cast("bigint"),
-        "output_tokens": k * 11,
-        "cache_read_tokens": k * 50,
-        "cache_creation_tokens": F.when(event % 3 == 0, 0).otherwise(k),
-    }
-    priced = F.col("user_id") % 6 < 4
-    costs = {
-        f"{kind}_cost_usd": F.when(priced, component(tokens[f"{kind}_tokens"], F.lit(p))).otherwise(no_money())
-        for kind, p in STORED_PRICES.items()
-    }
-    total = sum(costs.values(), no_money()).cast(MONEY)
-    return conform(
-        e.select(
-            F.concat(F.when(twin, "px:").otherwise("ev:"), event).alias("request_id"),
-            F.when(twin, "vendor").otherwise(pick(PROVIDERS, event % 7)).alias("provider_id"),
-            F.when(twin & (app == "claude") & (event % 2 == 0), "claude-desktop").otherwise(app).alias("app_type"),
-            F.when(twin & (k % 4 == 0), "unknown").otherwise(model).alias("model"),
-            model.alias("request_model"),
-            F.when(event % 11 == 0, "gpt-5.4").alias("pricing_model"),
-            *[c.alias(n) for n, c in tokens.items()],
-            (event % 3).alias("input_token_semantics"),
-            *[c.alias(n) for n, c in costs.items()],
-            total.alias("total_cost_usd"),
-            (k * 7).alias("latency_ms"),
-            F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
-            F.concat(F.lit("s-"), "user_id").alias("session_id"),
-            F.when(twin, "proxy").otherwise(pick(SOURCES, event % 7)).alias("provider_type"),
-            F.when(twin, F.col("t") + k * 12).otherwise(F.col("t")).alias("created_at"),
-            F.when(twin, "proxy").otherwise(pick(SOURCES, event % 7)).alias("data_source"),
-            F.concat(F.lit("dev-"), device).alias("device_id"),
-            F.when(device == 3, "").otherwise(F.concat(F.lit("Device "), device)).alias("device_name"),
-        )
+    """One SELECT per step; every column of the usage layout is produced here."""
+    twins = events(spark, sf_dir).selectExpr(
+        "*",
+        "explode(if(event_id % 5 = 0, array(false, true), array(false))) AS twin",
+        f"{_pick(APPS, 'event_id % 7')} AS app",
+        f"{_pick(MODELS, 'user_id % 6')} AS request_model",
+        "cast(floor(value * 100) as bigint) AS input_tokens",
+        "k * 11 AS output_tokens",
+        "k * 50 AS cache_read_tokens",
+        "if(event_id % 3 = 0, 0, k) AS cache_creation_tokens",
+    )
+    costed = twins.selectExpr("*", *[_cost(kind) for kind in STORED_PRICES])
+    source = f"if(twin, 'proxy', {_pick(SOURCES, 'event_id % 7')})"
+    return costed.selectExpr(
+        "concat(if(twin, 'px:', 'ev:'), event_id) AS request_id",
+        f"if(twin, 'vendor', {_pick(PROVIDERS, 'event_id % 7')}) AS provider_id",
+        "if(twin and app = 'claude' and event_id % 2 = 0, 'claude-desktop', app) AS app_type",
+        "if(twin and k % 4 = 0, 'unknown', request_model) AS model",
+        "request_model",
+        "if(event_id % 11 = 0, 'gpt-5.4', null) AS pricing_model",
+        "input_tokens",
+        "output_tokens",
+        "cache_read_tokens",
+        "cache_creation_tokens",
+        "cast(event_id % 3 as int) AS input_token_semantics",
+        *[f"{kind}_cost_usd" for kind in STORED_PRICES],
+        "cast({} as decimal(28,18)) AS total_cost_usd".format(" + ".join(f"{k}_cost_usd" for k in STORED_PRICES)),
+        "k * 7 AS latency_ms",
+        "cast(null as bigint) AS first_token_ms",
+        "cast(null as bigint) AS duration_ms",
+        "if(event_type = 'error', 500, 200) AS status_code",
+        "cast(null as string) AS error_message",
+        "concat('s-', user_id) AS session_id",
+        f"{source} AS provider_type",
+        "true AS is_streaming",
+        "cast(1 as decimal(10,4)) AS cost_multiplier",
+        "if(twin, t + k * 12, t) AS created_at",
+        f"{source} AS data_source",
+        "concat('dev-', user_id % 4) AS device_id",
+        "if(user_id % 4 = 3, '', concat('Device ', user_id % 4)) AS device_name",
     )
 
 
