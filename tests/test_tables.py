@@ -274,3 +274,16 @@ def test_live_dedup(make_usage, spark, tmp_path):
     live = S.dedup_live(S.watch(spark, src, df.schema))
     live.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(sink).awaitTermination()
     assert spark.read.parquet(sink).count() == 3
+
+
+def test_counter_state_takes_each_line_once(spark, tmp_path):
+    schema = "thread_id string, line_no bigint, input bigint, cached bigint, output bigint"
+    out = BatchLog(spark, str(tmp_path / "o"), S.DELTA_ROWS)
+    state = VersionedTable(spark, str(tmp_path / "s"), S.COUNTER_STATE)
+    each = S.counter_batch(out, state, chunk_rows=2)
+    first = [("t", 1, 10, 4, 1), ("t", 2, 10, 4, 1), ("t", 3, 15, 20, 1), ("u", 9, 1, 0, 0)]
+    each(spark.createDataFrame(first, schema), 0)
+    each(spark.createDataFrame([*first, ("t", 4, 12, 21, 3)], schema), 1)
+    got = {(r.thread_id, r.line_no, r.event_index, r.input_tokens, r.cache_read_tokens, r.output_tokens) for r in out.read().collect()}
+    assert got == {("t", 1, 1, 10, 4, 1), ("t", 3, 2, 5, 5, 0), ("u", 9, 1, 1, 0, 0), ("t", 4, 3, 0, 0, 2)}
+    assert {(r.thread_id, r.line_no, r.events) for r in state.latest().collect()} == {("t", 4, 3), ("u", 9, 1)}

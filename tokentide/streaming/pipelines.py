@@ -160,6 +160,7 @@ def suppress_live(sessions: DataFrame, proxies: DataFrame, delay: str = "1 hour"
 COUNTER_STATE = T.StructType(
     [
         T.StructField("thread_id", T.StringType()),
+        T.StructField("line_no", T.LongType()),
         T.StructField("input", T.LongType()),
         T.StructField("cached", T.LongType()),
         T.StructField("output", T.LongType()),
@@ -185,13 +186,22 @@ def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_
     The last counters and the number of emitted events per thread live in a
     table between micro-batches. Inside a batch the deltas are running values
     over chunks, so a very busy thread does not sit in one task.
+
+    As with a read offset, lines up to the last one taken are not taken again, so
+    the increments of a thread must land in line order.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         known = state.before(batch_id)
         counters = F.struct("input", "cached", "output")
+        taken = known.select("thread_id", F.col("line_no").alias("_taken"))
+        fresh = (
+            batch.join(taken, "thread_id", "left")
+            .filter(F.col("line_no") > F.coalesce("_taken", F.lit(-1)))
+            .drop("_taken")
+        )
         linked = running(
-            batch.select("thread_id", "line_no", "input", "cached", "output"),
+            fresh.select("thread_id", "line_no", "input", "cached", "output"),
             ["thread_id"],
             "line_no",
             last_before={"_prev": counters},
@@ -218,13 +228,16 @@ def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_
         ).withColumn("event_index", F.col("_n") + F.col("_done"))
         out.write(batch_id, numbered)
 
-        last = batch.groupBy("thread_id").agg(F.max_by(counters, "line_no").alias("_last"))
+        last = fresh.groupBy("thread_id").agg(
+            F.max_by(counters, "line_no").alias("_last"), F.max("line_no").alias("line_no")
+        )
         emitted = out.at(batch_id).groupBy("thread_id").agg(F.count("*").alias("_n"))
         changed = (
             last.join(emitted, "thread_id", "left")
             .join(known.select("thread_id", F.col("events").alias("_done")), "thread_id", "left")
             .select(
                 "thread_id",
+                "line_no",
                 "_last.*",
                 (F.coalesce("_n", F.lit(0)) + F.coalesce("_done", F.lit(0))).alias("events"),
             )

@@ -14,11 +14,11 @@ from .views import T0, WITH_EFFECTIVE, WITH_USAGE, big, events, money, usage
 
 DAY = 86400
 AS_OF = T0 + 29 * DAY
+CUT = T0 + 12 * DAY
 
 
-def land(df, label, order, cuts):
-    """Write a frame as successive increments, split at the given values of ``order``."""
-    path = new_path(df.sparkSession, label)
+def increments(df, order, cuts):
+    """A frame cut at the given values of ``order``."""
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
         part = df
@@ -26,31 +26,31 @@ def land(df, label, order, cuts):
             part = part.filter(F.col(order) >= low)
         if high is not None:
             part = part.filter(F.col(order) < high)
-        part.write.mode("append").parquet(path)
-    return path
+        yield part
 
 
-def drain(stream, each, spark, mode="append"):
-    query = S.start(stream, each, new_path(spark, "checkpoint"), mode=mode)
-    query.awaitTermination()
+def feed(parts, query, each, mode="append"):
+    """Land one increment after the other; each poll takes all files that are new."""
+    path = checkpoint = None
+    for part in parts:
+        spark = part.sparkSession
+        path = path or new_path(spark, "landed")
+        checkpoint = checkpoint or new_path(spark, "checkpoint")
+        part.write.mode("append").parquet(path)
+        stream = query(S.watch(spark, path, part.schema))
+        S.start(stream, each, checkpoint, mode=mode).awaitTermination()
 
 
-def ingest_stream(spark, rows, label="usage"):
-    """Land rows by time in two increments and append each request once."""
-    path = land(rows, label, "created_at", [T0 + 12 * DAY])
-    log = S.usage_log(spark, new_path(spark, "fact"))
-    drain(S.watch(spark, path, rows.schema, files_per_batch=4), S.ingest_batch(log), spark)
-    return log.read()
+def as_is(stream):
+    return stream
 
 
 def stream_dedup(spark, sf):
-    """Every record is delivered again in a later increment; one of each is stored."""
+    """Early records are delivered again in a last increment; one of each is stored."""
     rows = usage(spark, sf)
-    again = rows.filter(F.col("created_at") < T0 + 12 * DAY)
-    path = land(rows, "usage", "created_at", [T0 + 12 * DAY])
-    again.write.mode("append").parquet(path)
+    again = rows.filter(F.col("created_at") < CUT)
     log = S.usage_log(spark, new_path(spark, "fact"))
-    drain(S.watch(spark, path, rows.schema, files_per_batch=1), S.ingest_batch(log), spark)
+    feed([*increments(rows, "created_at", [CUT]), again], as_is, S.ingest_batch(log))
     return log.read().groupBy("data_source").agg(
         F.count("*").alias("records"), F.countDistinct("request_id").alias("requests")
     )
@@ -58,8 +58,10 @@ def stream_dedup(spark, sf):
 
 def stream_suppression(spark, sf):
     """Session and proxy records arrive in any order; reading hides the duplicates."""
-    fact = ingest_stream(spark, usage(spark, sf))
-    return effective_usage(fact).groupBy("data_source").agg(F.count("*").alias("records"))
+    rows = usage(spark, sf)
+    log = S.usage_log(spark, new_path(spark, "fact"))
+    feed(increments(rows, "created_at", [CUT]), as_is, S.ingest_batch(log))
+    return effective_usage(log.read()).groupBy("data_source").agg(F.count("*").alias("records"))
 
 
 def stream_settled(spark, sf):
@@ -72,20 +74,19 @@ def stream_settled(spark, sf):
         "created_at",
     )
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in turns.schema])
-    path = land(turns, "turns", "created_at", [T0 + 12 * DAY])
     out = BatchLog(spark, new_path(spark, "settled"), nullable)
     pending = VersionedTable(spark, new_path(spark, "pending"), nullable)
-    drain(S.watch(spark, path, nullable, files_per_batch=1), S.settle_batch(out, pending, lambda: AS_OF), spark)
+    feed(increments(turns, "created_at", [CUT]), as_is, S.settle_batch(out, pending, lambda: AS_OF))
     waiting = pending.latest().select("request_id", F.lit("waiting").alias("state"))
     return out.read().select("request_id", F.lit("emitted").alias("state")).unionByName(waiting)
 
 
 def stream_buckets(spark, sf):
     rows = usage(spark, sf)
-    path = land(rows, "usage", "created_at", [T0 + 12 * DAY])
-    live = S.live_buckets(S.watch(spark, path, rows.schema, files_per_batch=1), "1 hour")
-    table = VersionedTable(spark, new_path(spark, "buckets"), live.schema)
-    drain(live, S.replace_table(table), spark, mode="complete")
+    schema = S.live_buckets(rows, "1 hour").schema
+    table = VersionedTable(spark, new_path(spark, "buckets"), schema)
+    parts = increments(rows, "created_at", [CUT])
+    feed(parts, lambda stream: S.live_buckets(stream, "1 hour"), S.replace_table(table), mode="complete")
     return table.latest().select(
         F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"),
         "provider_name",
@@ -106,10 +107,9 @@ def stream_counter_state(spark, sf):
         (F.col("event_id") * 2 + F.col("k")).alias("output"),
     )
     middle = e.agg(F.avg("line_no")).first()[0]
-    path = land(e, "counters", "line_no", [middle])
     out = BatchLog(spark, new_path(spark, "deltas"), S.DELTA_ROWS)
     state = VersionedTable(spark, new_path(spark, "state"), S.COUNTER_STATE)
-    drain(S.watch(spark, path, e.schema, files_per_batch=1), S.counter_batch(out, state), spark)
+    feed(increments(e, "line_no", [middle]), as_is, S.counter_batch(out, state))
     return out.read()
 
 
