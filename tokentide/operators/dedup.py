@@ -32,6 +32,11 @@ def _source() -> Column:
     return F.coalesce(F.col("data_source"), F.lit(SOURCE_PROXY))
 
 
+def _is_proxy() -> Column:
+    """Written as two plain tests so that the file reader can apply them."""
+    return F.col("data_source").isNull() | (F.col("data_source") == SOURCE_PROXY)
+
+
 def bucket_of(seconds: Column, width: int) -> Column:
     """Start of the bucket; integer arithmetic, also right before the epoch."""
     return seconds - F.pmod(seconds, F.lit(width).cast("bigint"))
@@ -60,7 +65,7 @@ def is_near(at: Column, width: int, side: str = "p") -> Column:
 
 
 def _proxy_side(usage: DataFrame, width: int, by_device: bool) -> DataFrame:
-    proxies = usage.filter((_source() == SOURCE_PROXY) & is_success())
+    proxies = usage.filter(_is_proxy() & is_success())
     app = F.col("app_type")
     folded = F.when(app == "claude-desktop", F.array(app, F.lit("claude"))).otherwise(F.array(app))
     cache = F.col("cache_creation_tokens")
@@ -166,7 +171,7 @@ def drop_near_activity(
     rows: DataFrame, fact: DataFrame, app: str = "grokbuild", *, width: int = DEDUP_WINDOW_SECONDS
 ) -> DataFrame:
     """Rows with no proxy record of ``app``, of any status or size, within the window."""
-    proxies = fact.filter((_source() == SOURCE_PROXY) & (F.col("app_type") == app)).select("created_at")
+    proxies = fact.filter(_is_proxy() & (F.col("app_type") == app)).select("created_at")
     near = near_buckets(proxies, [], width)
     s = rows.withColumn("_key_bucket", bucket_of(F.col("created_at"), width)).alias("s")
     p = near.alias("p")

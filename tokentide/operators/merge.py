@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.times import event_date
-from ..schema import SOURCE_CODEX
+from ..schema import SOURCE_CODEX, USAGE_SCHEMA
+from ..session import staged
 
 
 def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -88,3 +89,16 @@ def write_usage(df: DataFrame, path: str, mode: str = "append") -> None:
     """
     dated = df.withColumn("event_date", event_date(F.col("created_at")))
     dated.hint("rebalance", "event_date").write.mode(mode).partitionBy("event_date").parquet(path)
+
+
+def rewrite_days(updated: DataFrame, changed: Column, path: str) -> None:
+    """Update by key on the stored table: rewrite only the days that hold a changed row.
+
+    ``updated`` is the whole table after the change, read from ``path``. The rows
+    are staged first, so nothing is overwritten while it is still being read.
+    """
+    days = updated.filter(changed).select("event_date").distinct()
+    names = [f.name for f in USAGE_SCHEMA]
+    rows = staged(updated.join(days, "event_date", "left_semi").select(*names, "event_date"), "rewrite")
+    writer = rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date")
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -70,41 +70,52 @@ def ingest_all(
     builders: dict[str, Callable[[], DataFrame]],
     fact: DataFrame,
     prices: DataFrame,
+    *,
+    scans: dict[str, DataFrame] | None = None,
     **device: str,
 ) -> tuple[DataFrame, DataFrame]:
     """(new fact rows, metrics) over all sources, given name -> rows builders.
 
     Every source is read and staged on its own: one that fails is reported in the
-    metrics and does not stop the others.
+    metrics and does not stop the others. Request ids carry their source, so
+    sources cannot collide. ``scans`` names the files each source looked at, as
+    (file_path, deferred), for the file counts of the metrics.
     """
-    rows: DataFrame | None = None
+    rows = conform(fact).limit(0)
+    metrics = spark.createDataFrame([], METRICS)
     errors: list[tuple[str, str]] = []
+
+    def tally(df: DataFrame, source: str, **counts) -> DataFrame:
+        sizes = df.agg(*[c.alias(n) for n, c in counts.items()])
+        return metrics.unionByName(sizes.withColumn("data_source", F.lit(source)), allowMissingColumns=True)
+
     for name, build in builders.items():
         try:
             finishing = finish_grok if name == SOURCE_GROK else finish
-            part = staged(build(), f"rows-{name}")
-            done = staged(finishing(part, fact, prices, **device), f"fresh-{name}")
-            offered = part.agg(F.count("*").alias("offered"))
-            count = offered.withColumn("data_source", F.lit(name))
+            offered = staged(build(), f"rows-{name}")
+            fresh = staged(finishing(offered, fact, prices, **device), f"fresh-{name}")
         except Exception as error:  # noqa: BLE001 - isolation is the feature
             errors.append((name, f"{type(error).__name__}: {error}"))
             continue
-        kept = done.agg(F.count("*").alias("imported")).withColumn("data_source", F.lit(name))
-        both = count.unionByName(kept, allowMissingColumns=True)
-        metrics = both if rows is None else metrics.unionByName(both)  # noqa: F821
-        rows = done if rows is None else rows.unionByName(done)
+        metrics = tally(offered, name, offered=F.count("*"))
+        metrics = tally(fresh, name, imported=F.count("*"))
+        if scans and name in scans:
+            metrics = tally(scans[name], name, files_scanned=F.count("*"), deferred_files=F.count_if("deferred"))
+        rows = rows.unionByName(fresh)
     failed = spark.createDataFrame(errors, "data_source string, error string")
-    if rows is None:
-        rows = conform(fact).limit(0)
-        metrics = spark.createDataFrame([], "data_source string, offered bigint, imported bigint")
-    report = (
-        metrics.unionByName(failed, allowMissingColumns=True)
-        .groupBy("data_source")
-        .agg(
-            F.coalesce(F.max("imported"), F.lit(0)).alias("imported"),
-            (F.coalesce(F.max("offered"), F.lit(0)) - F.coalesce(F.max("imported"), F.lit(0))).alias("skipped"),
-            F.max("error").alias("error"),
-        )
+    counted = metrics.unionByName(failed, allowMissingColumns=True).groupBy("data_source")
+    amounts = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("offered", "imported", "files_scanned", "deferred_files")]
+    report = counted.agg(*amounts, F.max("error").alias("error")).select(
+        "data_source",
+        "imported",
+        (F.col("offered") - F.col("imported")).alias("skipped"),
+        "files_scanned",
+        "deferred_files",
+        F.lit(0).cast("bigint").alias("suspected_duplicates"),
+        "error",
     )
-    # Request ids carry their source, so sources cannot collide.
     return rows, report
+
+
+METRICS = """data_source string, offered bigint, imported bigint, files_scanned bigint, deferred_files bigint,
+error string"""

@@ -27,12 +27,15 @@ def build_session(app: str = "tokentide", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_local: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tokentide-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="tokentide-"))
     return path.rstrip("/")
 
 
