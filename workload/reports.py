@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokentide.operators import analytics as A, insights as I
 from tokentide.operators.dedup import effective_usage
 from tokentide.operators.filters import UsageQuery
-from tokentide.plans.report import filter_options
+from tokentide.plans.report import filter_options, usage_report
 from tokentide.functions.tokens import fresh_input, real_total
 
 from .views import ALL_END, ALL_START, T0, WITH_EFFECTIVE, WITH_USAGE, big, money, usage
@@ -34,8 +34,6 @@ def trends(spark, sf, span):
 
 def usage_report_bundle(spark, sf):
     """The overview's summary and choices, folded from one staged cube."""
-    from tokentide.plans.report import usage_report
-
     report = usage_report(usage(spark, sf), WHOLE)
     return report["summary"].select("total_requests", "total_cost", "real_total_tokens")
 
@@ -73,9 +71,7 @@ QUERIES = {
         "provider_id", "success_rate", I.health(F.col("success_rate")).alias("health")
     ),
     "insight_cards": lambda s, d: I.insight_cards(summary(s, d), trends(s, d, DAYS)),
-    "insight_feed": lambda s, d: I.insight_feed(
-        summary(s, d), trends(s, d, DAYS), A.provider_stats(view(s, d)), A.model_stats(view(s, d))
-    ),
+    "insight_feed": lambda s, d: usage_report(usage(s, d), WHOLE)["insights"],
 }
 
 
