@@ -138,20 +138,6 @@ def model_stats(df: DataFrame) -> DataFrame:
     return models_of(cube(df, hourly=False))
 
 
-def _name_options(df: DataFrame, name: Column, dimension: str) -> DataFrame:
-    return df.select(F.lit(dimension).alias("dimension"), name.alias("name")).distinct()
-
-
-def filter_options(providers: DataFrame, models: DataFrame, devices: DataFrame) -> DataFrame:
-    """Choices per dimension; each frame is filtered by the other dimensions only."""
-    return (
-        _name_options(providers, provider_name(), "provider")
-        .unionByName(_name_options(models, effective_model(), "model"))
-        .unionByName(_name_options(devices, F.col("device_id"), "device"))
-        .filter(F.col("name") != "")
-    )
-
-
 LOG_COLUMNS = (
     "request_id",
     "provider_id",

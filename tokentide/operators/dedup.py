@@ -139,13 +139,14 @@ def effective_usage(
     """Rows that reports may count, under a filter.
 
     The filter narrows the reported rows only. The proxy side ignores it, except
-    that proxies further than the window from the asked range cannot matter and
-    are not read.
+    that proxies of other apps, or further than the window from the asked range,
+    cannot matter and are not read.
     """
     q = q or UsageQuery()
+    proxies = in_range(usage, q.start, q.end, slack=DEDUP_WINDOW_SECONDS)
     return drop_proxied(
         apply_filters(usage, q),
-        in_range(usage, q.start, q.end, slack=DEDUP_WINDOW_SECONDS),
+        apply_filters(proxies, UsageQuery(app_type=q.app_type)),
         _source().isin(*sources),
         _source().isin(*OPEN_CACHE_SOURCES),
         by_device=by_device,

@@ -12,7 +12,6 @@ from tokentide.functions.logs import computed
 from tokentide.operators import cursors as C
 from tokentide.operators.dedup import drop_near_activity, ingest_dedup
 from tokentide.operators.merge import (
-    first_per_key,
     forget_cursors,
     forget_sessions,
     merge_counts,
