@@ -2,14 +2,15 @@
 
 Features are the words of a document and their beginnings of four, five and six
 characters, counted (log(1 + n)). Grade 0 is a document labelled not toxic; toxic
-ones have grades 1 to 3 by thirds of their share of words with a chosen feature.
+ones have grades 1 to 3 by thirds of their number of words with a chosen feature.
 One weight vector serves all thresholds: P(grade <= k) = logistic(t_k - w x). The
 result is the expected grade.
 
 The model is fitted on a bounded sample of labelled rows: the ``TOXIC_DOCS`` toxic
 and ``CLEAN_DOCS`` other ones with the least hashed ids, weighted to the labels'
-own proportions. Features are chosen by the likelihood-ratio statistic of the
-sample, at most ``FEATURES`` of them. Every document is scored, whole.
+own proportions; copies count once. Features are chosen by the likelihood-ratio statistic of the
+sample, at most ``FEATURES`` of them, and only where it is beyond what chance gives
+among so many candidates. Every document is scored, whole.
 
 Words: lower-cased runs of letters. Defined cases: a null or empty text has no
 features and gets the grade that the thresholds give an empty document; a null
@@ -38,11 +39,9 @@ from .common import per_document, slabs, texts_of
 TOXIC_DOCS = 4_000
 CLEAN_DOCS = 8_000
 FEATURES = 512
-#: Least likelihood-ratio statistic of a chosen feature.
-EVIDENCE = 12.0
 GRADES = 4
 STEPS = 400
-SHRINK = 1e-3
+SHRINK = 2e-5
 BEGINNINGS = (4, 5, 6)
 #: Words whose features a worker keeps.
 CACHED = 1_000_000
@@ -69,7 +68,12 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         part = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("weight", F.lit(weight))
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most TOXIC_DOCS + CLEAN_DOCS rows of three numbers
-    return staged(docs.select("doc_id", "text").join(F.broadcast(staged(chosen, "toxicity-chosen")), "doc_id"), "toxicity-sample")
+    known = docs.select("doc_id", "text").join(F.broadcast(staged(chosen, "toxicity-chosen")), "doc_id")
+    # copies of one text would make all its words look like signs: the least hash of its word triples stands for it
+    words = F.split(F.lower("text"), r"\s+")
+    triples = F.transform(F.arrays_zip(words, F.slice(words, 2, 1 << 30), F.slice(words, 3, 1 << 30)), lambda t: F.xxhash64(t))
+    once = known.where("text is not null").withColumn("least", F.array_min(triples)).groupBy("toxic", "least")
+    return staged(once.agg(F.min(F.struct("doc_id", "text", "weight")).alias("row")).select("row.*", "toxic"), "toxicity-sample")
 
 
 def choose(known: DataFrame) -> list[str]:
@@ -98,7 +102,10 @@ def choose(known: DataFrame) -> list[str]:
     statistic = 2 * (
         term(a, (a + b) * (bad / n)) + term(b, (a + b) * (good / n)) + term(bad - a, (n - a - b) * (bad / n)) + term(good - b, (n - a - b) * (good / n))
     )
-    ranked = both.where(a * good > b * bad).withColumn("g", statistic).where(F.col("g") >= EVIDENCE)
+    both = staged(both, "toxicity-features")
+    # of n features without a meaning, about n * exp(-g / 2) reach a statistic of g by chance
+    beyond = 2 * math.log(both.count() + 1)
+    ranked = both.where(a * good > b * bad).withColumn("g", statistic).where(F.col("g") >= beyond)
     return [r.feature for r in ranked.orderBy(F.desc("g"), "feature").limit(FEATURES).collect()]
 
 
@@ -109,13 +116,13 @@ class Vectors:
         self.number = {f: i for i, f in enumerate(chosen)}
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def of(self, text: bytes) -> tuple[list[int], list[float], float]:
-        """Numbers and values, and the share of words that have a chosen feature."""
+    def of(self, text: bytes) -> tuple[list[int], list[float], int]:
+        """Numbers and values, and how many words have a chosen feature."""
         counts: Counter = Counter()
-        words, marked = words_of(text), 0
+        marked = 0
         if len(self.cache) > CACHED:
             self.cache.clear()
-        for word, n in Counter(words).items():
+        for word, n in Counter(words_of(text)).items():
             own = self.cache.get(word)
             if own is None:
                 own = self.cache[word] = tuple(self.number[f] for f in features_of(word) if f in self.number)
@@ -123,7 +130,7 @@ class Vectors:
                 marked += n
                 for i in own:
                     counts[i] += n
-        return list(counts), [math.log1p(n) for n in counts.values()], marked / max(1, len(words))
+        return list(counts), [math.log1p(n) for n in counts.values()], marked
 
 
 @dataclass
@@ -188,8 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Ordinal:
             columns = {"number": [m[0] for m in made], "value": [m[1] for m in made], "marked": [m[2] for m in made]}
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns.values(), schema, strict=False)] + [part.column("toxic"), part.column("weight")], schema=schema)
 
-    schema = pa.schema([("number", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("marked", pa.float64()), ("toxic", pa.int32()), ("weight", pa.float64())])
-    made = "number array<int>, value array<double>, marked double, toxic int, weight double"
+    schema = pa.schema([("number", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())), ("marked", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64())])
+    made = "number array<int>, value array<double>, marked bigint, toxic int, weight double"
     typed = known.select("text", F.col("toxic").cast("int").alias("toxic"), "weight").mapInArrow(run, made)
     rows = typed.collect()  # one short sparse row for each document of the sample
     toxic = np.array([r.toxic == 1 for r in rows])
