@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField
 
 from ..session import staged
-from .common import per_document, slabs, texts_of
+from .common import least_hashed, per_document, slabs, texts_of
 
 #: Labelled documents that the model is fitted on, at most.
 TOXIC_DOCS = 4_000
@@ -65,7 +65,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for toxic, limit in ((1, TOXIC_DOCS), (0, CLEAN_DOCS)):
         own = marks.where(F.col("toxic") == toxic)
         weight = max(1.0, own.count() / limit)
-        part = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("weight", F.lit(weight))
+        part = least_hashed(own, limit).withColumn("weight", F.lit(weight))
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most TOXIC_DOCS + CLEAN_DOCS rows of three numbers
     known = docs.select("doc_id", "text").join(F.broadcast(staged(chosen, "toxicity-chosen")), "doc_id")
