@@ -137,7 +137,9 @@ def links(prints: DataFrame, list_pairs: int = LIST_PAIRS) -> DataFrame:
 
     ``prints``: distinct ``fp``, already stored (it is read more than once).
     """
-    index = _index(prints)
+    # stored prints are small files, and each row becomes 70: spread them first
+    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = _index(prints.repartition(width))
     lists = staged(index.groupBy("list").count().where("count > 1"), "simhash-lists")
     # the lists' number is known: their table is sent to all tasks only while small
     side = F.broadcast(lists) if lists.count() <= BROADCAST_LISTS else lists
