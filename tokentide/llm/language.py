@@ -6,8 +6,9 @@ over all its positions. Windows follow each other without gaps, so whole texts a
 read; state starts anew in each window, in training as in prediction. The network is
 trained in numpy by backpropagation through time.
 
-It is fitted on a bounded sample: ``TRAIN_DOCS`` documents with a language, drawn by
-hashed id with equal chances for each language, a few windows of each. A row is held
+It is fitted on a bounded sample: about ``TRAIN_DOCS`` documents with a language (never
+more than twice as many), drawn by hashed id in equal shares for each language, a few
+windows of each. A row is held
 out, and never learned from, if crc32 of its doc_id as text is 2 modulo 4.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a null
@@ -34,7 +35,7 @@ HIDDEN = 8
 #: Bytes of a window, and windows that are read side by side.
 WINDOW = 96
 ABREAST = 2048
-#: Documents to learn from, windows of each, and languages at most.
+#: Documents to learn from, and windows of each.
 TRAIN_DOCS = 2_000
 TRAIN_WINDOWS = 3
 STEPS = 450
@@ -197,15 +198,19 @@ def train(texts: list[bytes], labels: np.ndarray, n_labels: int, steps: int = ST
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """(lang, text) windows of the documents to learn from; bounded by TRAIN_DOCS and TRAIN_WINDOWS."""
+    """(lang, text) windows of the documents to learn from; bounded by TRAIN_DOCS and TRAIN_WINDOWS.
+
+    Every language gets an equal share: all of its documents if they are no more than
+    that, else each by a hashed chance. So tasks hand on about TRAIN_DOCS rows together.
+    """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0").where(~held_out(F.col("doc_id")))
     n = staged(known.groupBy("lang").count(), "language-counts").withColumnRenamed("count", "n")
-    # equal chances for each language: the least of n * (-ln u), u uniform by hashed id
-    chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    drawn = known.join(n, "lang").orderBy(-F.log(chance) * F.col("n"), "doc_id", "text").limit(TRAIN_DOCS)
+    share = TRAIN_DOCS / max(1, n.count())
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
     place = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS)), lambda i: F.substr(F.col("text"), place(i), F.lit(WINDOW // 2 + 16)))
-    return drawn.select("lang", F.explode(cut).alias("text"))
+    drawn = known.join(n, "lang").withColumn("rank", rank).where(F.col("rank") < share).select("lang", "rank", "doc_id", cut.alias("cut"))
+    return drawn.orderBy("rank", "doc_id", "cut").limit(2 * TRAIN_DOCS).select("lang", F.explode("cut").alias("text"))
 
 
 def fit(docs: DataFrame) -> tuple[list[str], Network | None]:
