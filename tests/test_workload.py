@@ -7,6 +7,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, canonical
+from workload import all_oracles, all_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,17 +23,18 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(queries()) and set(all_oracles()) <= set(oracle_sql())
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, db, name):
-    df = queries()[name](spark, SF)
-    want = db.sql(oracle_sql()[name])
+    df = all_queries()[name](spark, SF)
+    want = db.sql(all_oracles()[name])
     assert sorted(df.columns) == sorted(want.columns)
     got = canonical([tuple(r) for r in df.collect()], df.columns)
     assert got == canonical(want.fetchall(), want.columns)

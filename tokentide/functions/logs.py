@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .tokens import clamp
+
 
 def parsed(df: DataFrame, text: str, schema: str, *keep: str) -> DataFrame:
     """``keep`` plus the parsed text as ``j``, each text parsed exactly once."""
@@ -41,14 +43,15 @@ def field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-
-
 def count(value: Column) -> Column:
     """A non-negative number, else NULL."""
     return F.when(value >= 0, value)
 
 
 def count_or_zero(value: Column) -> Column:
-    return F.coalesce(count(value), F.lit(0).cast("bigint"))
+    """A token count from a log, within the range of a count; 0 when absent or negative.
+
+    Counts above the range are clamped, in every source alike, so that one bad
+    record cannot overflow a sum or a price (a 32-bit store would wrap instead).
+    """
+    return clamp(F.coalesce(value, F.lit(0).cast("bigint")))

@@ -20,8 +20,12 @@ def _tick() -> Column:
 
 
 def component(tokens: Column, per_million: Column) -> Column:
-    """tokens x price / 1e6 by multiplication, so the scale stays exact."""
-    return (tokens.cast("decimal(12,0)") * per_million.cast(PRICE) * _millionth()).cast(MONEY)
+    """tokens x price / 1e6 by multiplication, so the scale stays exact.
+
+    Counts beyond twelve digits, which no log of this package yields, are priced as the largest of twelve.
+    """
+    priced = F.least(tokens, F.lit(10**12 - 1)).cast("decimal(12,0)")
+    return (priced * per_million.cast(PRICE) * _millionth()).cast(MONEY)
 
 
 def cost_columns(multiplier: Column | None = None) -> dict[str, Column]:
@@ -45,10 +49,10 @@ def cost_columns(multiplier: Column | None = None) -> dict[str, Column]:
 
 
 def per_million(text: Column) -> Column:
-    """Price per million from a per-token decimal text; NULL if negative or no number."""
+    """Price per million from a per-token decimal text; NULL if negative, no number or beyond what a price can hold."""
     plain = F.trim(text)
     value = F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), plain).try_cast("decimal(24,18)")
-    return F.when(value >= 0, (value * F.lit(1000000).cast("decimal(7,0)")).cast(PRICE))
+    return F.when(value >= 0, (value * F.lit(1000000).cast("decimal(7,0)")).try_cast(PRICE))
 
 
 def ticks(count: Column) -> Column:

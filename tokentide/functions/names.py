@@ -46,11 +46,5 @@ def thread_id(file_name: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(file_name, f"({UUID_PATTERN})\\.jsonl$", 1), F.lit("")))
 
 
-def is_rollout(file_name: Column) -> Column:
-    return file_name.rlike(f"^rollout-.*{UUID_PATTERN}\\.jsonl$") | file_name.rlike(
-        f"^rollout-{UUID_PATTERN}\\.jsonl$"
-    )
-
-
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)

@@ -41,14 +41,17 @@ def bucket_start(seconds: Column, hourly: bool) -> Column:
     return F.date_trunc("hour" if hourly else "day", F.timestamp_seconds(seconds))
 
 
+def bucket_label_of(start: Column, hourly: bool) -> Column:
+    return F.date_format(start, "yyyy-MM-dd HH:00:00" if hourly else "yyyy-MM-dd")
+
+
 def bucket_label(seconds: Column, hourly: bool) -> Column:
-    pattern = "yyyy-MM-dd HH:00:00" if hourly else "yyyy-MM-dd"
-    return F.date_format(F.timestamp_seconds(seconds), pattern)
+    return bucket_label_of(F.timestamp_seconds(seconds), hourly)
 
 
 def event_date(seconds: Column) -> Column:
     """UTC calendar date used as the storage partition; independent of the session zone."""
-    return F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    return F.date_from_unix_date(F.floor(seconds / 86400).try_cast("int"))
 
 
 def make_range(preset: str, now: int, zone: str = "UTC", start: int | None = None, end: int | None = None):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import report
 from ..functions.names import effective_model, provider_name
-from ..functions.times import bucket_label, event_date, is_hourly
+from ..functions.times import bucket_label_of, bucket_start, event_date, is_hourly
 from ..functions.tokens import fresh_input, is_success, real_total
+from ..session import staged
 
 def _total(column: Column | str) -> Column:
     return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))
@@ -21,19 +22,11 @@ def _measures(df: DataFrame) -> DataFrame:
     return df.withColumns({"_fresh": fresh_input(), "_total": real_total()})
 
 
-def cube(df: DataFrame, hourly: bool) -> DataFrame:
-    """Additive measures per bucket, provider and model.
-
-    All overview reports fold this small table, so one pass over the records
-    serves them together.
-    """
+def sums(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Additive measures per group."""
     return (
         _measures(df)
-        .groupBy(
-            bucket_label(F.col("created_at"), hourly).alias("bucket"),
-            "provider_id",
-            effective_model().alias("model"),
-        )
+        .groupBy(*keys)
         .agg(
             F.count("*").alias("n"),
             F.count_if(is_success()).alias("ok"),
@@ -48,6 +41,24 @@ def cube(df: DataFrame, hourly: bool) -> DataFrame:
     )
 
 
+def _bucket(hourly: bool) -> Column:
+    return bucket_start(F.col("created_at"), hourly).alias("bucket")
+
+
+def _labelled(c: DataFrame, hourly: bool) -> DataFrame:
+    """Bucket starts as text, written once a group and not once a record."""
+    return c.withColumn("bucket", bucket_label_of(F.col("bucket"), hourly))
+
+
+def cube(df: DataFrame, hourly: bool) -> DataFrame:
+    """Additive measures per bucket, provider and model.
+
+    All overview reports fold this small table, so one pass over the records
+    serves them together. A single report groups by its own key instead.
+    """
+    return _labelled(sums(df, _bucket(hourly), "provider_id", effective_model().alias("model")), hourly)
+
+
 def summary_of(c: DataFrame) -> DataFrame:
     cost = F.coalesce(F.sum("cost"), F.lit(0))
     cached_in = F.sum(F.col("fresh") + F.col("cache_creation") + F.col("cache_read"))
@@ -126,16 +137,17 @@ def usage_summary(df: DataFrame) -> DataFrame:
 
 def usage_trends(df: DataFrame, start: int, end: int) -> DataFrame:
     """By hour for ranges up to two days, else by day, in the session time zone."""
-    return trends_of(cube(df, is_hourly(start, end)))
+    hourly = is_hourly(start, end)
+    return trends_of(_labelled(sums(df, _bucket(hourly)), hourly))
 
 
 def provider_stats(df: DataFrame) -> DataFrame:
-    return providers_of(cube(df, hourly=False))
+    return providers_of(sums(df, "provider_id"))
 
 
 def model_stats(df: DataFrame) -> DataFrame:
     """Grouped by the effective (pricing) model."""
-    return models_of(cube(df, hourly=False))
+    return models_of(sums(df, effective_model().alias("model")))
 
 
 LOG_COLUMNS = (
@@ -173,23 +185,31 @@ def log_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def page_bounds(page: int, size: int) -> tuple[int, int]:
-    size = 10 if size == 0 else min(size, 100)
+MAX_PAGE = 100
+
+
+def page_bounds(page: int, size: int, max_size: int = MAX_PAGE) -> tuple[int, int]:
+    """Offset and size of a page; a larger page than ``max_size`` is refused, not cut."""
+    size = size or 10
+    if size > max_size:
+        raise ValueError(f"a page has at most {max_size} rows, {size} were asked for")
     return (max(page, 1) - 1) * size, size
 
 
-def request_log_page(df: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
+def request_log_page(df: DataFrame, page: int = 1, size: int = 10, max_size: int = MAX_PAGE) -> DataFrame:
     """A page of the log, newest first; a top-k, so no total sort runs."""
-    offset, size = page_bounds(page, size)
+    offset, size = page_bounds(page, size, max_size)
     return log_rows(df).orderBy(F.desc("created_at"), "request_id").offset(offset).limit(size)
 
 
-def request_log_after(df: DataFrame, created_at: int, request_id: str, size: int = 10) -> DataFrame:
+def request_log_after(
+    df: DataFrame, created_at: int, request_id: str, size: int = 10, max_size: int = MAX_PAGE
+) -> DataFrame:
     """The page after a given row, for deep paging without an offset."""
     older = (F.col("created_at") < created_at) | (
         (F.col("created_at") == created_at) & (F.col("request_id") > request_id)
     )
-    return log_rows(df.filter(older)).orderBy(F.desc("created_at"), "request_id").limit(page_bounds(1, size)[1])
+    return log_rows(df.filter(older)).orderBy(F.desc("created_at"), "request_id").limit(page_bounds(1, size, max_size)[1])
 
 
 def log_total(df: DataFrame) -> DataFrame:
@@ -307,20 +327,17 @@ def price_ranges(models: DataFrame, points: DataFrame) -> DataFrame:
 def cost_shares(c: DataFrame) -> DataFrame:
     """Model reports with the share of the whole cost and a bar scaled to the dearest model.
 
-    The windows run over one row per model.
+    Two numbers over all models come to the driver; the models stay where they are.
     """
-    everything = Window.partitionBy()
-    sums = c.groupBy("model").agg(F.sum("n").alias("request_count"), F.sum("cost").alias("_cost"))
-    costs = sums.withColumns(
-        {"total_cost": report(F.col("_cost")), "_whole": report(F.sum("_cost").over(everything))}
-    )
-    dearest = F.greatest(F.max("total_cost").over(everything), F.lit(1.0))
+    per_model = c.groupBy("model").agg(F.sum("n").alias("request_count"), F.sum("cost").alias("_cost"))
+    costs = staged(per_model.withColumn("total_cost", report(F.col("_cost"))), "model-costs")
+    top = costs.agg(report(F.sum("_cost")).alias("whole"), F.max("total_cost").alias("dearest")).first()
+    whole, dearest = top["whole"] or 0.0, max(top["dearest"] or 0.0, 1.0)
+    share = F.col("total_cost") / whole * 100 if whole > 0 else F.lit(0.0)
     return costs.select(
         "model",
         "request_count",
         "total_cost",
-        F.round(
-            F.when(F.col("_whole") > 0, F.col("total_cost") / F.col("_whole") * 100).otherwise(F.lit(0.0)), 6
-        ).alias("share"),
+        F.round(share, 6).alias("share"),
         F.round(F.col("total_cost") / dearest * 100, 6).alias("bar"),
     )

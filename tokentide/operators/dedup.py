@@ -158,11 +158,22 @@ def drop_known(rows: DataFrame, fact: DataFrame) -> DataFrame:
     return rows.join(fact.select("request_id"), "request_id", "left_anti")
 
 
+def time_span(rows: DataFrame) -> tuple[int, int] | None:
+    """First and last created_at of a batch; None when it is empty."""
+    span = rows.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).first()
+    return None if span["lo"] is None else (span["lo"], span["hi"])
+
+
 def ingest_dedup(rows: DataFrame, fact: DataFrame) -> DataFrame:
-    """New session rows that are neither present nor already seen by the proxy (any source)."""
+    """New session rows that are neither present nor already seen by the proxy (any source).
+
+    Only proxy records within the window around the batch are read; over a table
+    stored by day, only those days.
+    """
+    span = time_span(rows)
     return drop_proxied(
         drop_known(rows, fact),
-        fact,
+        fact.limit(0) if span is None else in_range(fact, *span, slack=DEDUP_WINDOW_SECONDS),
         F.lit(True),
         F.col("app_type").isin(*OPEN_CACHE_APPS),
     )
@@ -172,7 +183,9 @@ def drop_near_activity(
     rows: DataFrame, fact: DataFrame, app: str = "grokbuild", *, width: int = DEDUP_WINDOW_SECONDS
 ) -> DataFrame:
     """Rows with no proxy record of ``app``, of any status or size, within the window."""
-    proxies = fact.filter(_is_proxy() & (F.col("app_type") == app)).select("created_at")
+    span = time_span(rows)
+    nearby = fact.limit(0) if span is None else in_range(fact, *span, slack=width)
+    proxies = nearby.filter(_is_proxy() & (F.col("app_type") == app)).select("created_at")
     near = near_buckets(proxies, [], width)
     s = rows.withColumn("_key_bucket", bucket_of(F.col("created_at"), width)).alias("s")
     p = near.alias("p")

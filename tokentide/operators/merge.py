@@ -14,9 +14,11 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
     An aggregate, not a window: duplicates shrink before the shuffle, so a key
     with very many copies (records that all miss their id) costs no hot task.
+    Rows that tie in ``order`` are told apart by a hash of all their columns, so the
+    choice does not depend on how the rows are dealt out.
     """
     rest = [c for c in df.columns if c not in keys]
-    pick = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    pick = F.min_by(F.struct(*rest), F.struct(*order, *[F.xxhash64(*rest)][: len(rest)])).alias("_row")
     return df.groupBy(*keys).agg(pick).select(*keys, "_row.*").select(*df.columns)
 
 

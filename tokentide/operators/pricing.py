@@ -1,7 +1,8 @@
 """Price lookup, re-pricing and price-catalog matching.
 
 Price tables are joined without a broadcast hint: Spark broadcasts them while
-they stay below its own size threshold and shuffles (with skew handling) beyond.
+they stay below its own size threshold, so usage rows are not moved by their model
+(a few values), and shuffles (with skew handling) beyond.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from .merge import upsert
 
 
 def seed_prices(spark: SparkSession) -> DataFrame:
-    raw = spark.createDataFrame(
-        [tuple(line.split("|")) for line in SEED_PRICES],
-        "model_id string, display_name string, " + ", ".join(f"{c} string" for c in PRICE_COLUMNS),
-    )
+    # literals, not a frame of Python rows: their size is known, so lookups are broadcast
+    names = ("model_id", "display_name", *PRICE_COLUMNS)
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, price, strict=True)]) for price in SEED_PRICES]
+    raw = spark.range(1).select(F.inline(F.array(*rows)))
     full = raw.withColumns(
         {"price_source": F.lit(PRICE_SOURCE_BUILTIN), "price_fetched_at": F.lit(None).cast("bigint")}
     )
@@ -66,7 +67,7 @@ def with_prices(rows: DataFrame, prices: DataFrame, *, normalized: bool = False)
     ignoring case. ``normalized`` also accepts names equal as catalog keys.
     """
     exact = _by_key(prices, F.lower("model_id"), "_exact")
-    undated = _by_key(prices, F.lower("model_id"), "_undated")
+    undated = exact.select(F.col("_exact_key").alias("_undated_key"), F.col("_exact").alias("_undated"))
     stripped = strip_day(F.col("model"))
     out = rows.withColumns(
         {
@@ -159,21 +160,13 @@ def match_catalog(models: DataFrame, catalog: DataFrame) -> DataFrame:
     two entries fits none. Each key keeps only its smallest and largest entry
     number, which is enough to tell one entry from several.
     """
-    entries = catalog.filter(~F.col("id").contains(":")).select(
-        _keys("id").alias("_key"), "entry_no", F.struct("id", "name", *_TEXT_PRICES).alias("_entry")
-    )
-    per_key = entries.groupBy("_key").agg(
-        F.min("entry_no").alias("_lo"),
-        F.max("entry_no").alias("_hi"),
-        F.min_by("_entry", "entry_no").alias("_entry"),
-    )
+    entries = catalog.filter(~F.col("id").contains(":"))
+    numbers = [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")]
+    keyed = entries.select(_keys("id").alias("_key"), F.col("entry_no").alias("_lo"), F.col("entry_no").alias("_hi"))
+    per_key = keyed.groupBy("_key").agg(*numbers)
     hits = models.select("model_id", _keys("model_id").alias("_key")).join(per_key, "_key")
-    return (
-        hits.groupBy("model_id")
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min_by("_entry", "_lo").alias("_entry"))
-        .filter(F.col("_lo") == F.col("_hi"))
-        .select("model_id", "_entry.*")
-    )
+    sure = hits.groupBy("model_id").agg(*numbers).filter(F.col("_lo") == F.col("_hi"))
+    return sure.join(entries, sure["_lo"] == entries["entry_no"]).select("model_id", "id", "name", *_TEXT_PRICES)
 
 
 _TEXT_PRICES = ("prompt", "completion", "cache_read", "cache_write")

@@ -36,15 +36,56 @@ def parent_files(records: DataFrame) -> DataFrame:
     )
 
 
+def _first_difference(timeline: DataFrame, copies: DataFrame, chunk_rows: int) -> DataFrame:
+    """Per thread with copies: where they first differ in an event or its time.
+
+    (thread_id, n_copies, at, until, sure, backwards): the earliest and latest time of
+    that event, whether the copies differ in more than its time, and whether times run
+    backwards in a copy. ``at`` is NULL when the copies are equal.
+    """
+    placed = running(
+        timeline.join(copies, "thread_id").select("thread_id", "n_copies", "file_path", "line_no", "signature", "ts"),
+        ["thread_id", "file_path"],
+        "line_no",
+        count={"_pos": F.lit(True)},
+        last_before={"_t": F.col("ts")},
+        chunk_rows=chunk_rows,
+    )
+    place = placed.groupBy("thread_id", "n_copies", "_pos").agg(
+        ((F.count("*") != F.first("n_copies")) | (F.min("signature") != F.max("signature"))).alias("_sure"),
+        F.min("ts").alias("_lo"),
+        F.max("ts").alias("_hi"),
+        F.max(F.coalesce(F.col("ts") < F.col("_t"), F.lit(False))).alias("_back"),
+    )
+    differs = F.col("_sure") | (F.col("_lo") != F.col("_hi"))
+    first = F.min_by(F.struct("_lo", "_hi", "_sure"), F.when(differs, F.col("_pos")))
+    return (
+        place.groupBy("thread_id", "n_copies")
+        .agg(first.alias("_d"), F.max("_back").alias("backwards"))
+        .select("thread_id", "n_copies", F.col("_d._lo").alias("at"), F.col("_d._hi").alias("until"), F.col("_d._sure").alias("sure"), "backwards")
+    )
+
+
 def _conflicting(children: DataFrame, timeline: DataFrame, files: DataFrame, chunk_rows: int) -> DataFrame:
     """Children whose parent exists in several copies that differ up to the fork.
 
-    Only threads stored more than once are compared, position by position.
+    Copies are compared once per parent. While times do not run backwards, a fork
+    before the first difference sees equal copies, and one after an event that is
+    missing or another in a copy sees unequal ones. Only forks between, where copies
+    give one event several times, are compared position by position for the child.
     """
     copies = files.groupBy("thread_id").agg(F.count("*").alias("n_copies")).filter("n_copies > 1")
-    asked = children.select(F.col("file_path").alias("child"), F.col("parent_id").alias("thread_id"), "fork_ts").join(
-        copies, "thread_id"
-    )
+    asked = children.select(F.col("file_path").alias("child"), F.col("parent_id").alias("thread_id"), "fork_ts")
+    told = staged(asked.join(_first_difference(timeline, copies, chunk_rows), "thread_id"), "copies")
+    orderly = ~F.col("backwards")
+    differs = orderly & F.col("sure") & (F.col("fork_ts") >= F.col("until"))
+    equal = orderly & (F.col("at").isNull() | (F.col("fork_ts") < F.col("at")))
+    unsure = told.filter(~F.coalesce(differs | equal, F.lit(False))).select("child", "thread_id", "fork_ts", "n_copies")
+    return told.filter(differs).select("child").unionByName(_compared(unsure, timeline, chunk_rows)).distinct()
+
+
+def _compared(asked: DataFrame, timeline: DataFrame, chunk_rows: int) -> DataFrame:
+    """Children (with thread_id, fork_ts, n_copies) whose parent's copies differ up to the fork, by position."""
     seen = timeline.join(asked, "thread_id").filter(F.col("ts") <= F.col("fork_ts"))
     placed = running(
         seen.select("child", "n_copies", "file_path", "line_no", "signature"),

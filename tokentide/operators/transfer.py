@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..schema import COST_COLUMNS, TOKEN_COLUMNS, TRANSFER_VERSION, USAGE_SCHEMA, conform
 from .merge import new_rows
 
-# Limits of a transfer in document form.
-MAX_IMPORT_RECORDS = 500_000
-MAX_IMPORT_BYTES = 250 * 1024 * 1024
-
-
 def _camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(w.capitalize() for w in rest)
@@ -83,10 +78,11 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
     return fill_device(from_records(records), F.lit(head["sourceDevice"]["id"]), F.lit(head["sourceDevice"]["name"]))
 
 
-def read_documents(
-    documents: DataFrame, max_records: int | None = MAX_IMPORT_RECORDS, max_bytes: int | None = MAX_IMPORT_BYTES
-) -> DataFrame:
-    """Records of transfers in single-document form, from (value)."""
+def read_documents(documents: DataFrame, max_records: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Records of transfers in single-document form, from (value).
+
+    Documents above ``max_records`` or ``max_bytes`` are refused; there is no limit unless one is given.
+    """
     sized = documents.select(F.octet_length("value").alias("_bytes"), F.from_json("value", DOCUMENT_SCHEMA).alias("d"))
     worst = sized.agg(
         F.count_if(F.col("d.schemaVersion").isNull() | (F.col("d.schemaVersion") != TRANSFER_VERSION)).alias("version"),

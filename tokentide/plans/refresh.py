@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 
 from ..operators.pricing import recost, recost_metrics, refresh_status, refreshed_prices
 from ..session import staged
+from ..sources.landed import require_rows
 
 
 def refresh_prices(usage: DataFrame, prices: DataFrame, catalog: DataFrame, fetched_at: int) -> tuple[DataFrame, DataFrame]:
-    """(new price table, one-row status) from a landed catalog."""
+    """(new price table, one-row status) from a landed catalog; an empty catalog is an error, not an update of nothing."""
+    require_rows(catalog, "the price catalog has no entries")
     fresh = staged(refreshed_prices(usage, prices, catalog, fetched_at), "prices")
     return fresh, refresh_status(usage, prices, catalog, fetched_at)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.names import provider_name
 from ..functions.times import is_hourly
 from ..operators import analytics as A, insights as I
-from ..operators.dedup import effective_usage
+from ..operators.dedup import effective_usage, time_span
 from ..operators.filters import UsageQuery
 from ..session import staged
 
@@ -44,9 +46,13 @@ def usage_report(usage: DataFrame, q: UsageQuery, page: int = 1, size: int = 10)
     """Summary, trends, providers, models, options, insights and a log page.
 
     One pass over the records builds a small cube, staged once; provider and
-    model filters apply to the cube, so the choices come from the same pass.
+    model filters apply to the cube, so the choices come from the same pass. An open
+    end of the range is taken from the records.
     """
     view = effective_usage(usage, q.without("provider_name", "model"))
+    if q.start is None or q.end is None:
+        lo, hi = time_span(view) or (0, 0)
+        q = replace(q, start=lo if q.start is None else q.start, end=hi if q.end is None else q.end)
     whole = staged(A.cube(view, is_hourly(q.start, q.end)), "cube")
     c = _where(whole, q.provider_name, q.model)
     summary, trends = A.summary_of(c), A.trends_of(c)

@@ -6,8 +6,11 @@ order: a pass that dies in between is repeated and finds its rows already known.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.names import thread_id
 from ..operators import cursors as C
 from ..operators.merge import upsert
 from ..operators.ordered import CHUNK_ROWS
@@ -29,6 +32,63 @@ def _cursor_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in CURSOR_SCHEMA])
 
 
+def changed_paths(files: DataFrame, cursors: DataFrame) -> list[str]:
+    """Paths of the files modified since their cursor.
+
+    A list of paths is what a reader takes; it is as long as the list of new files.
+    """
+    return [r.file_path for r in C.changed_files(files, cursors).select("file_path").collect()]
+
+
+def sync_files(
+    spark: SparkSession,
+    files: DataFrame,
+    cursors: DataFrame,
+    read: Callable[[SparkSession, list[str]], DataFrame],
+    sync: Callable[[DataFrame, DataFrame, int], tuple],
+    now: int,
+) -> tuple | None:
+    """A pass over the files that changed since their cursor: no other file is opened.
+
+    ``files`` is the list of files (sources.lines.list_files), ``read`` reads paths and
+    ``sync`` is one of the passes below, which gets the cursors of those files only.
+    None when nothing changed. Rollout logs need the parents of changed logs too, and
+    so take ``rollout_paths`` instead.
+    """
+    paths = changed_paths(files, cursors)
+    if not paths:
+        return None
+    read_now = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    known = staged(cursors.join(read_now, "file_path", "left_semi"), "known-cursors")
+    return sync(read(spark, paths), known, now)
+
+
+def rollout_paths(
+    spark: SparkSession,
+    files: DataFrame,
+    cursors: DataFrame,
+    pending: DataFrame,
+    read: Callable[[SparkSession, list[str]], DataFrame],
+) -> list[str]:
+    """Rollout logs to open: changed ones that are worth another try, and their parents.
+
+    A deferred log stays closed until it changes or its parent turns up. The parents
+    are found from the first lines of the changed logs; archived logs take over the
+    cursor of the place they came from.
+    """
+    known = upsert(cursors, C.inherit_archived(files, cursors), ["file_path"])
+    index = files.select(thread_id(F.col("file_name")).alias("thread_id"), "file_path").filter("thread_id is not null")
+    due = C.retry_files(files, pending, index.select("thread_id").distinct())
+    again = due.join(pending.select("file_path"), "file_path", "left_semi")
+    paths = changed_paths(due, known) + [r.file_path for r in again.select("file_path").collect()]
+    if not paths:
+        return []
+    heads = read(spark, sorted(set(paths))).filter(F.col("value").contains('"session_meta"'))
+    parents = classify_threads(rollout_records(heads)).select(F.col("parent_id").alias("thread_id"))
+    found = index.join(parents, "thread_id", "left_semi").select("file_path").collect()
+    return sorted({*paths, *(r.file_path for r in found)})
+
+
 def sync_claude(lines: DataFrame, cursors: DataFrame, now: int) -> Pass:
     """Only lines beyond the offset are read."""
     rows = claude_usage(C.unread_lines(lines, cursors), now)

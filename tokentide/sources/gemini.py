@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import logs as J
 from ..functions.names import request_key
 from ..functions.times import rfc3339_seconds
+from ..functions.tokens import clamp
 from ..schema import SEMANTICS_LEGACY, SOURCE_GEMINI
 
 _CHAT = """sessionId variant, messages array<struct<id:variant,type:string,model:variant,timestamp:string,
@@ -43,7 +44,7 @@ def gemini_usage(documents: DataFrame, ingest_ts: int) -> DataFrame:
         "model",
         F.col("model").alias("request_model"),
         F.col("_input").alias("input_tokens"),
-        (F.col("_output") + F.col("_thoughts")).alias("output_tokens"),
+        clamp(F.col("_output") + F.col("_thoughts")).alias("output_tokens"),
         F.col("_cached").alias("cache_read_tokens"),
         F.lit(0).cast("bigint").alias("cache_creation_tokens"),
         F.lit(SEMANTICS_LEGACY).alias("input_token_semantics"),

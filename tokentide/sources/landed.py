@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import decode_text, parse_usd
+from ..session import staged
 
 _CATALOG = """data array<struct<id:string,name:string,pricing:struct<prompt:string,completion:string,
 input_cache_read:string,cache_read:string,input_cache_write:string,cache_write:string>>>"""
@@ -44,10 +45,29 @@ def price_catalog(documents: DataFrame) -> DataFrame:
     )
 
 
+# Fields of a benchmark document beside its points, by the name their column gets.
+_HEADER = {
+    "benchmark_id": "benchmark_id",
+    "score_label": "score_label",
+    "document_updated_at": "source_updated_at",
+    "document_runs_24h": "runs_24h_total",
+    "document_runs_total": "runs_total",
+}
+
+
 def benchmark_points(documents: DataFrame, *keys: str) -> DataFrame:
-    """All points of the landed documents with their place in them, before validation."""
+    """All points of the landed documents with their place in them and their document's header, before validation."""
     parsed = documents.select(*keys, F.from_json("value", _POINTS).alias("d"))
-    return parsed.select(*keys, F.posexplode("d.points").alias("point_no", "p")).select(*keys, "point_no", "p.*")
+    header = [F.col(f"d.{field}").alias(name) for name, field in _HEADER.items()]
+    return parsed.select(*keys, *header, F.posexplode("d.points").alias("point_no", "p")).select(
+        *keys, "point_no", "p.*", *_HEADER
+    )
+
+
+def read_benchmark(documents: DataFrame, *keys: str) -> DataFrame:
+    """Valid points of landed documents; without a single one the load fails."""
+    points = staged(valid_points(benchmark_points(documents, *keys)), "benchmark")
+    return require_rows(points, "no valid benchmark point")
 
 
 def valid_points(points: DataFrame) -> DataFrame:
@@ -90,6 +110,11 @@ def _repeated(sections: DataFrame, pattern: str, number: str, groups: dict[str,
     return zipped.select(*keys, F.posexplode("_z").alias(number, "_m")).select(*keys, number, "_m.*")
 
 
+def complete_sections(sections: DataFrame) -> DataFrame:
+    """Sections that name at least one tier; a section without any is rejected."""
+    return sections.filter(F.col("section").rlike(_TIER))
+
+
 def quota_tiers(sections: DataFrame, *keys: str) -> DataFrame:
     """(keys, tier_no, plan, weekly_usd, source)."""
     rows = _repeated(sections, _TIER, "tier_no", {"plan": 1, "usd": 2, "source": 3}, *keys)

@@ -3,13 +3,34 @@
 A log is read as splittable text, so one huge file spreads over many tasks. The
 line number is rebuilt from the split a line came from and its place within it:
 splits are counted, the counts add up along each file, and the sum is joined
-back. No task sees a whole file.
+back. No task sees a whole file. The table of splits is small; while it is, it goes
+to all tasks and no text moves.
+
+Which files have to be read is decided from the list of files, which holds no content.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import staged
+
+#: Splits up to which their table is broadcast (about a hundred bytes each).
+BROADCAST_SPLITS = 100_000
+
+
+def list_files(spark: SparkSession, paths: str | list[str], *, glob: str | None = None) -> DataFrame:
+    """(file_path, file_name, file_size, file_modified_ns) of the files below the paths; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(paths).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("_metadata.file_size").alias("file_size"),
+        (F.unix_micros("_metadata.file_modification_time") * 1000).alias("file_modified_ns"),
+    )
+
 
 def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None = None) -> DataFrame:
     """(file_path, file_name, file_size, file_modified_ns, line_no from 1, value)."""
@@ -27,7 +48,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None
     )
     splits = raw.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    offsets = staged(splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "splits")
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return raw.join(offsets, ["file_path", "_split"]).select(
         "file_path",
         "file_name",

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import logs as J
 from ..functions.names import request_key
 from ..functions.times import millis_to_seconds
+from ..functions.tokens import clamp
 from ..schema import MONEY, SEMANTICS_LEGACY, SOURCE_OPENCODE
 
 _PAYLOAD = """role string, modelID variant, cost double, tokens struct<input:bigint,output:bigint,reasoning:bigint,
@@ -55,7 +56,7 @@ def opencode_usage(messages: DataFrame, ingest_ts: int) -> DataFrame:
         "model",
         F.col("model").alias("request_model"),
         F.col("_input").alias("input_tokens"),
-        (F.col("_output") + F.col("_reasoning")).alias("output_tokens"),
+        clamp(F.col("_output") + F.col("_reasoning")).alias("output_tokens"),
         F.col("_read").alias("cache_read_tokens"),
         F.col("_write").alias("cache_creation_tokens"),
         F.lit(SEMANTICS_LEGACY).alias("input_token_semantics"),
@@ -63,7 +64,7 @@ def opencode_usage(messages: DataFrame, ingest_ts: int) -> DataFrame:
         F.lit(SOURCE_OPENCODE).alias("provider_type"),
         millis_to_seconds(F.col("created_ms"), ingest_ts).alias("created_at"),
         F.lit(SOURCE_OPENCODE).alias("data_source"),
-        F.when(F.col("cost") > 0, F.col("cost").cast(MONEY)).alias("reported_cost"),
+        F.when(F.col("cost") > 0, F.col("cost").try_cast(MONEY)).alias("reported_cost"),
         F.lit("all").alias("reported_replaces"),
         F.lit(False).alias("reported_partial"),
     )

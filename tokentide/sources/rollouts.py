@@ -141,6 +141,11 @@ def rollout_index(files: DataFrame) -> DataFrame:
     )
 
 
+def hyphenated(text: Column) -> Column:
+    """A thread id written without hyphens gets them; any other text stays as it is."""
+    return F.regexp_replace(text, r"^([0-9a-fA-F]{8})([0-9a-fA-F]{4})([0-9a-fA-F]{4})([0-9a-fA-F]{4})([0-9a-fA-F]{12})$", "$1-$2-$3-$4-$5")
+
+
 def classify_threads(records: DataFrame) -> DataFrame:
     """Per file: (thread_id, fork_ts, parent_status, parent_id, reason).
 
@@ -153,10 +158,11 @@ def classify_threads(records: DataFrame) -> DataFrame:
         F.max("thread_id").alias("thread_id"),
         F.min_by(F.struct("meta", "ts"), meta_line).alias("f"),
     )
-    own, forked, spawned = F.col("thread_id"), F.col("f.meta.forked_from"), F.col("f.meta.spawned_by")
+    own = F.col("thread_id")
+    named, forked, spawned = (hyphenated(F.col(f"f.meta.{c}")) for c in ("id", "forked_from", "spawned_by"))
     given = F.coalesce(forked, spawned)
     reason = (
-        F.when((own != F.col("f.meta.id")), "thread id differs from file name")
+        F.when((own != named), "thread id differs from file name")
         .when(forked != spawned, "parents disagree")
         .when(given.isNotNull() & ~given.rlike(f"^{UUID_PATTERN}$"), "parent is not a thread id")
         .when(F.lower(given) == own, "parent is the thread itself")

@@ -8,15 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.names import provider_name
 from ..functions.tokens import clamp, is_success, real_total, saturating_minus
-from ..operators.dedup import drop_known
+from ..operators.dedup import bucket_of, drop_known
 from ..operators.merge import first_per_key, upsert
 from ..operators.ordered import running
 from ..schema import DEDUP_WINDOW_SECONDS, OPEN_CACHE_SOURCES, SETTLE_WINDOW_SECONDS, USAGE_SCHEMA, conform
 from .tables import BatchLog, VersionedTable
 
-POLL = "60 seconds"
-
-
 def watch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None):
     """A stream of the files landing in a folder."""
     reader = spark.readStream.format(fmt).schema(schema)
@@ -52,28 +49,49 @@ def usage_log(spark: SparkSession, path: str) -> BatchLog:
     return BatchLog(spark, path, nullable, dated=True)
 
 
+def _settled(pool: DataFrame, now: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(settled, waiting): a young record also holds back the later ones of its file."""
+    young = F.lit(now) - F.col("created_at") < window
+    barrier = pool.filter(young).groupBy("file_path").agg(F.min("line_no").alias("_barrier"))
+    marked = pool.join(barrier, "file_path", "left")
+    old = F.coalesce(F.col("line_no") < F.col("_barrier"), F.lit(True))
+    return marked.filter(old).drop("_barrier"), marked.filter(~old).drop("_barrier")
+
+
 def settle_batch(
     out: BatchLog, pending: VersionedTable, as_of: Callable[[], int], window: int = SETTLE_WINDOW_SECONDS
 ):
     """Emit records once they are older than the window; younger ones wait.
 
     Within a group (``file_path``) a waiting record also holds back the later ones.
+    A micro-batch only starts when a file lands; ``settle_sweep`` looks at what
+    waits between them.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         names = out.schema.names
         pool = pending.before(batch_id).select(*names).unionByName(batch.select(*names))
-        now = as_of()
-        young = F.lit(now) - F.col("created_at") < window
-        barrier = pool.filter(young).groupBy("file_path").agg(F.min("line_no").alias("_barrier"))
-        marked = pool.join(barrier, "file_path", "left")
-        settled = F.coalesce(F.col("line_no") < F.col("_barrier"), F.lit(True))
-        out.write(batch_id, marked.filter(settled).drop("_barrier"))
-        pending.write(batch_id, marked.filter(~settled).drop("_barrier"))
+        settled, waiting = _settled(pool, as_of(), window)
+        out.write(batch_id, settled)
+        pending.write(batch_id, waiting)
 
     return each
 
 
+def settle_sweep(out: BatchLog, pending: VersionedTable, as_of: int, window: int = SETTLE_WINDOW_SECONDS) -> None:
+    """Emit what has settled since, without a new file; run it at every poll while no batch runs.
+
+    It writes the version after the newest one. A sweep that dies before the pending
+    table is written is repeated under the same number and replaces its own output.
+    """
+    newest = pending.newest()
+    if newest is None:
+        return
+    settled, waiting = _settled(pending.at(newest), as_of, window)
+    out.write_version(newest + 1, settled)
+    pending.write_version(newest + 1, waiting)
+
+
 def live_buckets(usage: DataFrame, width: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Requests, tokens and cost per tumbling bucket and provider.
 
@@ -124,28 +142,34 @@ def suppress_live(sessions: DataFrame, proxies: DataFrame, delay: str = "1 hour"
 
     A stream-stream outer join: a session row is released when the watermark
     rules out a later proxy row. Batch reports do not need it, they hide
-    duplicates when reading; it serves consumers of the live feed.
+    duplicates when reading; it serves consumers of the live feed. The time bucket is
+    a join key, as in the batch path, so a common token tuple is cut by time.
     """
     app = F.col("app_type")
     folded = F.when(app == "claude-desktop", F.array(app, F.lit("claude"))).otherwise(F.array(app))
     p = (
         proxies.filter(is_success())
+        .withColumn("p_app", F.explode(folded))
         .select(
-            F.explode(folded).alias("p_app"),
+            "p_app",
             F.col("input_tokens").alias("p_in"),
             F.col("output_tokens").alias("p_out"),
             F.col("cache_read_tokens").alias("p_read"),
             F.col("cache_creation_tokens").alias("p_cache"),
             F.lower("model").alias("p_model"),
             F.timestamp_seconds("created_at").alias("p_at"),
+            F.explode(F.array(*[bucket_of(F.col("created_at"), window) + d * window for d in (-1, 0, 1)])).alias("p_bucket"),
         )
         .withWatermark("p_at", delay)
     )
-    s = sessions.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", delay)
+    s = sessions.withColumns(
+        {"at": F.timestamp_seconds("created_at"), "_bucket": bucket_of(F.col("created_at"), window)}
+    ).withWatermark("at", delay)
     gap = F.expr(f"interval {window} seconds")
     open_cache = F.col("data_source").isin(*OPEN_CACHE_SOURCES) & (F.col("cache_creation_tokens") == 0)
     cond = (
         (app == F.col("p_app"))
+        & (F.col("_bucket") == F.col("p_bucket"))
         & (F.col("input_tokens") == F.col("p_in"))
         & (F.col("output_tokens") == F.col("p_out"))
         & (F.col("cache_read_tokens") == F.col("p_read"))
@@ -180,26 +204,27 @@ DELTA_ROWS = T.StructType(
 )
 
 
-def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_000):
+def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_000, late: BatchLog | None = None):
     """Turn cumulative counters (thread_id, line_no, input, cached, output) into deltas.
 
     The last counters and the number of emitted events per thread live in a
     table between micro-batches. Inside a batch the deltas are running values
     over chunks, so a very busy thread does not sit in one task.
 
-    As with a read offset, lines up to the last one taken are not taken again, so
-    the increments of a thread must land in line order.
+    As with a read offset, lines up to the last one taken are not taken again. With
+    ``late``, a table of the batch's columns, those lines are kept there, so that a
+    thread whose increments landed out of order can be told from a repeat and rebuilt.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         known = state.before(batch_id)
         counters = F.struct("input", "cached", "output")
         taken = known.select("thread_id", F.col("line_no").alias("_taken"))
-        fresh = (
-            batch.join(taken, "thread_id", "left")
-            .filter(F.col("line_no") > F.coalesce("_taken", F.lit(-1)))
-            .drop("_taken")
-        )
+        placed = batch.join(taken, "thread_id", "left")
+        is_new = F.col("line_no") > F.coalesce("_taken", F.lit(-1))
+        fresh = placed.filter(is_new).drop("_taken")
+        if late is not None:
+            late.write(batch_id, placed.filter(~is_new).drop("_taken"))
         linked = running(
             fresh.select("thread_id", "line_no", "input", "cached", "output"),
             ["thread_id"],

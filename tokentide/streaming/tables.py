@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.times import event_date
+from ..session import hadoop_path
+
+#: Versions between two micro-batches, for what is written while no batch runs.
+BETWEEN = 1_000_000
+
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete subfolders ``prefix=number`` of a folder, from storage."""
+    files, place = hadoop_path(spark, path)
+    if not files.exists(place):
+        return []
+    found = []
+    for entry in files.listStatus(place):
+        name, sub = entry.getPath().getName(), spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
+        if name.startswith(f"{prefix}=") and files.exists(sub):
+            found.append(int(name.removeprefix(f"{prefix}=")))
+    return sorted(found)
 
 
 class VersionedTable:
-    """A small table with one full version per micro-batch.
+    """A small table with full versions, numbered by micro-batch.
 
-    Batch n reads the version of batch n-1 and writes its own, so a repeated
-    batch starts from the same state and replaces its own output.
+    Batch n reads the newest version before its own number and writes that number,
+    so a repeated batch starts from the same state and replaces its own output.
+    What a reader sees comes from storage alone, also after a restart. Versions
+    that no repeat can need any more are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path, self.schema = spark, path, schema
-        self._written: int | None = None
 
-    def at(self, batch: int) -> DataFrame:
-        if batch < 0:
+    def newest(self, below: int | None = None) -> int | None:
+        """Number of the newest complete version, of those below a number."""
+        found = [v for v in _numbers(self.spark, self.path, "v") if below is None or v < below]
+        return found[-1] if found else None
+
+    def at(self, version: int | None) -> DataFrame:
+        if version is None:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={batch}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
 
     def before(self, batch: int) -> DataFrame:
-        return self.at(batch - 1)
+        return self.at(self.newest(batch * BETWEEN))
 
     def latest(self) -> DataFrame:
-        return self.at(-1 if self._written is None else self._written)
+        return self.at(self.newest())
 
     def write(self, batch: int, df: DataFrame) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self._written = batch
+        self.write_version(batch * BETWEEN, df)
+
+    def write_version(self, version: int, df: DataFrame) -> None:
+        needed = self.newest(version - version % BETWEEN)
+        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        for old in _numbers(self.spark, self.path, "v"):
+            if needed is not None and old < needed:
+                files, place = hadoop_path(self.spark, f"{self.path}/v={old}")
+                files.delete(place, True)
 
 
 class BatchLog:
@@ -45,15 +74,18 @@ class BatchLog:
         self.spark, self.path, self.schema, self.dated = spark, path, schema, dated
 
     def write(self, batch: int, df: DataFrame) -> None:
+        self.write_version(batch * BETWEEN, df)
+
+    def write_version(self, version: int, df: DataFrame) -> None:
         rows = df.select(*self.schema.names)
         if not self.dated:
-            rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+            rows.write.mode("overwrite").parquet(f"{self.path}/batch={version}")
             return
         days = rows.withColumn("event_date", event_date(F.col("created_at")))
-        days.write.mode("overwrite").partitionBy("event_date").parquet(f"{self.path}/batch={batch}")
+        days.write.mode("overwrite").partitionBy("event_date").parquet(f"{self.path}/batch={version}")
 
     def at(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch * BETWEEN}")
 
     def read(self, before: int | None = None) -> DataFrame:
         """All rows, or those of earlier batches only."""
@@ -61,12 +93,9 @@ class BatchLog:
         if self.dated:
             extra.append(T.StructField("event_date", T.DateType()))
         full = T.StructType([*self.schema.fields, *extra])
-        if before == 0:
-            return self.spark.createDataFrame([], full).drop("batch")
-        try:
-            rows = self.spark.read.schema(full).parquet(self.path)
-        except AnalysisException:  # nothing written yet
+        if not _numbers(self.spark, self.path, "batch"):  # nothing written yet
             return self.spark.createDataFrame([], full).drop("batch")
+        rows = self.spark.read.schema(full).parquet(self.path)
         if before is not None:
-            rows = rows.filter(rows["batch"] < before)
+            rows = rows.filter(rows["batch"] < before * BETWEEN)
         return rows.drop("batch")

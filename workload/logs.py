@@ -20,13 +20,15 @@ from tokentide.operators.merge import (
     upsert,
 )
 from tokentide.operators.replay import parent_timeline, replay_prefix
-from tokentide.operators.transfer import export_usage, import_summary, import_usage, read_export
+from tokentide.operators.transfer import export_usage, import_summary, import_usage, read_documents, read_export, to_records
 from tokentide.plans.ingest import ingest_all, rollout_rows, rollout_tables
-from tokentide.schema import SESSION_SOURCES
+from tokentide.plans.sync import sync_claude, sync_files
+from tokentide.schema import CURSOR_SCHEMA, SESSION_SOURCES, TRANSFER_VERSION
 from tokentide.session import new_path, staged
 from tokentide.operators.pricing import seed_prices
 from tokentide.sources.claude import claude_usage
 from tokentide.sources.gemini import gemini_usage
+from tokentide.sources.lines import list_files, read_lines
 from tokentide.sources.grok import deferred_files, grok_events, grok_usage, settled_events
 from tokentide.sources.opencode import opencode_incomplete, opencode_usage
 from tokentide.sources.rollouts import rollout_index, rollout_records, rollout_usage, token_events
@@ -43,6 +45,7 @@ from .views import (
     money,
     pick,
     sql_case,
+    sql_cost,
     usage,
 )
 
@@ -80,6 +83,11 @@ def tokens_in() -> Column:
     return F.floor(F.col("value") * 100).cast("bigint")
 
 
+def wild(count: Column) -> Column:
+    """Some records report a count far beyond what a counter can hold."""
+    return F.when(F.col("k") == 7, F.lit(5_000_000_000_000)).otherwise(count)
+
+
 # --- project logs ----------------------------------------------------------------
 
 
@@ -93,7 +101,7 @@ def claude_lines(spark, sf):
         F.when(F.col("user_id") % 6 != 4, model_of(e)).alias("model"),
         F.when(final & (F.col("event_type") != "error"), "end_turn").alias("stop_reason"),
         F.struct(
-            tokens_in().alias("input_tokens"),
+            wild(tokens_in()).alias("input_tokens"),
             F.when(final, F.col("k") * 11).otherwise(F.col("k") * 20).alias("output_tokens"),
             (F.col("k") * 50).alias("cache_read_input_tokens"),
             F.when(F.col("k") > 50, F.col("k")).alias("cache_creation_input_tokens"),
@@ -117,6 +125,28 @@ def ingest_claude(spark, sf):
     return claude_usage(claude_lines(spark, sf), NOW).select(*ROW)
 
 
+WAVE = T0 + 15 * 86400
+
+
+def sync_claude_files(spark, sf):
+    """Project logs as real files in two waves; each pass opens only the files that are new."""
+    lines = claude_lines(spark, sf).withColumn("user", F.regexp_extract("file_path", "s-([0-9]+)", 1))
+    times = events(spark, sf).select(F.floor("event_id").alias("event"), "t")
+    folder = new_path(spark, "projects")
+    cursors = spark.createDataFrame([], CURSOR_SCHEMA)
+    out = None
+    for wave, part in enumerate((F.col("t") < WAVE, F.col("t") >= WAVE)):
+        own = lines.join(times.filter(part), F.floor(F.col("line_no") / 2) == F.col("event"), "left_semi")
+        dealt = own.repartition(4, "user").sortWithinPartitions("user", "line_no").select("user", "value")
+        dealt.write.mode("append").partitionBy("user").text(folder)
+        done = sync_files(spark, list_files(spark, folder, glob="*.txt"), cursors, read_lines, sync_claude, NOW)
+        rows, changes = (staged(df, "sync") for df in done)
+        cursors = staged(upsert(cursors, changes, ["file_path"]), "cursors")
+        rows = rows.select(F.lit(wave).alias("wave"), *ROW)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- chat documents ----------------------------------------------------------------
 
 
@@ -128,7 +158,7 @@ def gemini_documents(spark, sf):
         model_of(e).alias("model"),
         iso(F.col("t")).alias("timestamp"),
         F.struct(
-            tokens_in().alias("input"), F.col("k").alias("output"), (F.col("k") * 3).alias("cached"), (F.col("k") * 2).alias("thoughts")
+            wild(tokens_in()).alias("input"), F.col("k").alias("output"), (F.col("k") * 3).alias("cached"), (F.col("k") * 2).alias("thoughts")
         ).alias("tokens"),
     )
     asked = own.withField("type", F.lit("user"))
@@ -154,9 +184,9 @@ def opencode_tables(spark, sf):
     data = F.struct(
         F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"),
         model_of(e).alias("modelID"),
-        F.when(F.col("event_type") == "purchase", F.round(F.col("value"), 2)).alias("cost"),
+        F.when(F.col("event_type") == "purchase", F.when(F.col("k") == 9, F.lit(4e12)).otherwise(F.round(F.col("value"), 2))).alias("cost"),
         F.struct(
-            tokens_in().alias("input"),
+            wild(tokens_in()).alias("input"),
             F.col("k").alias("output"),
             (F.col("k") * 2).alias("reasoning"),
             F.struct((F.col("k") * 5).alias("read"), (F.col("k") * 7).alias("write")).alias("cache"),
@@ -516,6 +546,20 @@ def export_import(spark, sf):
     )
 
 
+def import_documents(spark, sf):
+    """The same records as transfers in single-document form, one document per session."""
+    rows = usage(spark, sf)
+    record = F.struct(*to_records(rows).columns)
+    of_session = to_records(rows).withColumn("owner", F.col("sessionId")).groupBy("owner").agg(F.collect_list(record).alias("records"))
+    device = F.struct(F.lit("dev-a").alias("id"), F.lit("Device A").alias("name"))
+    body = F.struct(F.lit(TRANSFER_VERSION).alias("schemaVersion"), F.lit(NOW).alias("exportedAt"), device.alias("sourceDevice"), "records")
+    documents = of_session.select(F.to_json(body).alias("value"))
+    out = import_usage(read_documents(documents), _stored(spark, sf))
+    return out.select(
+        "request_id", "model", "output_tokens", F.round("total_cost_usd", 6).cast("double").alias("total_cost_usd"), "is_streaming", "created_at"
+    )
+
+
 def import_counts(spark, sf):
     path = new_path(spark, "export")
     export_usage(usage(spark, sf), path, "dev-a", "Device A", NOW)
@@ -523,7 +567,7 @@ def import_counts(spark, sf):
 
 
 def multi_source(spark, sf):
-    """All sources into one table; one source fails and is only reported."""
+    """All sources into one table that holds the proxy's records; one more source fails and is only reported."""
 
     def broken():
         raise OSError("source not readable")
@@ -531,7 +575,7 @@ def multi_source(spark, sf):
     def grok():
         return grok_usage(settled_events(grok_events(grok_lines(spark, sf)), SETTLED_AT))
 
-    fact = usage(spark, sf).filter("data_source <> 'proxy'")
+    fact = usage(spark, sf)
     rows, report = ingest_all(
         spark,
         {
@@ -539,22 +583,26 @@ def multi_source(spark, sf):
             "codex_session": lambda: rollout_rows(plain_threads(spark, sf), NOW)[0],
             "gemini_session": lambda: gemini_usage(gemini_documents(spark, sf), NOW),
             "opencode_session": lambda: opencode_usage(opencode_tables(spark, sf)[1], NOW),
-            "zcode_session": broken,
+            "zcode_session": lambda: zcode_usage(zcode_tables(spark, sf)[1], NOW),
             "grok_session": grok,
+            "lost_session": broken,
         },
         fact,
         seed_prices(spark),
         device_id="dev-home",
         device_name="Home",
     )
-    stored = rows.groupBy("data_source").agg(F.sum("output_tokens").alias("output_tokens"))
+    stored = rows.groupBy("data_source").agg(
+        F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("total_cost_usd"), 6).cast("double").alias("total_cost")
+    )
     return report.join(stored, "data_source", "left").select(
-        "data_source", "imported", "skipped", F.col("error").isNotNull().alias("failed"), "output_tokens"
+        "data_source", "imported", "skipped", F.col("error").isNotNull().alias("failed"), "output_tokens", "total_cost"
     )
 
 
 QUERIES = {
     "ingest_claude": ingest_claude,
+    "sync_files": sync_claude_files,
     "ingest_gemini": ingest_gemini,
     "ingest_opencode": ingest_opencode,
     "opencode_watermarks": opencode_watermarks,
@@ -577,36 +625,37 @@ QUERIES = {
     "rebuild_delete": rebuild_delete,
     "rebuild_cursors": rebuild_cursors,
     "export_import_roundtrip": export_import,
+    "import_documents": import_documents,
     "import_counts": import_counts,
     "multi_source_union": multi_source,
 }
 
 # --- SQL ---------------------------------------------------------------------------------------
 
-_E = f"WITH {EVENTS_SQL}, m AS (SELECT *, {sql_case('user_id % 6', MODELS)} AS model, CAST(floor(value * 100) AS BIGINT) AS inp FROM e)"
+_E = f"WITH {EVENTS_SQL}, m AS (SELECT *, {sql_case('user_id % 6', MODELS)} AS model, CAST(floor(value * 100) AS BIGINT) AS inp, CASE WHEN k = 7 THEN 4294967295 ELSE CAST(floor(value * 100) AS BIGINT) END AS wild FROM e)"
 
 _CLAUDE = f"""{_E}, since AS (SELECT user_id, MIN(event_id) * 2 AS line FROM e WHERE event_type = 'click' GROUP BY 1),
 best AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS final FROM m WHERE event_type <> 'view'),
 claude AS (
-SELECT 'session:m' || event_id AS request_id, 'claude' AS app_type, model, inp AS input_tokens,
+SELECT 'session:m' || event_id AS request_id, 'claude' AS app_type, model, wild AS input_tokens,
   CASE WHEN final = 1 THEN k * 11 ELSE k * 20 END AS output_tokens, k * 50 AS cache_read_tokens,
   CASE WHEN k > 50 THEN k ELSE 0 END AS cache_creation_tokens,
   CASE WHEN since.line <= event_id * 2 + final THEN 's-' || best.user_id END AS session_id,
   CASE WHEN event_type = 'signup' THEN {NOW} ELSE t END AS created_at
-FROM best LEFT JOIN since USING (user_id) WHERE inp > 0 OR k > 0)"""
+FROM best LEFT JOIN since USING (user_id) WHERE wild > 0 OR k > 0)"""
 
 _GEMINI = f"""{_E}, gemini AS (
 SELECT 'gemini_session:' || CASE WHEN event_type = 'signup' THEN 'unknown' ELSE 'c' || event_id END || ':' ||
   CASE WHEN event_type = 'error' THEN 'unknown' ELSE 'g' || event_id END AS request_id, 'gemini' AS app_type, model,
-  inp AS input_tokens, k * 3 AS output_tokens, k * 3 AS cache_read_tokens, 0::BIGINT AS cache_creation_tokens,
+  wild AS input_tokens, k * 3 AS output_tokens, k * 3 AS cache_read_tokens, 0::BIGINT AS cache_creation_tokens,
   CASE WHEN event_type <> 'signup' THEN 'c' || event_id END AS session_id, t AS created_at
 FROM m WHERE inp > 0 OR k > 0)"""
 
 _OPENCODE = f"""{_E}, opencode AS (
 SELECT 'opencode_session:s-' || user_id || ':m' || event_id AS request_id, 'opencode' AS app_type, model,
-  inp AS input_tokens, k * 3 AS output_tokens, k * 5 AS cache_read_tokens, k * 7 AS cache_creation_tokens,
+  wild AS input_tokens, k * 3 AS output_tokens, k * 5 AS cache_read_tokens, k * 7 AS cache_creation_tokens,
   's-' || user_id AS session_id, t AS created_at,
-  CASE WHEN event_type = 'purchase' AND round(value, 2) > 0 THEN round(value, 2) END AS reported_cost
+  CASE WHEN event_type = 'purchase' AND k <> 9 AND round(value, 2) > 0 THEN round(value, 2) END AS reported_cost
 FROM m WHERE (inp > 0 OR k > 0) AND event_type NOT IN ('view', 'error'))"""
 
 _GROK = f"""{_E}, young AS (SELECT user_id, MIN(event_id) AS barrier FROM e
@@ -624,6 +673,17 @@ WHERE (g.name = 'unknown') = (event_type = 'purchase') AND (inp > 0 OR k > 0)
   AND (barrier IS NULL OR event_id < barrier))"""
 
 
+_ZCODE = f"""{_E}, z AS (
+  SELECT *, CASE WHEN k = 7 THEN 4294967295 ELSE inp END AS zin, CASE WHEN k = 8 THEN 0 ELSE k END AS zout FROM m),
+zcode AS (
+SELECT 'zcode_session:z' || event_id AS request_id, 'zcode' AS app_type, model, zin AS input_tokens,
+  zout + k * 2 AS output_tokens, CASE WHEN k > 10 THEN k * 4 ELSE 0 END AS cache_read_tokens,
+  k * 3 AS cache_creation_tokens, 's-' || user_id AS session_id,
+  CASE WHEN event_type = 'click' THEN t + 5 ELSE t END AS created_at, GREATEST(k * 9 - 50, 0) AS latency_ms,
+  CASE WHEN k > 3 THEN GREATEST(k - 20, 0) END AS first_token_ms
+FROM z WHERE event_type <> 'error' AND (zin > 0 OR k > 0))"""
+
+
 def _rollout_sql(source: str, name: str = "deltas") -> str:
     """Deltas over ``source`` (owner, event columns), by LAG over the total events."""
     return f"""
@@ -661,24 +721,24 @@ _FORKED = f"""{_E}, src AS (
   UNION ALL SELECT *, user_id FROM e WHERE user_id % 2 = 1 AND t > {FORK}),{_rollout_sql('src')}"""
 
 _ROW = ", ".join(ROW)
+_SHARED = _ROW.replace("session_id, ", "")
 _SESSION = "data_source <> 'proxy'"
 _STORED = "(data_source = 'proxy' OR status_code = 500)"
 
 ORACLES = {
     "ingest_claude": f"{_CLAUDE} SELECT {_ROW} FROM claude",
+    "sync_files": f"""{_E}, since AS (SELECT user_id, t >= {WAVE} AS late, MIN(event_id) AS first FROM e WHERE event_type = 'click' GROUP BY ALL)
+SELECT CASE WHEN t >= {WAVE} THEN 1 ELSE 0 END AS wave, 'session:m' || event_id AS request_id, 'claude' AS app_type, model,
+  wild AS input_tokens, CASE WHEN event_type = 'error' THEN k * 20 ELSE k * 11 END AS output_tokens, k * 50 AS cache_read_tokens,
+  CASE WHEN k > 50 THEN k ELSE 0 END AS cache_creation_tokens, CASE WHEN first <= event_id THEN 's-' || m.user_id END AS session_id,
+  CASE WHEN event_type = 'signup' THEN {NOW} ELSE t END AS created_at
+FROM m LEFT JOIN since ON since.user_id = m.user_id AND late = (t >= {WAVE}) WHERE event_type <> 'view' AND (wild > 0 OR k > 0)""",
     "ingest_gemini": f"{_GEMINI} SELECT {_ROW} FROM gemini",
     "ingest_opencode": f"{_OPENCODE} SELECT {_ROW}, reported_cost FROM opencode",
     "opencode_watermarks": f"""{_E}, w AS (SELECT 's-' || user_id AS session_id, MAX(t) * 1000 + 900 AS watermark,
   COUNT(*) FILTER (WHERE event_type = 'error') AS open FROM e GROUP BY 1)
 SELECT session_id, watermark, open = 0 AS advances FROM w WHERE watermark >= {(T0 + 29 * 86400) * 1000}""",
-    "ingest_zcode": f"""{_E}, z AS (
-  SELECT *, CASE WHEN k = 7 THEN 4294967295 ELSE inp END AS zin, CASE WHEN k = 8 THEN 0 ELSE k END AS zout FROM m)
-SELECT 'zcode_session:z' || event_id AS request_id, 'zcode' AS app_type, model, zin AS input_tokens,
-  zout + k * 2 AS output_tokens, CASE WHEN k > 10 THEN k * 4 ELSE 0 END AS cache_read_tokens,
-  k * 3 AS cache_creation_tokens, 's-' || user_id AS session_id,
-  CASE WHEN event_type = 'click' THEN t + 5 ELSE t END AS created_at, GREATEST(k * 9 - 50, 0) AS latency_ms,
-  CASE WHEN k > 3 THEN GREATEST(k - 20, 0) END AS first_token_ms
-FROM z WHERE event_type <> 'error' AND (zin > 0 OR k > 0)""",
+    "ingest_zcode": f"{_ZCODE} SELECT {_ROW}, latency_ms, first_token_ms FROM zcode",
     "zcode_watermarks": f"""{_E} SELECT 's-' || user_id AS session_id,
   GREATEST(COALESCE(MAX(CASE WHEN event_type <> 'error' THEN t * 1000 + 5000 END), 0),
            COALESCE(MAX(CASE WHEN event_type = 'signup' THEN t * 1000 + 5000 END), MIN(t) * 1000)) AS watermark,
@@ -723,17 +783,38 @@ WHERE NOT (data_source = 'codex_session' AND session_id IN (SELECT 's-' || user_
     "rebuild_cursors": f"""{_E} SELECT '/home/sessions/rollout-' || user_id || '.jsonl' AS file_path,
   COUNT(*) AS last_line_offset FROM e WHERE t <= {T0 + 20 * 86400} AND user_id % 3 = 0 GROUP BY user_id""",
     "export_import_roundtrip": f"""{WITH_USAGE} SELECT request_id, model, output_tokens, {money('total_cost_usd')} AS total_cost_usd,
+  true AS is_streaming, created_at FROM u WHERE NOT {_STORED}""",
+    "import_documents": f"""{WITH_USAGE} SELECT request_id, model, output_tokens, {money('total_cost_usd')} AS total_cost_usd,
   true AS is_streaming, created_at FROM u WHERE NOT {_STORED}""",
     "import_counts": f"""{WITH_USAGE} SELECT COUNT(*) FILTER (WHERE NOT {_STORED}) AS imported,
   COUNT(*) FILTER (WHERE {_STORED}) AS skipped, COUNT(DISTINCT device_id) AS device_count FROM u""",
     "multi_source_union": f"""{_CLAUDE}, {_GEMINI.removeprefix(_E + ', ')}, {_OPENCODE.removeprefix(_E + ', ')},
-{_GROK.removeprefix(_E + ', ')}, {_PLAIN.removeprefix(_E + ', ')},
-rows_ AS (SELECT 'session_log' AS data_source, request_id, output_tokens FROM claude
-  UNION ALL SELECT 'codex_session', request_id, output_tokens FROM deltas
-  UNION ALL SELECT 'gemini_session', request_id, output_tokens FROM gemini
-  UNION ALL SELECT 'opencode_session', request_id, output_tokens FROM opencode
-  UNION ALL SELECT 'grok_session', request_id, output_tokens FROM grok)
-SELECT data_source, COUNT(DISTINCT request_id) AS imported, COUNT(*) - COUNT(DISTINCT request_id) AS skipped, false AS failed,
-  {big('SUM(output_tokens)')} AS output_tokens FROM rows_ GROUP BY 1
-UNION ALL SELECT 'zcode_session', 0, 0, true, NULL""",
+{_GROK.removeprefix(_E + ', ')}, {_ZCODE.removeprefix(_E + ', ')}, {_PLAIN.removeprefix(_E + ', ')},
+{WITH_USAGE.split(EVENTS_SQL + ',', 1)[1]},
+price(name, pi, po, pr, pw) AS (SELECT c0, c1::DECIMAL(10,6), c2::DECIMAL(10,6), c3::DECIMAL(10,6), c4::DECIMAL(10,6) FROM (VALUES
+    ('claude-sonnet-4-6', 3, 15, 0.3, 3.75), ('gpt-5.2', 1.75, 14, 0.175, 0), ('glm-5.2', 0.63, 1.98, 0.0945, 0),
+    ('gpt-5.5', 5, 30, 0.5, 0), ('gpt-5.6-sol', 5, 30, 0.5, 6.25), ('grok-4.5', 2, 6, 0.5, 0),
+    ('grok-4.5-build', 2, 6, 0.3, 0)) AS v(c0, c1, c2, c3, c4)),
+rows_ AS (SELECT 'session_log' AS data_source, {_SHARED}, NULL::DOUBLE AS reported_cost, false AS partial FROM claude
+  UNION ALL SELECT 'codex_session', {_SHARED}, NULL, false FROM deltas
+  UNION ALL SELECT 'gemini_session', {_SHARED}, NULL, false FROM gemini
+  UNION ALL SELECT 'opencode_session', {_SHARED}, reported_cost, false FROM opencode
+  UNION ALL SELECT 'zcode_session', {_SHARED}, NULL, false FROM zcode
+  UNION ALL SELECT 'grok_session', {_SHARED}, reported_cost, reported_partial FROM grok),
+seen AS (SELECT DISTINCT l.data_source, l.request_id FROM rows_ l JOIN u p ON {MATCH_BY_APP}
+  UNION SELECT DISTINCT l.data_source, l.request_id FROM rows_ l JOIN u p ON p.created_at BETWEEN l.created_at - 600 AND l.created_at + 600
+  WHERE l.data_source = 'grok_session' AND p.data_source = 'proxy' AND p.app_type = 'grokbuild'),
+fresh AS (SELECT r.*, name IS NOT NULL AS found,
+    CASE WHEN data_source IN ('codex_session', 'gemini_session', 'grok_session', 'zcode_session')
+         THEN GREATEST(input_tokens - cache_read_tokens - cache_creation_tokens, 0) ELSE input_tokens END AS billable, pi, po, pr, pw
+  FROM rows_ r ANTI JOIN seen USING (data_source, request_id)
+  LEFT JOIN price ON name = regexp_replace(lower(model), '-[0-9]{{8}}$', '')),
+costed AS (SELECT *, CASE WHEN reported_cost IS NOT NULL AND (data_source = 'opencode_session' OR NOT found OR NOT partial)
+    THEN CAST(reported_cost AS DECIMAL(18,6)) WHEN found THEN {sql_cost('billable', 'pi')} + {sql_cost('output_tokens', 'po')}
+      + {sql_cost('cache_read_tokens', 'pr')} + {sql_cost('cache_creation_tokens', 'pw')} ELSE 0 END AS cost FROM fresh),
+offered AS (SELECT data_source, COUNT(*) AS n FROM rows_ GROUP BY 1)
+SELECT data_source, COUNT(cost) AS imported, any_value(n) - COUNT(cost) AS skipped, false AS failed,
+  {big('SUM(output_tokens)')} AS output_tokens, {money('SUM(cost)')} AS total_cost
+FROM offered LEFT JOIN costed USING (data_source) GROUP BY 1
+UNION ALL SELECT 'lost_session', 0, 0, true, NULL, NULL""",
 }

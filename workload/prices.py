@@ -6,9 +6,9 @@ from pyspark.sql import Column, functions as F
 
 from tokentide.operators import benchmark as B, pricing as P
 from tokentide.operators.analytics import price_ranges
+from tokentide.plans.refresh import refresh_and_recost
 from tokentide.schema import COST_COLUMNS, PRICE_COLUMNS, PRICING_SCHEMA
 from tokentide.sources import landed as L
-from tokentide.sources.seed_prices import SEED_PRICES
 
 from .views import WITH_USAGE, money, pick, sql_case, sql_cost, table, usage
 
@@ -138,6 +138,19 @@ def refresh_status(spark, sf):
     return P.refresh_status(used_models(spark, sf), local_prices(spark, sf), catalog, FETCHED_AT)
 
 
+def refresh_recost(spark, sf):
+    """A catalog with one model that the price list lacks, then re-pricing with the new list."""
+    region = table(spark, sf, "region").filter("r_regionkey = 1")
+    prices = F.struct(per_token(F.col("r_regionkey") * 100).alias("prompt"), per_token(F.col("r_regionkey") * 300).alias("completion"))
+    listed = F.array(F.struct(F.lit("lab/House-Model").alias("id"), F.col("r_name").alias("name"), prices.alias("pricing")))
+    catalog = L.price_catalog(region.select(F.to_json(F.struct(listed.alias("data"))).alias("value")))
+    out = refresh_and_recost(usage(spark, sf), P.seed_prices(spark), catalog, FETCHED_AT)
+    totals = out["usage"].agg(F.round(F.sum("total_cost_usd"), 6).cast("double").alias("total_cost"))
+    rows = {r: out[r].withColumn("one", F.lit(1)) for r in ("status", "metrics")}
+    both = rows["status"].join(rows["metrics"], "one").join(totals.withColumn("one", F.lit(1)), "one")
+    return both.select("catalog_models", "updated_models", "added_models", "updated", "skipped", "total_cost")
+
+
 # --- benchmark points: one landed document per order ---------------------------
 
 POINT_MODELS = ("gpt-5.6-sol", "gpt-5.5", "GPT-5.4", "glm-5.2", "", "gpt-5.6-terra", "gpt-5.4")
@@ -154,17 +167,27 @@ def point_documents(spark, sf):
         (F.col("o_custkey") / 2 - 5).alias("average_minutes"),
         (F.col("o_orderkey") % 90).alias("total"),
     )
-    return o.select("o_orderkey", F.to_json(F.struct(F.array(point).alias("points"))).alias("value"))
+    board = F.concat(F.lit("board-"), F.col("o_custkey") % 3)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    body = F.struct(board.alias("benchmark_id"), day.alias("source_updated_at"), F.array(point).alias("points"))
+    return o.select("o_orderkey", F.to_json(body).alias("value"))
 
 
 def points(spark, sf):
-    parsed = L.benchmark_points(point_documents(spark, sf), "o_orderkey")
-    return L.valid_points(parsed).withColumn("point_no", F.col("o_orderkey"))
+    return L.read_benchmark(point_documents(spark, sf), "o_orderkey").withColumn("point_no", F.col("o_orderkey"))
 
 
 def points_valid(spark, sf):
     return points(spark, sf).select(
-        "point_no", "model", "effort", F.round("iq", 6).alias("iq"), "average_price_usd", "average_minutes", "total"
+        "point_no",
+        "model",
+        "effort",
+        F.round("iq", 6).alias("iq"),
+        "average_price_usd",
+        "average_minutes",
+        "total",
+        "benchmark_id",
+        "document_updated_at",
     )
 
 
@@ -219,7 +242,7 @@ def quota_pages(spark, sf):
 
 
 def _sections(spark, sf):
-    return L.quota_sections(quota_pages(spark, sf), "page_id")
+    return L.complete_sections(L.quota_sections(quota_pages(spark, sf), "page_id"))
 
 
 def page_section(spark, sf):
@@ -250,6 +273,7 @@ QUERIES = {
     "price_list": lambda s, d: P.price_list(_price_rows(_refreshed(s, d))),
     "price_cache_summary": lambda s, d: P.price_cache_summary(_refreshed(s, d)),
     "price_refresh_status": refresh_status,
+    "refresh_recost": refresh_recost,
     "benchmark_points_valid": points_valid,
     "benchmark_heatmap": heatmap,
     "benchmark_headline": headline,
@@ -262,11 +286,11 @@ QUERIES = {
 
 # --- SQL ------------------------------------------------------------------------
 
-_VALUES = ", ".join(
-    "('{}', {})".format(line.split("|")[0], ", ".join(f"{x}::DECIMAL(10,6)" for x in line.split("|")[2:]))
-    for line in SEED_PRICES
-)
-_SEED = f"seed(model_id, pi, po, pr, pw) AS (VALUES {_VALUES})"
+# the bundled prices of the models that the usage rows name, written out apart from the package
+_SEED = """seed(model_id, pi, po, pr, pw) AS (
+  SELECT c0, c1::DECIMAL(10,6), c2::DECIMAL(10,6), c3::DECIMAL(10,6), c4::DECIMAL(10,6) FROM (VALUES
+    ('claude-sonnet-4-6', 3, 15, 0.3, 3.75), ('gpt-5.2', 1.75, 14, 0.175, 0), ('glm-5.2', 0.63, 1.98, 0.0945, 0),
+    ('gpt-5.4', 2.5, 15, 0.25, 0)) AS v(c0, c1, c2, c3, c4))"""
 _PRICED = f"""{WITH_USAGE}, {_SEED},
 priced AS (
   SELECT u.*, COALESCE(a.model_id, b.model_id) AS priced_as,
@@ -345,12 +369,13 @@ _POINTS = f"""WITH raw_points AS (
          {sql_case('o_orderkey % 7', POINT_EFFORTS)} AS effort,
          CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) / 3000 END AS iq,
          CASE WHEN o_custkey % 5 > 0 THEN o_custkey / 4 - 10 END AS price, o_custkey / 2 - 5 AS minutes,
-         o_orderkey % 90 AS total
+         o_orderkey % 90 AS total, 'board-' || (o_custkey % 3) AS benchmark_id,
+         strftime(o_orderdate, '%Y-%m-%d') AS document_updated_at
   FROM orders
 ),
 valid AS (
   SELECT point_no, model, effort, iq, CASE WHEN price >= 0 THEN price END AS average_price_usd,
-         CASE WHEN minutes >= 0 THEN minutes END AS average_minutes, total
+         CASE WHEN minutes >= 0 THEN minutes END AS average_minutes, total, benchmark_id, document_updated_at
   FROM raw_points WHERE iq BETWEEN 0 AND 150 AND model <> '' AND effort <> '' AND total > 0
 ),
 reliable AS (SELECT * FROM valid WHERE model LIKE 'gpt-%' AND total >= 30)"""
@@ -384,8 +409,14 @@ FROM new WHERE data_source <> 'proxy' AND total_cost_usd = 0""",
   (SELECT COUNT(*) FROM entries) + (SELECT COUNT(*) FROM part WHERE p_size % 7 = 0) AS catalog_models,
   (SELECT COUNT(*) FROM updated) AS updated_models, (SELECT COUNT(*) FROM added) AS added_models,
   (SELECT COUNT(*) FROM updated) + (SELECT COUNT(*) FROM added) AS matched_models""",
+    "refresh_recost": f"""{_PRICED}, again AS (
+  SELECT *, CASE WHEN model = 'house-model' THEN {sql_cost('billable', '1')} + {sql_cost('output_tokens', '3')}
+    ELSE n1 + n2 + n3 + n4 END AS now, priced_as IS NOT NULL OR model = 'house-model' AS found FROM new)
+SELECT 1::BIGINT AS catalog_models, 0::BIGINT AS updated_models, 1::BIGINT AS added_models,
+  COUNT(*) FILTER (WHERE data_source <> 'proxy' AND found) AS updated, COUNT(*) FILTER (WHERE data_source <> 'proxy' AND NOT found) AS skipped,
+  {money("SUM(CASE WHEN data_source <> 'proxy' AND found THEN now ELSE total_cost_usd END)")} AS total_cost FROM again""",
     "benchmark_points_valid": f"""{_POINTS} SELECT point_no, model, effort, ROUND(iq, 6) AS iq, average_price_usd,
-  average_minutes, total FROM valid""",
+  average_minutes, total, benchmark_id, document_updated_at FROM valid""",
     "benchmark_heatmap": f"""{_POINTS} SELECT model,
   CASE model WHEN 'gpt-5.6-sol' THEN 0 WHEN 'gpt-5.6-terra' THEN 1 WHEN 'gpt-5.6-luna' THEN 2
              WHEN 'gpt-5.5' THEN 3 ELSE 4 END AS model_rank,

@@ -38,7 +38,31 @@ def usage_report_bundle(spark, sf):
     return report["summary"].select("total_requests", "total_cost", "real_total_tokens")
 
 
+def usage_report_sections(spark, sf):
+    """Every section of the overview as (section, key, value)."""
+    report = usage_report(usage(spark, sf), WHOLE)
+    kinds = {
+        "trends": ("date", "total_tokens"),
+        "providers": ("provider_id", "request_count"),
+        "models": ("model", "total_cost"),
+        "composition": ("part", "tokens"),
+        "log": ("request_id", "created_at"),
+        "log_total": (None, "total"),
+        "options": ("name", None),
+    }
+    out = None
+    for section, (key, value) in kinds.items():
+        part = report[section].select(
+            F.lit(section).alias("section"),
+            (F.col(key) if key else F.lit(None)).cast("string").alias("key"),
+            (F.col(value) if value else F.lit(None)).cast("double").alias("value"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "usage_report_sections": usage_report_sections,
     "usage_summary": summary,
     "usage_summary_filtered": lambda s, d: A.usage_summary(view(s, d, SOME)),
     "usage_trends_day": lambda s, d: trends(s, d, DAYS),
@@ -164,6 +188,16 @@ d AS (SELECT previous_cost, latest_cost,
           AS trend_delta FROM delta)"""
 
 ORACLES = {
+    "usage_report_sections": f"""{WITH_EFFECTIVE}, s AS ({_summary_sql('eff')})
+SELECT 'trends' AS section, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS key, SUM(total)::DOUBLE AS value FROM eff GROUP BY 2
+UNION ALL SELECT 'providers', provider_id, COUNT(*) FROM eff GROUP BY 2
+UNION ALL SELECT 'models', effective_model, {money('SUM(total_cost_usd)')} FROM eff GROUP BY 2
+UNION ALL SELECT 'composition', 'input', input_tokens FROM s UNION ALL SELECT 'composition', 'output', output_tokens FROM s
+UNION ALL SELECT 'composition', 'cache_read', cache_read_tokens FROM s UNION ALL SELECT 'composition', 'cache_write', cache_creation_tokens FROM s
+UNION ALL (SELECT 'log', request_id, created_at FROM eff ORDER BY created_at DESC, request_id LIMIT 10)
+UNION ALL SELECT 'log_total', NULL, COUNT(*) FROM eff
+UNION ALL (SELECT 'options', provider_name, NULL FROM eff GROUP BY 2)
+UNION ALL (SELECT 'options', effective_model, NULL FROM eff GROUP BY 2)""",
     "usage_summary": f"{WITH_EFFECTIVE} {_summary_sql('eff')}",
     "usage_summary_filtered": f"""{WITH_EFFECTIVE} {_summary_sql('eff')}
 WHERE created_at BETWEEN {SOME.start} AND {SOME.end} AND app_type IN ('claude', 'claude-desktop')

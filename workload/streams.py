@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from tokentide.operators.dedup import effective_usage
+from tokentide.operators.pricing import price_usage, seed_prices
 from tokentide.schema import SESSION_SOURCES
 from tokentide.session import new_path
+from tokentide.sources.opencode import opencode_usage
 from tokentide.streaming import pipelines as S
 from tokentide.streaming.tables import BatchLog, VersionedTable
 
+from .logs import _OPENCODE, NOW, opencode_tables
 from .views import T0, WITH_EFFECTIVE, WITH_USAGE, big, events, money, usage
 
 DAY = 86400
 AS_OF = T0 + 29 * DAY
+LATER = AS_OF + DAY // 2
 CUT = T0 + 12 * DAY
 
 
@@ -65,7 +69,11 @@ def stream_suppression(spark, sf):
 
 
 def stream_settled(spark, sf):
-    """Turns are emitted once settled; a young one holds back the rest of its session."""
+    """Turns are emitted once settled; a young one holds back the rest of its session.
+
+    Then the clock moves on and no file lands: a sweep emits what has settled since. The
+    state is read by a fresh object, as after a restart.
+    """
     rows = usage(spark, sf).filter(F.col("data_source").isin(*SESSION_SOURCES))
     turns = rows.select(
         F.col("session_id").alias("file_path"),
@@ -75,12 +83,39 @@ def stream_settled(spark, sf):
     )
     nullable = T.StructType([T.StructField(f.name, f.dataType) for f in turns.schema])
     out = BatchLog(spark, new_path(spark, "settled"), nullable)
-    pending = VersionedTable(spark, new_path(spark, "pending"), nullable)
-    feed(increments(turns, "created_at", [CUT]), as_is, S.settle_batch(out, pending, lambda: AS_OF))
-    waiting = pending.latest().select("request_id", F.lit("waiting").alias("state"))
+    folder = new_path(spark, "pending")
+    feed(increments(turns, "created_at", [CUT]), as_is, S.settle_batch(out, VersionedTable(spark, folder, nullable), lambda: AS_OF))
+    S.settle_sweep(out, VersionedTable(spark, folder, nullable), LATER)
+    waiting = VersionedTable(spark, folder, nullable).latest().select("request_id", F.lit("waiting").alias("state"))
     return out.read().select("request_id", F.lit("emitted").alias("state")).unionByName(waiting)
 
 
+def stream_source(spark, sf):
+    """A tool's message table as a stream: its adapter runs in each micro-batch."""
+    messages = opencode_tables(spark, sf)[1]
+    log = S.usage_log(spark, new_path(spark, "fact"))
+    prices = seed_prices(spark)
+    each = S.ingest_batch(log, lambda batch: price_usage(opencode_usage(batch, NOW), prices))
+    feed([*increments(messages, "time_created", [CUT * 1000]), messages], as_is, each)
+    return log.read().select("request_id", "model", "input_tokens", "output_tokens", "created_at")
+
+
+def stream_live_suppression(spark, sf):
+    """The live rule over session and proxy streams; two records at the end let the watermark pass."""
+    rows = usage(spark, sf).filter(F.col("data_source").isin("codex_session", "proxy"))
+    last = rows.groupBy("data_source").agg(F.min("request_id").alias("request_id"))
+    end = rows.join(last, ["data_source", "request_id"], "left_semi").withColumns(
+        {"request_id": F.lit("end"), "created_at": F.lit(T0 + 400 * DAY).cast("bigint")}
+    )
+    path, sink = new_path(spark, "landed"), new_path(spark, "live")
+    rows.unionByName(end).write.parquet(path)
+    stream = lambda: S.watch(spark, path, rows.schema)
+    live = S.suppress_live(stream().filter("data_source <> 'proxy'"), stream().filter("data_source = 'proxy'"))
+    writer = live.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "checkpoint"))
+    writer.trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink).filter("request_id <> 'end'").select("request_id", "created_at")
+
+
 def stream_buckets(spark, sf):
     rows = usage(spark, sf)
     schema = S.live_buckets(rows, "1 hour").schema
@@ -117,6 +152,8 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_suppression": stream_suppression,
     "stream_settled": stream_settled,
+    "stream_source": stream_source,
+    "stream_live_suppression": stream_live_suppression,
     "stream_buckets": stream_buckets,
     "stream_counter_state": stream_counter_state,
 }
@@ -125,10 +162,12 @@ ORACLES = {
     "stream_dedup": f"""{WITH_USAGE} SELECT data_source, COUNT(*) AS records, COUNT(DISTINCT request_id) AS requests
 FROM u GROUP BY data_source""",
     "stream_suppression": f"{WITH_EFFECTIVE} SELECT data_source, COUNT(*) AS records FROM eff GROUP BY data_source",
+    "stream_source": f"{_OPENCODE} SELECT request_id, model, input_tokens, output_tokens, created_at FROM opencode",
+    "stream_live_suppression": f"{WITH_EFFECTIVE} SELECT request_id, created_at FROM eff WHERE data_source = 'codex_session'",
     "stream_settled": f"""{WITH_USAGE}, s AS (
   SELECT request_id, session_id, created_at, CAST(substr(request_id, 4) AS BIGINT) AS line_no FROM u
   WHERE data_source <> 'proxy'),
-b AS (SELECT session_id, MIN(line_no) AS barrier FROM s WHERE {AS_OF} - created_at < 600 GROUP BY 1)
+b AS (SELECT session_id, MIN(line_no) AS barrier FROM s WHERE {LATER} - created_at < 600 GROUP BY 1)
 SELECT request_id, CASE WHEN barrier IS NULL OR line_no < barrier THEN 'emitted' ELSE 'waiting' END AS state
 FROM s LEFT JOIN b USING (session_id)""",
     "stream_buckets": f"""{WITH_USAGE}

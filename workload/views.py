@@ -47,15 +47,8 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out to all cores; one read by that many tasks stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events"))
-    return e.select(
+    return table(spark, sf_dir, "events").select(
         "event_id",
         "user_id",
         "event_type",
