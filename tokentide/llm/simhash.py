@@ -43,6 +43,8 @@ MIN_SHARED = BYTES - MAX_BITS
 LIST_PAIRS = 256
 #: Lists up to which the table of shared lists is broadcast (16 bytes a list).
 BROADCAST_LISTS = 200_000
+#: Rows up to which the list of dropped rows is broadcast (8 bytes a row).
+BROADCAST_ROWS = 1_000_000
 CHOICES = list(combinations(range(BYTES), MIN_SHARED))
 
 
@@ -204,7 +206,9 @@ def near_duplicates(docs: DataFrame, list_pairs: int = LIST_PAIRS) -> DataFrame:
 def one_of_each(docs: DataFrame, list_pairs: int = LIST_PAIRS) -> DataFrame:
     """The rows of ``docs`` that stay: the smallest doc_id of each component.
 
-    Among rows with the same smallest doc_id, one stays. Columns are unchanged.
+    Among rows with the same smallest doc_id, one stays. Columns are unchanged. Only
+    the numbers of dropped rows meet the texts: sent to all tasks while they are few,
+    by a shuffle join beyond that.
     """
     columns = docs.columns
     own = "__row"
@@ -216,4 +220,7 @@ def one_of_each(docs: DataFrame, list_pairs: int = LIST_PAIRS) -> DataFrame:
     known = roots(prints, list_pairs)
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(known, "fp", "left")
     kept = classes.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias(own))
-    return stored.join(kept, own, "left_semi").select(*columns)
+    dropped = staged(prints.select(F.col("doc_id.row").alias(own)).join(kept, own, "left_anti"), "simhash-dropped")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return stored.join(dropped, own, "left_anti").select(*columns)
