@@ -47,9 +47,11 @@ class Encoder:
     _cut = re.compile(r"(?<=\S) (?=\S)")
     _of: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
+        self.cached = cached
+
         self.tokenizer = Tokenizer.from_file(path)
         words = self.tokenizer.get_vocab(with_added_tokens=True)
         # of a byte-level vocabulary: a character of a piece stands for a byte of the text
@@ -59,10 +61,11 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, cached: int = CACHED) -> Encoder:
         """One encoder for a worker, whichever task asks."""
         if path not in cls._of:
             cls._of[path] = cls(path)
+        cls._of[path].cached = cached
         return cls._of[path]
 
     def _encode(self, text: str) -> np.ndarray:
@@ -90,7 +93,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self._chunks(t) for t in texts]
         inner = [c[1:-1] for c in cut]
-        if len(self.cache) > CACHED:
+        if len(self.cache) > self.cached:
             self.cache.clear()
         new = list(set().union(*inner).difference(self.cache))
         for at in range(0, len(new), 1 << 15):
@@ -179,12 +182,15 @@ class Packer:
         yield from self._closed(made)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, cached: int = CACHED
+) -> DataFrame:
     """Pieces of all rows of ``docs``.
 
     Columns: doc_id, start (ids of the document before the piece), length, ids (as
     little-endian unsigned 32-bit numbers), doc_tokens, sequence_id, offset (of the
-    piece in its sequence). sequence_id holds the task's number in its upper half.
+    piece in its sequence). sequence_id holds the task's number in its upper half. A
+    worker keeps the ids of ``cached`` chunks (some 200 bytes each) from task to task.
     """
     if window & (window - 1):
         raise ValueError("the window has to be a power of two")
@@ -201,7 +207,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches):
-        encoder, packer = Encoder.of(path), Packer(window, max_open)
+        encoder, packer = Encoder.of(path, cached), Packer(window, max_open)
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype="<u4")
         for part in slabs(batches):
