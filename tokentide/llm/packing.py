@@ -36,7 +36,7 @@ WINDOW = 1024
 END_ID = 0
 MAX_OPEN = 1024
 #: Chunks whose ids a worker keeps.
-CACHED = 600_000
+CACHED = 1_000_000
 
 
 class Encoder:
