@@ -26,13 +26,17 @@ def test_vectors():
 
 
 def test_held_out_documents(spark):
-    """Fitted on three quarters of the labels (some forty toxic documents), right on most of the rest and quiet on clean ones."""
-    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
-    mine = F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0
+    """Fitted on half of the labels of the largest driver table, right on the other half and quiet on clean documents.
+
+    Each language has words of its own, so a few dozen toxic documents are too few to learn
+    them all, and in this table some of their stems are also parts of ordinary words.
+    """
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    mine = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     model = tx.fit(docs, labels.where(mine))
     got = tx.severity(docs, model).join(labels.where(~mine).withColumnRenamed("toxic", "marked"), "doc_id")
-    assert got.where("toxic and marked = 0").count() <= 2
-    assert got.where("toxic and marked = 1").count() >= 0.6 * got.where("marked = 1").count()
+    assert got.where("toxic and marked = 0").count() <= 0.01 * got.where("marked = 0").count()
+    assert got.where("toxic and marked = 1").count() >= 0.8 * got.where("marked = 1").count()
     assert got.where("severity < 0 or severity > 3 or grade not between 0 and 3 or toxic != (p_toxic >= 0.5)").count() == 0
 
 
