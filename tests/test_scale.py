@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tokentide import session
 from tokentide.operators import analytics as A, pricing as P
 from tokentide.operators.dedup import drop_near_activity, ingest_dedup
-from tokentide.operators.filters import UsageQuery
-from tokentide.operators.merge import first_per_key, upsert, write_usage
+from tokentide.operators.filters import UsageQuery, in_range
+from tokentide.operators.merge import first_per_key, rewrite_days, upsert, write_usage
 from tokentide.operators.replay import resolve_parents
 from tokentide.operators.transfer import read_documents
 from tokentide.plans import sync as Y
@@ -143,6 +143,29 @@ def test_ingest_reads_the_days_around_the_batch(spark, make_usage, tmp_path):
     assert ingest_dedup(batch.filter("false"), fact).count() == 0
 
 
+@pytest.mark.parametrize("odd", [1_800_000_000_000_000, -1_800_000_000_000_000, 1_700_000_000_000])
+def test_a_time_without_a_date_hides_no_proxy(spark, make_usage, tmp_path, odd):
+    """One session row in nanoseconds or microseconds, in a batch over a table stored by day."""
+    place = str(tmp_path / "fact")
+    proxies = [dict(request_id=f"p{i}", data_source="proxy", created_at=T + i * 86400) for i in range(3)]
+    write_usage(make_usage([*proxies, dict(request_id="far", data_source="proxy", created_at=odd)]), place)
+    fact = spark.read.parquet(place)
+    batch = make_usage([dict(request_id="twin", created_at=T + 5), dict(request_id="own", created_at=T + 5000), dict(request_id="odd", created_at=odd + 5)])
+    for out in (ingest_dedup(batch, fact), drop_near_activity(batch, fact, "claude")):
+        assert [r.request_id for r in out.select("request_id").collect()] == ["own"]
+    found = lambda start, end: {r.request_id for r in in_range(fact, start, end).select("request_id").collect()}
+    early, late = ({"far"}, set()) if odd < 0 else (set(), {"far"})
+    assert found(T, None) == {"p0", "p1", "p2"} | late and found(None, T) == {"p0"} | early
+    assert found(T, T + 86400) == {"p0", "p1"}
+
+
+def test_rows_without_a_date_are_rewritten(spark, make_usage, tmp_path):
+    place = str(tmp_path / "fact")
+    write_usage(make_usage([dict(request_id=i, created_at=at) for i, at in (("a", T), ("b", 1_800_000_000_000_000))]), place)
+    rewrite_days(spark.read.parquet(place).withColumn("model", F.lit("new")), F.col("request_id") == "b", place)
+    assert {r.request_id: r.model for r in spark.read.parquet(place).collect()} == {"a": "m", "b": "new"}
+
+
 def test_full_ties_fall_the_same_way(make_usage):
     df = make_usage([{"request_id": "a", "output_tokens": n} for n in range(20)])
     picks = {first_per_key(d, ["request_id"], F.col("created_at")).first().output_tokens for d in (df, df.repartition(7), df.coalesce(1))}

@@ -50,10 +50,18 @@ def bucket_label(seconds: Column, hourly: bool) -> Column:
 
 
 def event_date(seconds: Column) -> Column:
-    """UTC calendar date used as the storage partition; independent of the session zone."""
+    """UTC calendar date used as the storage partition; independent of the session zone.
+
+    NULL for a time beyond 32-bit days.
+    """
     return F.date_from_unix_date(F.floor(seconds / 86400).try_cast("int"))
 
 
+def has_event_date(seconds: int) -> bool:
+    """Whether a time has an event_date."""
+    return -(1 << 31) <= seconds // 86400 < 1 << 31
+
+
 def make_range(preset: str, now: int, zone: str = "UTC", start: int | None = None, end: int | None = None):
     """(start, end) seconds of a named range; day presets begin at local midnight."""
     day = 24 * 3600

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.names import effective_model, provider_name
-from ..functions.times import event_date
+from ..functions.times import event_date, has_event_date
 
 
 @dataclass(frozen=True)
@@ -25,16 +25,25 @@ class UsageQuery:
 
 
 def in_range(df: DataFrame, start: int | None, end: int | None, slack: int = 0) -> DataFrame:
-    """Inclusive range on created_at; also prunes event_date partitions when stored so."""
+    """Inclusive range on created_at; also prunes event_date partitions when stored so.
+
+    Rows with a time that no date can hold are stored without an event_date. Only a range
+    with two dated ends rules them out; an end without a date prunes nothing.
+    """
     dated = "event_date" in df.columns
-    if start is not None:
-        df = df.filter(F.col("created_at") >= start - slack)
-        if dated:
-            df = df.filter(F.col("event_date") >= event_date(F.lit(start - slack)))
-    if end is not None:
-        df = df.filter(F.col("created_at") <= end + slack)
-        if dated:
-            df = df.filter(F.col("event_date") <= event_date(F.lit(end + slack)))
+    low, high = None if start is None else start - slack, None if end is None else end + slack
+    closed = all(at is not None and has_event_date(at) for at in (low, high))
+    day = F.col("event_date")
+    if low is not None:
+        df = df.filter(F.col("created_at") >= low)
+        if dated and has_event_date(low):
+            within = day >= event_date(F.lit(low))
+            df = df.filter(within if closed else within | day.isNull())
+    if high is not None:
+        df = df.filter(F.col("created_at") <= high)
+        if dated and has_event_date(high):
+            within = day <= event_date(F.lit(high))
+            df = df.filter(within if closed else within | day.isNull())
     return df
 
 

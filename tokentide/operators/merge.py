@@ -99,8 +99,10 @@ def rewrite_days(updated: DataFrame, changed: Column, path: str) -> None:
     ``updated`` is the whole table after the change, read from ``path``. The rows
     are staged first, so nothing is overwritten while it is still being read.
     """
-    days = updated.filter(changed).select("event_date").distinct()
+    # null-safe: rows with a time that no date can hold share a folder
+    days = updated.filter(changed).select(F.col("event_date").alias("_day")).distinct()
     names = [f.name for f in USAGE_SCHEMA]
-    rows = staged(updated.join(days, "event_date", "left_semi").select(*names, "event_date"), "rewrite")
+    touched = updated.join(days, F.col("event_date").eqNullSafe(F.col("_day")), "left_semi")
+    rows = staged(touched.select(*names, "event_date"), "rewrite")
     writer = rows.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date")
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
