@@ -88,6 +88,29 @@ def test_long_item_is_cut_into_segments(spark, make_docs):
     assert got == {1: [(0, 10)], 2: [(0, 10)], 3: []}
 
 
+def test_long_item_over_several_blocks(spark, make_docs):
+    """Matches longer than a segment, with lengths and starts, when segments are in different blocks."""
+    cut = d.SEGMENT_WORDS
+    item = [f"v{i}" for i in range(3 * cut + 500)]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, "a short item")], "item_id bigint, text string")
+    rows = [
+        (1, " ".join(item)),
+        (2, " ".join(["x", "y", *item[100 : 2 * cut + 50], "z a short item", *item[5:cut]])),
+        (3, " ".join([*item[cut - 20 : cut + 20], "x", *item[cut - 30 : cut + 30]])),
+        (4, " ".join([*item[: cut + 100], "x", *item[cut + 100 :]])),
+        (5, "nothing of it"),
+    ]
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in d.find_matches(make_docs(rows), benchmark, block_bytes=40_000).collect()}
+    assert d.Blocks(benchmark, block_bytes=40_000).n > 2
+    assert got == {
+        1: [("1", 0, 0, 3 * cut + 500)],
+        2: [("1", 100, 2, 2 * cut - 50), ("2", 0, 2 * cut - 47, 3)],
+        3: [("1", cut - 30, 41, 60)],
+        4: [("1", cut + 100, cut + 101, 2 * cut + 400)],
+        5: [],
+    }
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, odd_rows, no_docs):
     benchmark = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs far"), (2, ""), (None, None)], "item_id bigint, text string")
     none = benchmark.limit(0)

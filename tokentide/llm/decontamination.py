@@ -133,12 +133,13 @@ class Queries:
     """A block of benchmark segments; one query suffix for every window of its words.
 
     ``segments``: (item_id as text, words before the segment in its item, words). A
-    segment shorter than a window is one window itself.
+    segment shorter than a window is one window itself. ``partial``: further segments of
+    an item may be in other blocks.
     """
 
-    def __init__(self, segments: list[tuple[str, int, list[bytes]]], window: int = WINDOW):
+    def __init__(self, segments: list[tuple[str, int, list[bytes]]], window: int = WINDOW, partial: bool = False):
         made = WordIds([words for _, _, words in segments])
-        self.words, self.ids, self.window = list(made.number), made.ids, window
+        self.words, self.ids, self.window, self.partial = list(made.number), made.ids, window, partial
         self.items = sorted({item for item, _, _ in segments})
         names = {item: k for k, item in enumerate(self.items)}
         counts = np.where(made.lengths > 0, np.maximum(made.lengths - window, 0) + 1, 0)
@@ -147,6 +148,10 @@ class Queries:
         self.lengths = np.repeat(np.minimum(made.lengths, window), counts)
         self.item = np.repeat(np.array([names[s[0]] for s in segments], dtype=np.int64), counts)
         self.item_start = np.repeat(np.array([s[1] for s in segments], dtype=np.int64), counts) + within
+        # first and last windows of segments that have one before or after them
+        self.opens = (within == 0) & (self.item_start > 0)
+        full = np.repeat(counts, counts)
+        self.ends = (within == full - 1) & (full >= SEGMENT_WORDS)
 
     def occurrences(self, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
         """(window number, place in the shard's words) of every verbatim occurrence of a window."""
@@ -184,12 +189,13 @@ class Found:
         head = np.flatnonzero(new)
         tail = np.concatenate((head[1:], [len(order)]))[: len(head)] - 1
         length = s[tail] - s[head] + n[tail] if len(head) else np.zeros(0, dtype=np.int64)
+        edge = queries.opens[number[order[head]]] | queries.ends[number[order[tail]]]
         d, i, s, p = d[head], i[head], s[head], p[head]
-        # of each item the longest, then the first in the document
+        # of each item the longest, then the first in the document; with other blocks, all that may go on there
         best = np.lexsort((s, p, -length, i, d))
         keep = np.ones(len(best), dtype=bool)
         keep[1:] = (d[best][1:] != d[best][:-1]) | (i[best][1:] != i[best][:-1])
-        best = best[keep]
+        best = best[keep | edge[best]] if queries.partial else best[keep]
         self.match_document = d[best]
         self.matches = np.stack((i[best], s[best], p[best] - shard.starts[d[best]], length[best]), axis=1)
 
@@ -240,7 +246,7 @@ class Blocks:
         """Block ``k``, ready for the tasks."""
         part = self.stored.where(F.pmod(F.xxhash64("item", "seg_start"), F.lit(self.n)) == k)
         rows = [(r.item, r.seg_start, bytes(r.words).split()) for r in part.collect()]
-        return part.sparkSession.sparkContext.broadcast(Queries(sorted(rows, key=lambda r: r[:2]), self.window))
+        return part.sparkSession.sparkContext.broadcast(Queries(sorted(rows, key=lambda r: r[:2]), self.window, self.n > 1))
 
 
 _MATCH = StructType(
@@ -269,8 +275,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
     """What the benchmark has in common with every row of ``docs``.
 
     Columns: doc_id, n_words, spans (hit word ranges in order, end exclusive, apart
-    from each other) and matches (by item found: its longest verbatim match, within a
-    segment of the item, and where it starts in the item and in the document).
+    from each other) and matches (by item found: its longest verbatim match, and where
+    it starts in the item and in the document).
     """
     blocks = Blocks(benchmark, window, block_bytes)
     if blocks.n == 1:
@@ -283,9 +289,39 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.flatten(F.collect_list("matches")).alias("matches"),
     )
+    # steps of their own: a lambda would work out again what it refers to
+    whole = whole.withColumn("matches", _by_diagonal("matches")).withColumn("matches", _continued("matches"))
     return whole.select("doc_id.doc_id", "n_words", _joined("spans").alias("spans"), _longest("matches").alias("matches"))
 
 
+def _by_diagonal(matches: str) -> Column:
+    """Matches in order of item, distance between document and item, and place."""
+    return F.array_sort(
+        F.transform(F.col(matches), lambda m: F.struct(m["item"], (m["start"] - m["item_start"]).alias("diagonal"), m["item_start"], m["n_words"]))
+    )
+
+
+def _continued(matches: str) -> Column:
+    """Sorted matches, those that touch or overlap on a diagonal put together."""
+    own = F.col(matches)
+
+    def apart(r, before):
+        return (r["item"] != before["item"]) | (r["diagonal"] != before["diagonal"]) | (r["item_start"] > before["item_start"] + before["n_words"])
+
+    heads = F.filter(own, lambda r, i: (i == 0) | apart(r, F.get(own, i - 1)))
+    tails = F.filter(own, lambda r, i: (i == F.size(own) - 1) | apart(F.get(own, i + 1), r))
+    return F.zip_with(
+        heads,
+        tails,
+        lambda h, t: F.struct(
+            h["item"].alias("item"),
+            h["item_start"].alias("item_start"),
+            (h["diagonal"] + h["item_start"]).alias("start"),
+            (t["item_start"] + t["n_words"] - h["item_start"]).alias("n_words"),
+        ),
+    )
+
+
 def _joined(spans: str) -> Column:
     """Sorted ranges, those that overlap or touch put together."""
     last = lambda acc: F.element_at(acc, F.lit(-1))
