@@ -61,6 +61,28 @@ def test_no_templates():
     assert li.Scanner(templates=()).scan(b"Released under the MIT License.") == (1, [])
 
 
+def test_whole_texts_and_headers_get_their_own_name():
+    scanner = li.Scanner(li.COMMON)
+    for name, text in li.whole_texts() + li.HEADERS:
+        found = scanner.scan(text.encode())[1]
+        assert max((score, n) for n, score, *_ in found)[0] == 1.0
+        assert {n for n, score, first, last in found if score == 1.0 and (first, last) != (0, 0) or "\n" not in text} >= {name}
+    bsd = dict(li.whole_texts())["BSD-3-Clause"].replace("the copyright holder", "Foo Inc")
+    found = scanner.scan(("Copyright (c) 2020, Foo Inc\nAll rights reserved.\n\n" + bsd).encode())[1]
+    assert max(found, key=lambda m: m[3] - m[2])[0] == "BSD-3-Clause"
+    assert scanner.scan(b"This work is licensed under the GNU General Public License, version 1.")[1] == [("GPL-1.0", 1.0, 0, 0)]
+
+
+def test_sentence_in_a_line(make_docs):
+    text = "Notes.\nCopyright 2020 Foo. Licensed under the MIT License. All of\nit is (licensed under the\nApache License, Version 2.0.) More."
+    row = li.scan_licenses(make_docs([(1, text), (2, "Copyright 2020 Foo. Licensed under the MIT License.")])).sort("doc_id").collect()
+    assert [tuple(m) for m in row[0].sentences] == [("MIT", 1.0, 1, 1)]
+    assert (row[1].license, row[1].score, row[1].matches) == ("MIT", 1.0, []) and [tuple(m) for m in row[1].sentences] == [("MIT", 1.0, 0, 0)]
+    assert li.Scanner().scan_sentences(b"See it. Licensed under\nthe MIT License. The end") == [("MIT", 1.0, 0, 1)]
+    words = [w for line in li.lines_of(text.encode()) for w in line]
+    assert [b" ".join(words[a:b]) for a, b, _, _ in li.sentences_of(text.encode())][1:3] == [b"copyright 2020 foo", b"licensed under the mit license"]
+
+
 def test_odd_rows_and_empty_table(odd_docs, odd_rows, no_docs):
     got = li.scan_licenses(odd_docs).collect()
     assert len(got) == len(odd_rows) and all(r.license is None and r.score is None and not r.matches for r in got)

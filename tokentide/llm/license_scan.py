@@ -8,6 +8,10 @@ bigrams; a match has at least ``MIN_DICE``. Size bounds prune first: with d the
 least coefficient, a template can only match units of d/(2-d) to (2-d)/d times its
 bigrams, and a unit needs a share of d/(2-d) of bigrams that any template has.
 
+Sentences of a paragraph that are not a unit by themselves are looked at too, so a
+notice counts that shares its line with other words or goes on over a line end. They
+are given apart from the units and count for the best match of the document.
+
 Defined cases: a null or empty text has no units and no match; ties go to the higher
 coefficient, then the first name; a null doc_id stays null;
 repeated rows get a row each; an empty table gives no rows.
@@ -15,8 +19,10 @@ repeated rows get a row each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from importlib.resources import files
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -84,6 +90,59 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "commercial or non-commercial, and by any means.",
     ),
 )
+#: Standard headers and notices of further versions.
+HEADERS: tuple[tuple[str, str], ...] = (
+    ("GPL-1.0", "This work is licensed under the GNU General Public License, version 1."),
+    ("LGPL-2.0", "This work is licensed under the GNU Library General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    *(
+        (
+            name,
+            f"This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} Public "
+            f"License as published by the Free Software Foundation{stop} either version {version} of the License, or (at your option) "
+            f"any later version.{warranty}",
+        )
+        for name, work, kind, version, mark, stop in (
+            ("GPL-1.0", "program", "General", "1", ";", ";"),
+            ("GPL-2.0", "program", "General", "2", ";", ";"),
+            ("GPL-3.0", "program", "General", "3", ":", ","),
+            ("AGPL-3.0", "program", "Affero General", "3", ":", ","),
+            ("LGPL-2.0", "library", "Library General", "2", ";", ";"),
+            ("LGPL-2.1", "library", "Lesser General", "2.1", ";", ";"),
+            ("LGPL-3.0", "program", "Lesser General", "3", ":", ","),
+        )
+        for warranty in (
+            "",
+            f" This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details.",
+        )
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+        "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law "
+        'or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR '
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
+    ),
+)
+#: Licences whose whole text is in the folder ``licenses``.
+TEXTS = (
+    "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0",
+    "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0",
+)
+
+
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    return tuple((name, (files(__package__) / "licenses" / f"{name}.txt").read_text("utf-8")) for name in TEXTS)
+
+
+COMMON = TEMPLATES + HEADERS + whole_texts()
 SPELLING = {b"licence": b"license", b"licences": b"licenses", b"licenced": b"licensed"}
 
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b == 10 else 32 for b in range(256))
@@ -94,6 +153,31 @@ def lines_of(text: bytes) -> list[list[bytes]]:
     return [[SPELLING.get(w, w) for w in line.split()] for line in text.translate(_KEPT).split(b"\n")]
 
 
+#: Ends a sentence: a mark, closing quotes and brackets, white space. Stands as a word of its own.
+_STOP, _STOPS = b"\x7f", re.compile(rb"(?<=[.!?])[)\]\"']*(?=\s)")
+_KEPT_STOP = _KEPT[:127] + _STOP + _KEPT[128:]
+
+
+def sentences_of(text: bytes) -> list[tuple[int, int, int, int]]:
+    """Sentences of paragraphs as ranges of the text's normalised words and of its lines."""
+    marked = _STOPS.sub(b" \x7f ", text.replace(_STOP, b" ")).translate(_KEPT_STOP)
+    found, at, first, last, begin = [], 0, None, None, 0
+    for i, line in enumerate(marked.split(b"\n")):
+        words = line.split()
+        if first is not None and not any(w != _STOP for w in words):
+            found.append((begin, at, first, last))
+            first = None
+        for w in words:
+            if w != _STOP:
+                if first is None:
+                    first, begin = i, at
+                at, last = at + 1, i
+            elif first is not None:
+                found.append((begin, at, first, last))
+                first = None
+    return found + [(begin, at, first, last)] * (first is not None)
+
+
 def bigrams(words: list[bytes]) -> Counter:
     return Counter(zip(words, words[1:], strict=False))
 
@@ -164,33 +248,56 @@ class Scanner:
                     found.append((best[1], best[0], *units[u]))
         return len(units), found
 
+    def scan_sentences(self, text: bytes) -> list[tuple[str, float, int, int]]:
+        """(name, coefficient, first line, last line) of the sentences that match and are no unit."""
+        if not self.templates:
+            return []
+        lines = lines_of(text)
+        counts = np.cumsum([0, *map(len, lines)]).tolist()
+        flat = [w for line in lines for w in line]
+        ids = np.fromiter((self.number.get(w, 0) for w in flat), dtype=np.int64, count=len(flat))
+        if len(ids) < 2 or not (pairs := self.known[ids[:-1] * self.width + ids[1:]]).any():
+            return []
+        known = np.concatenate(([0], np.cumsum(pairs))).tolist()
+        whole, found = {(counts[a], counts[b + 1]) for a, b in self.units(lines)}, []
+        for begin, end, first, last in sentences_of(text):
+            size = end - begin - 1
+            if size < 1 or (begin, end) in whole or known[end - 1] - known[begin] < self.share * size - 1e-9:
+                continue
+            if best := self.best(flat[begin:end]):
+                found.append((best[1], best[0], first, last))
+        return found
+
 
 _MATCHES = StructType(
     [StructField("license", StringType()), StructField("score", DoubleType()), StructField("first_line", LongType()), StructField("last_line", LongType())]
 )
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, min_dice: float = MIN_DICE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=COMMON, min_dice: float = MIN_DICE) -> DataFrame:
     """Licence matches of every row of ``docs``; one pass, no shuffle.
 
     Columns: doc_id, n_units, license and score (of the best match, null without
-    one) and matches (license, score, first_line, last_line; lines count from 0).
+    one), matches (license, score, first_line, last_line; lines count from 0) of the
+    units and sentences (the same of sentences that are no unit).
     """
     fields = [
         StructField("n_units", LongType(), False),
         StructField("license", StringType()),
         StructField("score", DoubleType()),
         StructField("matches", ArrayType(_MATCHES), False),
+        StructField("sentences", ArrayType(_MATCHES), False),
     ]
 
     def start():
         scanner = Scanner(templates, min_dice)
 
         def score(batch):
-            made = [scanner.scan(t) for t in texts_of(batch)]
-            best = [min(found, key=lambda m: (-m[1], m[0]), default=(None, None)) for _, found in made]
-            matches = [[dict(zip(_MATCHES.names, m, strict=True)) for m in found] for _, found in made]
-            return [[n for n, _ in made], [b[0] for b in best], [b[1] for b in best], matches]
+            texts = texts_of(batch)
+            made, parts = [scanner.scan(t) for t in texts], [scanner.scan_sentences(t) for t in texts]
+            best = [min([*found, *more], key=lambda m: (-m[1], m[0]), default=(None, None)) for (_, found), more in zip(made, parts, strict=True)]
+            listed = [[[dict(zip(_MATCHES.names, m, strict=True)) for m in found] for found in some] for some in ([f for _, f in made], parts)]
+            return [[n for n, _ in made], [b[0] for b in best], [b[1] for b in best], *listed]
 
         return score
 
