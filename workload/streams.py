@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from tokentide.operators.dedup import effective_usage
 from tokentide.operators.pricing import price_usage, seed_prices
-from tokentide.schema import SESSION_SOURCES
+from tokentide.schema import READ_DEDUP_SOURCES, SESSION_SOURCES
 from tokentide.session import new_path
 from tokentide.sources.opencode import opencode_usage
 from tokentide.streaming import pipelines as S
@@ -100,11 +100,11 @@ def stream_source(spark, sf):
     return log.read().select("request_id", "model", "input_tokens", "output_tokens", "created_at")
 
 
-def stream_live_suppression(spark, sf):
-    """The live rule over session and proxy streams; two records at the end let the watermark pass."""
-    rows = usage(spark, sf).filter(F.col("data_source").isin("codex_session", "proxy"))
-    last = rows.groupBy("data_source").agg(F.min("request_id").alias("request_id"))
-    end = rows.join(last, ["data_source", "request_id"], "left_semi").withColumns(
+def live_rows(spark, sf):
+    """The live rule over all session sources it is for, and proxy; two records at the end let the watermark pass."""
+    rows = usage(spark, sf).filter(F.col("data_source").isin(*READ_DEDUP_SOURCES, "proxy"))
+    last = rows.groupBy((F.col("data_source") == "proxy").alias("side")).agg(F.min("request_id").alias("request_id"))
+    end = rows.join(last, "request_id", "left_semi").withColumns(
         {"request_id": F.lit("end"), "created_at": F.lit(T0 + 400 * DAY).cast("bigint")}
     )
     path, sink = new_path(spark, "landed"), new_path(spark, "live")
@@ -113,7 +113,12 @@ def stream_live_suppression(spark, sf):
     live = S.suppress_live(stream().filter("data_source <> 'proxy'"), stream().filter("data_source = 'proxy'"))
     writer = live.writeStream.format("parquet").option("checkpointLocation", new_path(spark, "checkpoint"))
     writer.trigger(availableNow=True).start(sink).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(sink).filter("request_id <> 'end'").select("request_id", "created_at")
+    return spark.read.schema(rows.schema).parquet(sink).filter("request_id <> 'end'")
+
+
+def stream_live_suppression(spark, sf):
+    """All sources go through the live rule; the SQL states the rows of one of them."""
+    return live_rows(spark, sf).filter("data_source = 'codex_session'").select("request_id", "created_at")
 
 
 def stream_buckets(spark, sf):
