@@ -59,6 +59,16 @@ def test_stages_equal_plain_versions(spark):
     assert plain_hits and simhash
 
 
+def test_packed_sequences_hold_their_ids(spark, make_docs):
+    from tokenizers import Tokenizer
+
+    texts = {1: "some words to pack " * 700, 2: "short"}
+    packed = dict(corpus_pipeline.STAGES)["packing"](spark, make_docs(list(texts.items())), SF)
+    pieces = [r for r in corpus_pipeline.staged(packed, "ids").collect()]
+    check_pieces(pieces, list(texts.items()), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    assert all(len(r.ids) == 4 * r.length for r in pieces)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
