@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language, license_scan, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity
+from . import (
+    chat,
+    decontamination,
+    language,
+    license_scan,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from .common import table
 
 #: Conversation that op5 adds, and what both of its turns say.
@@ -92,6 +104,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        _hex_digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"),
+        _hex_digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,6 +139,7 @@ QUERIES = {
         op8_toxicity,
         op9_language_id,
         op10_quality_classifier,
+        op13_periodic_runs,
     )
 } | {"pipeline": _pipeline}
 
