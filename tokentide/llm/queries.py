@@ -16,6 +16,7 @@ from . import (
     quality_classifier,
     quality_rules,
     simhash,
+    spelling_variants,
     token_counts,
     toxicity,
 )
@@ -104,6 +105,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), typos=True)
+    return found.select("word", "n", "n_near", "form", "form_n", "root")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents")))
     best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -139,6 +145,7 @@ QUERIES = {
         op8_toxicity,
         op9_language_id,
         op10_quality_classifier,
+        op12_spelling_variants,
         op13_periodic_runs,
     )
 } | {"pipeline": _pipeline}
