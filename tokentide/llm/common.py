@@ -20,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slabs(batches: Iterator[pa.RecordBatch], limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
+def slabs(batches: Iterator[pa.RecordBatch], limit: int = SLAB_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into row ranges whose text stays below ``limit`` bytes."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         upto, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             before = int(upto[start - 1]) if start else 0

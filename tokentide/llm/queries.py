@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import (
     chat,
     decontamination,
+    html_extraction,
     language,
     license_scan,
     packing,
@@ -105,6 +106,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling_variants.spelling_variants(table(spark, sf_dir, "documents"), typos=True)
     return found.select("word", "n", "n_near", "form", "form_n", "root")
@@ -145,6 +150,7 @@ QUERIES = {
         op8_toxicity,
         op9_language_id,
         op10_quality_classifier,
+        op11_html_extraction,
         op12_spelling_variants,
         op13_periodic_runs,
     )
