@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.names import provider_name
 from ..functions.tokens import clamp, is_success, real_total, saturating_minus
 from ..operators.dedup import bucket_of, drop_known
-from ..operators.merge import first_per_key, upsert
+from ..operators.merge import first_per_key
 from ..operators.ordered import running
 from ..schema import DEDUP_WINDOW_SECONDS, OPEN_CACHE_SOURCES, SETTLE_WINDOW_SECONDS, USAGE_SCHEMA, conform
-from .tables import BatchLog, VersionedTable
+from ..session import staged
+from .tables import BETWEEN, BUCKETS, BatchLog, Commits, VersionedTable
 
 def watch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None):
     """A stream of the files landing in a folder."""
@@ -29,17 +30,26 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return writer.start()
 
 
-def ingest_batch(log: BatchLog, normalise: Callable[[DataFrame], DataFrame] | None = None):
+def id_index(log: BatchLog, buckets: int = BUCKETS) -> VersionedTable:
+    """The request ids of a log, in folders by their hash."""
+    ids = T.StructType([f for f in log.schema.fields if f.name == "request_id"])
+    return VersionedTable(log.spark, f"{log.path}-ids", ids).keyed(["request_id"], buckets=buckets)
+
+
+def ingest_batch(log: BatchLog, normalise: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS):
     """Append each request once, whatever is read again; the first writer stays.
 
-    Late records are never dropped: they are compared with everything stored,
-    reading just the request ids, and land in their own day.
+    Late records are never dropped: they are compared with the stored ids, of which
+    only the hash buckets are read that the batch's own ids fall in, and land in
+    their own day. ``buckets`` holds for a new log.
     """
+    ids = id_index(log, buckets)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = conform(normalise(batch) if normalise else batch)
-        fresh = drop_known(rows, log.read(before=batch_id))
+        fresh = drop_known(rows, ids.before(batch_id, only=rows))
         log.write(batch_id, first_per_key(fresh, ["request_id"], F.col("created_at"), F.col("provider_id")))
+        ids.change(batch_id, log.at(batch_id).select("request_id"))
 
     return each
 
@@ -58,6 +68,54 @@ def _settled(pool: DataFrame, now: int, window: int) -> tuple[DataFrame, DataFra
     return marked.filter(old).drop("_barrier"), marked.filter(~old).drop("_barrier")
 
 
+DUE = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("due", T.LongType())])
+
+
+class Settling:
+    """Records that wait per file, when each file is due, and what has been emitted, under one commit.
+
+    A file is due when its first waiting record leaves the window; before that nothing of
+    it can settle. A step reads the waiting records of files that are due or have new
+    records (their hash buckets), and writes the records that came or went. Output, waiting
+    records and due times of a step become visible together: a step that dies on the way
+    leaves nothing that a reader or a later step sees, and of two steps that started from
+    the same state the second starts again.
+    """
+
+    def __init__(self, out: BatchLog, pending: VersionedTable, window: int):
+        self.spark, self.out, self.window = out.spark, out, window
+        self.commits = Commits(self.spark, f"{pending.path}-commits")
+        out.note(commits=self.commits.path)
+        self.pending = pending.keyed(pending.schema.names, by=["file_path"], commits=self.commits)
+        self.due = VersionedTable(self.spark, f"{pending.path}-due", DUE).keyed(["file_path"], commits=self.commits)
+
+    def step(self, now: int, batch: DataFrame | None, parent: int, version: int) -> bool:
+        """Write and commit one version; false if another writer came first."""
+        names, known = self.out.schema.names, parent if parent >= 0 else None
+        files = self.due.at(known).filter(F.col("due") <= now).select("file_path")
+        if batch is not None:
+            files = files.unionByName(batch.select("file_path"))
+        files = staged(files.distinct(), "settle-files")
+        waiting = self.pending.at(known, only=files).join(files, "file_path", "left_semi")
+        pool = waiting.select(*names, F.lit(True).alias("_was"))
+        if batch is not None:
+            pool = pool.unionByName(batch.select(*names, F.lit(False).alias("_was")))
+        settled, held = _settled(pool, now, self.window)
+        self.out.write_version(version, settled)
+        came = held.filter(~F.col("_was")).select(*names, F.lit(False).alias("_gone"))
+        went = settled.filter("_was").select(*names, F.lit(True).alias("_gone"))
+        self.pending.change_version(version, came.unionByName(went).distinct())
+        # of the first waiting line's records, the youngest decides
+        first = F.min(F.struct(F.col("line_no"), F.coalesce(-F.col("created_at"), F.lit(1 << 62)).alias("age"))).alias("first")
+        due = held.groupBy("file_path").agg(first).select("file_path", (self.window - F.col("first.age")).alias("due"))
+        timed = files.join(due, "file_path", "left").select("file_path", "due", F.col("due").isNull().alias("_gone"))
+        self.due.change_version(version, timed.filter("file_path is not null"))
+        if not self.commits.commit(parent, version):
+            return False
+        self.out.drop_hidden(parent)
+        return True
+
+
 def settle_batch(
     out: BatchLog, pending: VersionedTable, as_of: Callable[[], int], window: int = SETTLE_WINDOW_SECONDS
 ):
@@ -65,38 +123,36 @@ def settle_batch(
 
     Within a group (``file_path``) a waiting record also holds back the later ones.
     A micro-batch only starts when a file lands; ``settle_sweep`` looks at what
-    waits between them.
+    waits between them. Every record is emitted once, also when a batch is repeated or a
+    sweep runs beside it, see ``Settling``.
     """
+    settling = Settling(out, pending, window)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        names = out.schema.names
-        pool = pending.before(batch_id).select(*names).unionByName(batch.select(*names))
-        settled, waiting = _settled(pool, as_of(), window)
-        out.write(batch_id, settled)
-        pending.write(batch_id, waiting)
+        version = batch_id * BETWEEN
+        while (parent := settling.commits.head()) < version:
+            if settling.step(as_of(), batch, parent, version):
+                return
 
     return each
 
 
-def settle_sweep(out: BatchLog, pending: VersionedTable, as_of: int, window: int = SETTLE_WINDOW_SECONDS) -> None:
-    """Emit what has settled since, without a new file; run it at every poll while no batch runs.
+def settle_sweep(out: BatchLog, pending: VersionedTable, as_of: int, window: int = SETTLE_WINDOW_SECONDS) -> bool:
+    """Emit what has settled since, without a new file; run it at every poll.
 
-    It writes the version after the newest one. A sweep that dies before the pending
-    table is written is repeated under the same number and replaces its own output.
+    It may run beside a batch: the one that commits second is refused. A refused sweep
+    (false) has done nothing; the batch has looked at the same files, or the next sweep will.
     """
-    newest = pending.newest()
-    if newest is None:
-        return
-    settled, waiting = _settled(pending.at(newest), as_of, window)
-    out.write_version(newest + 1, settled)
-    pending.write_version(newest + 1, waiting)
+    settling = Settling(out, pending, window)
+    parent = settling.commits.head()
+    return parent < 0 or settling.step(as_of, None, parent, parent + 1)
 
 
 def live_buckets(usage: DataFrame, width: str = "1 hour", watermark: str | None = None) -> DataFrame:
     """Requests, tokens and cost per tumbling bucket and provider.
 
-    Without a watermark nothing is late: use complete output, the state is one
-    row per bucket and provider. With one, old buckets are closed and released.
+    Without a watermark nothing is late: use update output with ``change_table``, the
+    state is one row per bucket and provider. With one, old buckets are closed and released.
     """
     at = F.timestamp_seconds("created_at")
     timed = usage.withColumn("at", at)
@@ -130,6 +186,16 @@ def replace_table(table: VersionedTable):
     return each
 
 
+def change_table(table: VersionedTable, keys: list[str]):
+    """Sink for update output: a micro-batch stores the rows that it changes."""
+    table.keyed(keys)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        table.change(batch_id, batch)
+
+    return each
+
+
 def dedup_live(usage: DataFrame, delay: str = "1 day") -> DataFrame:
     """Drop repeats that arrive within the delay, with bounded state."""
     return usage.withColumn("at", F.timestamp_seconds("created_at")).withWatermark("at", delay).dropDuplicatesWithinWatermark(
@@ -208,7 +274,8 @@ def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_
     """Turn cumulative counters (thread_id, line_no, input, cached, output) into deltas.
 
     The last counters and the number of emitted events per thread live in a
-    table between micro-batches. Inside a batch the deltas are running values
+    table between micro-batches, of which a batch reads the hash buckets of its own
+    threads and writes the changed rows. Inside a batch the deltas are running values
     over chunks, so a very busy thread does not sit in one task.
 
     As with a read offset, lines up to the last one taken are not taken again. With
@@ -216,8 +283,10 @@ def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_
     thread whose increments landed out of order can be told from a repeat and rebuilt.
     """
 
+    state.keyed(["thread_id"])
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = state.before(batch_id)
+        known = state.before(batch_id, only=batch)
         counters = F.struct("input", "cached", "output")
         taken = known.select("thread_id", F.col("line_no").alias("_taken"))
         placed = batch.join(taken, "thread_id", "left")
@@ -267,6 +336,6 @@ def counter_batch(out: BatchLog, state: VersionedTable, chunk_rows: int = 1_000_
                 (F.coalesce("_n", F.lit(0)) + F.coalesce("_done", F.lit(0))).alias("events"),
             )
         )
-        state.write(batch_id, upsert(known, changed, ["thread_id"]))
+        state.change(batch_id, changed)
 
     return each

@@ -126,7 +126,7 @@ def stream_buckets(spark, sf):
     schema = S.live_buckets(rows, "1 hour").schema
     table = VersionedTable(spark, new_path(spark, "buckets"), schema)
     parts = increments(rows, "created_at", [CUT])
-    feed(parts, lambda stream: S.live_buckets(stream, "1 hour"), S.replace_table(table), mode="complete")
+    feed(parts, lambda stream: S.live_buckets(stream, "1 hour"), S.change_table(table, ["bucket", "provider_name"]), mode="update")
     return table.latest().select(
         F.date_format("bucket", "yyyy-MM-dd HH:mm:ss").alias("bucket"),
         "provider_name",
