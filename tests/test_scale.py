@@ -1,5 +1,6 @@
 """Plans and state that have to hold on a cluster: what is read, moved, kept and refused."""
 
+import datetime as dt
 import json
 import re
 from types import SimpleNamespace
@@ -159,6 +160,23 @@ def test_a_time_without_a_date_hides_no_proxy(spark, make_usage, tmp_path, odd):
     assert found(T, T + 86400) == {"p0", "p1"}
 
 
+def test_an_outlying_time_reads_its_own_days(spark, make_usage, tmp_path):
+    """A batch with one row of 1970: every stored day that holds no neighbour is made unreadable."""
+    place = str(tmp_path / "fact")
+    at = [5, 86_400 * 300, *(T + i * 86400 for i in range(9))]
+    write_usage(make_usage([dict(request_id=f"p{i}", data_source="proxy", created_at=t, output_tokens=1) for i, t in enumerate(at)]), place)
+    fact = spark.read.parquet(place)
+    batch = make_usage([dict(request_id=f"b{n}", created_at=t, output_tokens=1) for n, t in enumerate([10, T + 4 * 86400 + 5, T + 4 * 86400 + 5000])])
+    needed = {"1970-01-01", "1969-12-31", *(str(day.date()) for day in map(lambda t: dt.datetime.fromtimestamp(t, dt.UTC), (T + 4 * 86400, T + 4 * 86400 + 5600)))}
+    for part in tmp_path.glob("fact/event_date=*/*.parquet"):
+        if part.parent.name.removeprefix("event_date=") not in needed:
+            part.write_bytes(b"not a table")
+    known = fact.select("request_id").limit(0)
+    for out in (ingest_dedup(batch, fact, known), drop_near_activity(batch, fact, "claude")):
+        assert "dynamicpruning" in plan(out)
+        assert [r.request_id for r in out.select("request_id").collect()] == ["b2"]
+
+
 def test_rows_without_a_date_are_rewritten(spark, make_usage, tmp_path):
     place = str(tmp_path / "fact")
     write_usage(make_usage([dict(request_id=i, created_at=at) for i, at in (("a", T), ("b", 1_800_000_000_000_000))]), place)

@@ -12,8 +12,11 @@ distinct model.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.times import event_date
 from ..functions.tokens import is_success
 from ..schema import (
     DEDUP_WINDOW_SECONDS,
@@ -22,6 +25,7 @@ from ..schema import (
     READ_DEDUP_SOURCES,
     SOURCE_PROXY,
 )
+from ..session import staged
 from .filters import UsageQuery, apply_filters, in_range
 
 def _any_cache() -> Column:
@@ -164,16 +168,40 @@ def time_span(rows: DataFrame) -> tuple[int, int] | None:
     return None if span["lo"] is None else (span["lo"], span["hi"])
 
 
-def ingest_dedup(rows: DataFrame, fact: DataFrame) -> DataFrame:
+def days_around(rows: DataFrame, slack: int) -> DataFrame:
+    """The storage days (_day) that hold a time within ``slack`` seconds of a row, written out.
+
+    Far fewer than the rows, and of a size that the planner knows, so a join with them is a
+    broadcast below its threshold and picks the stored days while the query runs.
+    """
+    at = F.col("created_at")
+    steps = [event_date(at + d) for d in (*range(-slack, slack, 86400), slack)]
+    return staged(rows.select(F.explode(F.array_distinct(F.array(*steps))).alias("_day")).distinct(), "days")
+
+
+def near_days(fact: DataFrame, days: Callable[[], DataFrame]) -> DataFrame:
+    """Rows of ``fact``, stored by day, that lie in one of the days; those without a day always do.
+
+    A table without an event_date is taken as it is.
+    """
+    if "event_date" not in fact.columns:
+        return fact
+    # dynamic pruning asks for a filter on the side that prunes; this one holds for every day
+    some = days().filter(F.unix_date("_day") >= -(1 << 31))
+    dated = fact.filter("event_date is not null").join(some, F.col("event_date") == F.col("_day"), "left_semi")
+    return dated.unionByName(fact.filter("event_date is null"))
+
+
+def ingest_dedup(rows: DataFrame, fact: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """New session rows that are neither present nor already seen by the proxy (any source).
 
-    Only proxy records within the window around the batch are read; over a table
-    stored by day, only those days.
+    Over a table stored by day only the days around the batch's own times are read, however
+    far apart they lie. ``ids``: stored request ids, if those of the batch's hash buckets
+    are known apart (``streaming.pipelines.id_index``); else all of ``fact`` are compared.
     """
-    span = time_span(rows)
     return drop_proxied(
-        drop_known(rows, fact),
-        fact.limit(0) if span is None else in_range(fact, *span, slack=DEDUP_WINDOW_SECONDS),
+        drop_known(rows, fact if ids is None else ids),
+        near_days(fact, lambda: days_around(rows, DEDUP_WINDOW_SECONDS)),
         F.lit(True),
         F.col("app_type").isin(*OPEN_CACHE_APPS),
     )
@@ -183,8 +211,7 @@ def drop_near_activity(
     rows: DataFrame, fact: DataFrame, app: str = "grokbuild", *, width: int = DEDUP_WINDOW_SECONDS
 ) -> DataFrame:
     """Rows with no proxy record of ``app``, of any status or size, within the window."""
-    span = time_span(rows)
-    nearby = fact.limit(0) if span is None else in_range(fact, *span, slack=width)
+    nearby = near_days(fact, lambda: days_around(rows, width))
     proxies = nearby.filter(_is_proxy() & (F.col("app_type") == app)).select("created_at")
     near = near_buckets(proxies, [], width)
     s = rows.withColumn("_key_bucket", bucket_of(F.col("created_at"), width)).alias("s")
