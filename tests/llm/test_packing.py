@@ -28,6 +28,26 @@ def test_encoder_equals_the_tokenizer(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("cached", [0, 20, p.CACHED])
+def test_encoder_with_marks_lines_and_generations(tokenizer, cached):
+    """Marks after letters and after others, line ends, long chunks, and a cache that turns over all the time."""
+    encoder, own = p.Encoder(PATH, cached), random.Random(17)
+    words = ["the", "Über", "straße", "naïve", "x" * 300, "don't", "a.b", "ж", "漢字", "3", "ß"]
+    ends = ["", ".", ",", "...", ")", "),", "'", "\x01", "_", "_,", "!", "\n", ".\n", ",\n", "\n\n", " ", "\t"]
+    texts = ["".join(own.choice(words) + own.choice(ends) + own.choice([" ", " ", "\n", ""]) for _ in range(own.randrange(0, 14))) for _ in range(2500)]
+    texts += ["", " ", "\n", ".", ", a", ". a", "\x01", "\x01. a", "a. ", "a.\n", "\n.", "a .\nb", "a\n. b", "<|endoftext|>, a", "a, <|endoftext|>"]
+    for at in range(0, len(texts), 50):
+        for text, ids in zip(texts[at : at + 50], encoder.ids(texts[at : at + 50]), strict=True):
+            assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_the_cache_is_bounded_by_bytes():
+    encoder = p.Encoder(PATH, 2_000)
+    for n in range(30):
+        encoder.ids([" ".join(f"{n}-{i}-" + "q" * 2000 for i in range(100))])
+        assert sum(map(len, encoder.cache)) < 64 * 2_000 + 100 * 2_010 and len(encoder.flat) < 10**6
+
+
 def test_level_leaves_the_least_sum_of_squares():
     for _ in range(300):
         packer = p.Packer(window=16)

@@ -16,7 +16,7 @@ from .test_simhash import plain_fingerprint, plain_roots
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "simhash_dedup", "decontamination", "packing"]
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")) == list(range(1, 14))
     assert set(ORACLES) < set(QUERIES) and "pipeline" in QUERIES and corpus_pipeline.ORACLE_SQL is None
 
 
