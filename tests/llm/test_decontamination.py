@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from tokentide.llm import decontamination as d
 
 random.seed(5)
+CUT = 4096
 
 
 def plain(documents, items, window):
@@ -52,6 +54,52 @@ def test_found_equals_plain():
             assert bad == bool(hit)
 
 
+def plain_places(documents, items, window):
+    """By document: each item's longest match, then the first in the document, then in the item."""
+    out = []
+    for words in documents:
+        best = {}
+        for name, item in items:
+            n = min(window, len(item))
+            for i in range(len(item) - n + 1 if item else 0):
+                for j in range(len(words) - n + 1):
+                    k = 0
+                    while i + k < len(item) and words[j + k : j + k + 1] == item[i + k : i + k + 1]:
+                        k += 1
+                    if k >= n:
+                        best[name] = min(best.get(name, (0, 0, 0)), (-k, j, i))
+        out.append([{"item": name, "item_start": i, "start": j, "n_words": -k} for name, (k, j, i) in sorted(best.items())])
+    return out
+
+
+def test_places_equal_plain():
+    """Also with items that share an id or a text, and with few different words."""
+    for _ in range(300):
+        kinds, window = random.choice([1, 2, 3, 8]), random.choice([1, 2, 4, 6])
+        documents = [words(random.randrange(0, 25), kinds) for _ in range(random.randrange(1, 5))]
+        items = [(str(i), words(random.randrange(0, 12), kinds)) for i in range(random.randrange(1, 5))]
+        items += [("0", items[0][1]), ("1", words(7, kinds)), ("z", documents[0][2:])]
+        _, matches = d.Found(d.Queries([(a, 0, b) for a, b in items], window), documents).by_document()
+        assert matches == plain_places(documents, items, window)
+
+
+def test_repeated_words_make_no_pairs():
+    """Windows x occurrences would be 10^9 rows; a hundred items with one passage in a thousand documents."""
+    item, document = [b"a"] * 5_000, [b"a"] * 200_000
+    tracemalloc.start()
+    found = d.Found(d.Queries([("1", 0, item)]), [document, [b"a"] * 9, [b"b", *item[:20]]])
+    spans, matches = found.by_document()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [[{"start": 0, "end": 200_000}], [], [{"start": 1, "end": 21}]]
+    assert matches == [[{"item": "1", "item_start": 0, "start": 0, "n_words": 5_000}], [], [{"item": "1", "item_start": 0, "start": 1, "n_words": 20}]]
+    assert peak < 2 << 30
+    passage = [b"p%d" % i for i in range(40)]
+    items = [(str(k), 0, [b"q%d" % k, *passage, b"r%d" % k]) for k in range(100)]
+    _, matches = d.Found(d.Queries(items), [[b"s%d" % k, *passage, b"t"] for k in range(1000)]).by_document()
+    assert all([(m["item"], m["start"], m["n_words"]) for m in own] == [(i, 1, 40) for i in sorted(map(str, range(100)))] for own in matches)
+
+
 def test_match_says_where_it_is():
     item = [b"i%d" % i for i in range(30)]
     document = [b"x", *item[5:25], b"y", *item[8:20]]
@@ -80,9 +128,9 @@ def test_blocks_give_the_same(spark, make_docs, block_bytes):
 
 
 def test_long_item_is_cut_into_segments(spark, make_docs):
-    item = [f"v{i}" for i in range(2 * d.SEGMENT_WORDS + 500)]
+    item = [f"v{i}" for i in range(2 * CUT + 500)]
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
-    cut = d.SEGMENT_WORDS
+    cut = CUT
     rows = [(1, " ".join(item[cut - 5 : cut + 5])), (2, " ".join(item[-10:])), (3, " ".join(item[-9:]))]
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in d.find_matches(make_docs(rows), benchmark).collect()}
     assert got == {1: [(0, 10)], 2: [(0, 10)], 3: []}
@@ -90,7 +138,7 @@ def test_long_item_is_cut_into_segments(spark, make_docs):
 
 def test_long_item_over_several_blocks(spark, make_docs):
     """Matches longer than a segment, with lengths and starts, when segments are in different blocks."""
-    cut = d.SEGMENT_WORDS
+    cut = CUT
     item = [f"v{i}" for i in range(3 * cut + 500)]
     benchmark = spark.createDataFrame([(1, " ".join(item)), (2, "a short item")], "item_id bigint, text string")
     rows = [

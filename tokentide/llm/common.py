@@ -96,3 +96,41 @@ class WordIds:
         self.ids = np.fromiter(flat, dtype=np.int64, count=n)
         self.document = np.repeat(np.arange(len(documents)), self.lengths)
 
+
+def dense(key: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the values, in their order."""
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+
+
+def sorted_stretches(key: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of stretches, by prefix doubling, and the common prefix of each but the first with the one before.
+
+    ``key``: by position, a number for what stands there; ``end``: where its stretch ends.
+    A suffix reaches to the end of its stretch.
+    """
+    m = len(key)
+    at, ranks = np.arange(m), [dense(key)]
+    longest = int((end - at).max(initial=0))
+    while 1 << (len(ranks) - 1) < longest and int(ranks[-1].max()) < m - 1:
+        half = 1 << (len(ranks) - 1)
+        second = np.zeros(m, dtype=np.int64)
+        inside = at + half < end
+        second[inside] = ranks[-1][at[inside] + half] + 1
+        ranks.append(dense(ranks[-1] * (m + 1) + second))
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(b), dtype=np.int64)
+    for k in reversed(range(len(ranks))):
+        i, j = a + common, b + common
+        fits = (i + (1 << k) <= end[a]) & (j + (1 << k) <= end[b])
+        fits[fits] = ranks[k][i[fits]] == ranks[k][j[fits]]
+        common[fits] += 1 << k
+    return order, common
+
+
+def stretches(covered: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marked positions, and for each the index after its stretch: of neighbours in one document."""
+    place = np.flatnonzero(covered)
+    cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(document[place]) != 0)) + 1
+    bounds = np.concatenate((cut, [len(place)]))
+    return place, np.repeat(bounds, np.diff(np.concatenate(([0], bounds))))

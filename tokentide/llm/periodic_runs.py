@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import WordIds, per_document, texts_of
+from .common import WordIds, per_document, sorted_stretches, stretches, texts_of
 
 #: Least words of a run.
 MIN_LENGTH = 12
@@ -55,10 +55,6 @@ def _repeated_starts(words: WordIds, width: int) -> np.ndarray:
     return np.sort(start[order[twice]])
 
 
-def _dense(key: np.ndarray) -> np.ndarray:
-    return np.unique(key, return_inverse=True)[1].astype(np.int64)
-
-
 def close_prefixes(words: WordIds, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbours of the suffix order with a common prefix of at least ``width`` words in one document.
 
@@ -70,33 +66,12 @@ def close_prefixes(words: WordIds, width: int) -> tuple[np.ndarray, np.ndarray,
     covered = np.zeros(len(words.ids) + 1, dtype=np.int64)
     np.add.at(covered, start, 1)
     np.add.at(covered, start + width, -1)
-    place = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-    m = len(place)
-    if not m:
+    place, end = stretches(np.cumsum(covered[:-1]) > 0, words.document)
+    if not len(place):
         return place, place, place
-    document = words.document[place]
-    cut = np.flatnonzero((np.diff(place) != 1) | (np.diff(document) != 0)) + 1
-    bounds = np.concatenate((cut, [m]))
-    end = np.repeat(bounds, np.diff(np.concatenate(([0], bounds))))
-    at = np.arange(m)
-    ranks = [_dense(document * (len(words.number) + 1) + words.ids[place])]
-    longest = int((end - at).max())
-    while 1 << (len(ranks) - 1) < longest and int(ranks[-1].max()) < m - 1:
-        half = 1 << (len(ranks) - 1)
-        second = np.zeros(m, dtype=np.int64)
-        inside = at + half < end
-        second[inside] = ranks[-1][at[inside] + half] + 1
-        ranks.append(_dense(ranks[-1] * (m + 1) + second))
-    order = np.argsort(ranks[-1], kind="stable")
-    a, b = order[:-1], order[1:]
-    common = np.zeros(m - 1, dtype=np.int64)
-    for k in reversed(range(len(ranks))):
-        i, j = a + common, b + common
-        fits = (i + (1 << k) <= end[a]) & (j + (1 << k) <= end[b])
-        fits[fits] = ranks[k][i[fits]] == ranks[k][j[fits]]
-        common[fits] += 1 << k
+    order, common = sorted_stretches(words.document[place] * (len(words.number) + 1) + words.ids[place], end)
     close = common >= width
-    return place[a[close]], place[b[close]], common[close]
+    return place[order[:-1][close]], place[order[1:][close]], common[close]
 
 
 def seeds(a: np.ndarray, b: np.ndarray, common: np.ndarray) -> dict[tuple[int, int], int]:
