@@ -223,3 +223,24 @@ def test_replayed_events_are_dropped_but_numbered(make_lines):
     }
     assert threads.filter("pending = 'missing_parent'").count() == 1
     assert threads.filter(F.col("pending").isNull()).count() == 2
+
+
+def test_many_falls_take_few_rounds(spark, monkeypatch):
+    """A child that leaves out two in five of its parent's events, of five signatures: falls by the hundred."""
+    from tokentide.operators import replay
+
+    rounds, real = [], replay._raised
+    monkeypatch.setattr(replay, "_raised", lambda *args: rounds.append(1) or real(*args))
+    rnd = random.Random(11)
+    parent = [rnd.randrange(5) for _ in range(600)]
+    copies = {f"c{k}": [v for v in parent if rnd.random() < 0.6] + [7, 1] for k in range(3)} | {"exact": parent[:400], "none": [9]}
+    start = "timestamp'2024-01-01'"
+    timeline = spark.createDataFrame([("p", i + 1, str(v)) for i, v in enumerate(parent)], "file_path string, line_no bigint, signature string")
+    timeline = timeline.withColumn("ts", F.expr(f"{start} + make_dt_interval(0, 0, 0, line_no)"))
+    threads = spark.createDataFrame([(c,) for c in copies], "file_path string").withColumns(
+        {"parent_path": F.lit("p"), "parent_status": F.lit("parent"), "pending": F.lit(None).cast("string"), "fork_ts": F.expr(f"{start} + interval 500 seconds")}
+    )
+    events = spark.createDataFrame([(c, n + 1, str(v)) for c, some in copies.items() for n, v in enumerate(some)], "file_path string, position bigint, signature string")
+    got = {r.file_path: r.replay_prefix for r in replay_prefix(threads, events, timeline, chunk_rows=100).collect()}
+    assert got == {c: greedy(some, parent[:500]) for c, some in copies.items()}
+    assert 1 < len(rounds) < 16

@@ -15,6 +15,8 @@ def running(
     last: dict[str, Column] | None = None,
     last_before: dict[str, Column] | None = None,
     count: dict[str, Column] | None = None,
+    peak: dict[str, Column] | None = None,
+    peak_before: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add running columns per ``keys`` in ``order`` (an integer, unique per key).
@@ -22,18 +24,21 @@ def running(
     ``last``: latest non-null value up to and including the row.
     ``last_before``: the same, excluding the row.
     ``count``: how many rows so far satisfy the condition, including the row.
+    ``peak``: greatest value so far, including the row.
+    ``peak_before``: the same, excluding the row.
 
     The group is cut into ranges of ``chunk_rows`` order values. Windows run
     inside a range, one summary row per range carries the state forward, and a
     join on (keys, range) adds it back. A group with a third of all rows is so
     spread over many tasks; only its range summaries meet in one.
     """
-    last, last_before, count = last or {}, last_before or {}, count or {}
+    last, last_before, count, peak, peak_before = last or {}, last_before or {}, count or {}, peak or {}, peak_before or {}
     source = df.withColumns(
         {
             "_chunk": F.floor(F.col(order) / chunk_rows).cast("bigint"),
             **{f"_v_{n}": c for n, c in {**last, **last_before}.items()},
             **{f"_c_{n}": F.coalesce(c, F.lit(False)).cast("bigint") for n, c in count.items()},
+            **{f"_p_{n}": c for n, c in {**peak, **peak_before}.items()},
         }
     )
     part = [*keys, "_chunk"]
@@ -45,19 +50,23 @@ def running(
             **{n: F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in last},
             **{n: F.last(f"_v_{n}", ignorenulls=True).over(before) for n in last_before},
             **{n: F.sum(f"_c_{n}").over(upto) for n in count},
+            **{n: F.max(f"_p_{n}").over(upto) for n in peak},
+            **{n: F.max(f"_p_{n}").over(before) for n in peak_before},
         }
     )
 
-    values = [*last, *last_before]
+    values, peaks = [*last, *last_before], [*peak, *peak_before]
     summary = source.groupBy(*part).agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_s_{n}") for n in values],
         *[F.sum(f"_c_{n}").alias(f"_s_{n}") for n in count],
+        *[F.max(f"_p_{n}").alias(f"_s_{n}") for n in peaks],
     )
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *part,
         *[F.last(f"_s_{n}", ignorenulls=True).over(earlier).alias(f"_k_{n}") for n in values],
         *[F.sum(f"_s_{n}").over(earlier).alias(f"_k_{n}") for n in count],
+        *[F.max(f"_s_{n}").over(earlier).alias(f"_k_{n}") for n in peaks],
     ).filter(F.col("_chunk") > 0)
 
     joined = within.join(carry, part, "left")
@@ -65,6 +74,7 @@ def running(
         {
             **{n: F.coalesce(F.col(n), F.col(f"_k_{n}")) for n in values},
             **{n: F.col(n) + F.coalesce(F.col(f"_k_{n}"), F.lit(0)) for n in count},
+            **{n: F.greatest(F.col(n), F.col(f"_k_{n}")) for n in peaks},
         }
     )
-    return merged.select(*df.columns, *values, *count)
+    return merged.select(*df.columns, *values, *count, *peaks)

@@ -6,13 +6,21 @@ parent's events up to the fork.
 
 Taking the j-th copy of a signature in the child with the j-th copy in the
 parent gives every child event at most one partner, by a plain equality join.
-As long as the partners rise in the parent and lie before the fork, they are
-exactly what matching from the left would take: it can use no earlier copy than
-the j-th, and this one is available. The prefix ends for certain where the
-parent has no j-th copy. Where a partner exists but falls back, or lies after
-the fork in a parent whose times run backwards, matching from the left may still
-go on with a later copy; those few children continue in a further round that
-drops what is already settled and numbers the copies anew.
+As long as the partners rise in the parent, they are exactly what matching from
+the left would take: it can use no earlier copy than the j-th, and this one is
+available. The prefix ends for certain where the parent has no j-th copy.
+
+Where a partner falls back behind an earlier one, matching from the left may still
+go on with a later copy. Partners are lower bounds then, and are raised: a fallen one
+to the next copy after the furthest partner before it, and with it, as copies are used
+in order, all later events of that signature by as many copies. A round raises all that
+have fallen, anywhere in a child; events beyond the first without a partner are
+dropped. What no round changes is the least solution, that of matching from the left.
+The copies passed by a partner are counted by putting the children's questions among the
+parent's own events, so no child is joined with its parent's timeline.
+
+A parent whose times run backwards has, for each fork, events of its own that lie before
+it; only such children get a filtered timeline each.
 """
 
 from __future__ import annotations
@@ -157,22 +165,47 @@ def _ranked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> Data
 
 
 def _first_stop(paired: DataFrame, chunk_rows: int) -> DataFrame:
-    """Per child: the first position that does not continue the run, and the parent place before it."""
-    linked = running(
-        paired, ["child"], "position", last_before={"_before": F.col("place")}, chunk_rows=chunk_rows
-    )
+    """Per child: the first position that does not continue the run, whether it has fallen only, and the last position."""
+    linked = running(paired, ["child"], "position", last_before={"_before": F.col("place")}, chunk_rows=chunk_rows)
     falls = F.col("place") <= F.col("_before")
-    broken = F.col("place").isNull() | F.col("late") | F.coalesce(falls, F.lit(False))
-    open_ended = F.col("place").isNotNull() & (F.col("may_continue") | (falls & ~F.col("late")))
-    stop = F.min_by(
-        F.struct(
-            "position",
-            F.coalesce(open_ended, F.lit(False)).alias("open"),
-            F.coalesce("_before", F.lit(-1)).alias("place"),
-        ),
-        F.when(broken, F.col("position")),
+    broken = F.col("place").isNull() | F.coalesce(falls, F.lit(False))
+    stop = F.min_by(F.struct("position", F.col("place").isNotNull().alias("fallen")), F.when(broken, F.col("position")))
+    absent = F.min(F.when(F.col("place").isNull(), F.col("position"))).alias("absent")
+    return linked.groupBy("child").agg(stop.alias("stop"), absent, F.max("position").alias("end"))
+
+
+def _copies_passed(fallen: DataFrame, numbered: DataFrame, chunk_rows: int) -> DataFrame:
+    """Of fallen events (child, position, source, signature, _peak): how many copies of the signature lie up to _peak.
+
+    The questions stand among the source's events of the same signature, in order of place.
+    """
+    own = numbered.join(fallen.select("source", "signature").distinct(), ["source", "signature"], "left_semi")
+    # a question comes after the copy at its own place
+    events = own.select("source", "signature", (2 * F.col("place")).alias("_at"), "copy_no", F.lit(None).cast("array<struct<child:string,position:bigint>>").alias("_asked"))
+    asked = fallen.groupBy("source", "signature", (2 * F.col("_peak") + 1).alias("_at")).agg(
+        F.collect_list(F.struct("child", F.col("position").cast("bigint").alias("position"))).alias("_asked")
     )
-    return linked.groupBy("child").agg(stop.alias("stop"), F.max("position").alias("end"))
+    mixed = events.unionByName(asked, allowMissingColumns=True)
+    passed = running(mixed, ["source", "signature"], "_at", last={"_passed": F.col("copy_no")}, chunk_rows=2 * chunk_rows)
+    return passed.filter("_asked is not null").select(F.inline("_asked"), F.coalesce("_passed", F.lit(0)).alias("_passed"))
+
+
+def _raised(state: DataFrame, numbered: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
+    """One round over (child, position, source, signature, copy_no, rank, place); whether anything had fallen."""
+    peaks = staged(running(state, ["child"], "position", peak_before={"_peak": F.col("place")}, chunk_rows=chunk_rows), "replay-peaks")
+    fallen = peaks.filter(F.col("place") <= F.col("_peak"))
+    if fallen.isEmpty():
+        return state, False
+    passed = _copies_passed(fallen, numbered, chunk_rows)
+    least = peaks.join(passed, ["child", "position"], "left").withColumn("_least", F.greatest(F.col("rank"), F.col("_passed") + 1))
+    # copies are used in order, so what one event skips all later ones of its signature skip too
+    skipped = running(least, ["child", "signature"], "position", peak={"_skip": F.col("_least") - F.col("copy_no")}, chunk_rows=chunk_rows)
+    ranked = skipped.select("child", "position", "source", "signature", "copy_no", (F.col("copy_no") + F.col("_skip")).alias("rank"))
+    found = numbered.select("source", "signature", F.col("copy_no").alias("rank"), "place")
+    placed = staged(ranked.join(found, ["source", "signature", "rank"], "left"), "replay-placed")
+    absent = placed.filter("place is null").groupBy("child").agg(F.min("position").alias("_absent"))
+    kept = placed.join(absent, "child", "left").filter(F.coalesce(F.col("position") < F.col("_absent"), F.lit(True))).drop("_absent")
+    return staged(kept, "replay-state"), True
 
 
 def replay_prefix(
@@ -185,61 +218,61 @@ def replay_prefix(
     """
     usable = threads.filter((F.col("parent_status") == "parent") & F.col("pending").isNull())
     links = usable.select(F.col("file_path").alias("child"), "parent_path", "fork_ts")
-    child = events.join(links.withColumnRenamed("child", "file_path"), "file_path").select(
-        F.col("file_path").alias("child"), "parent_path", "fork_ts", "position", "signature"
-    )
     parents = links.select("parent_path").distinct()
     source = timeline.join(parents, timeline["file_path"] == parents["parent_path"], "left_semi").select(
         F.col("file_path").alias("parent_path"), F.col("line_no").alias("place"), "ts", "signature"
     )
-
-    # Round one shares the parent's numbering among all its children.
     times = running(source, ["parent_path"], "place", last_before={"_t": F.col("ts")}, chunk_rows=chunk_rows)
-    backwards = times.filter(F.col("ts") < F.col("_t")).select("parent_path").distinct()
-    numbered = _ranked(source, ["parent_path"], "place", chunk_rows).join(
-        backwards.withColumn("_back", F.lit(True)), "parent_path", "left"
+    backwards = staged(times.filter(F.col("ts") < F.col("_t")).select("parent_path").distinct(), "replay-backwards")
+
+    # what a child is matched with: its parent's events, or those before its own fork
+    odd = links.join(backwards, "parent_path", "left_semi")
+    own = odd.join(source, "parent_path").filter(F.col("ts") <= F.col("fork_ts")).select(F.col("child").alias("source"), "place", "ts", "signature")
+    shared = source.withColumnRenamed("parent_path", "source").select("source", "place", "ts", "signature")
+    numbered = staged(_ranked(shared.unionByName(own), ["source"], "place", chunk_rows), "replay-numbered")
+    asked = links.join(backwards.withColumn("_back", F.lit(True)), "parent_path", "left").select(
+        "child", "fork_ts", F.when(F.col("_back"), F.col("child")).otherwise(F.col("parent_path")).alias("source")
+    )
+    child = events.join(asked.withColumnRenamed("child", "file_path"), "file_path").select(
+        F.col("file_path").alias("child"), "source", "fork_ts", "position", "signature"
     )
-    paired = (
+    paired = staged(
         _ranked(child, ["child"], "position", chunk_rows)
-        .join(numbered, ["parent_path", "signature", "copy_no"], "left")
-        .select(
-            "child",
-            "position",
-            "place",
-            F.coalesce(F.col("ts") > F.col("fork_ts"), F.lit(False)).alias("late"),
-            (F.coalesce(F.col("_back"), F.lit(False)) & (F.col("ts") > F.col("fork_ts"))).alias("may_continue"),
-        )
-    )
-    state = staged(_first_stop(paired, chunk_rows), "replay")
-    settled = state.filter(~F.coalesce(F.col("stop.open"), F.lit(False)))
-    open_ = state.filter("stop.open")
-
-    # Further rounds number the remaining events of each open child on its own.
-    while not open_.isEmpty():
-        at = open_.select("child", F.col("stop.position").alias("_from"), F.col("stop.place").alias("_place"))
-        rest = child.join(at, "child").filter(F.col("position") >= F.col("_from"))
-        signatures = rest.select("child", "signature").distinct()
-        ahead = (
-            links.join(at, "child")
-            .join(source, "parent_path")
-            .filter((F.col("place") > F.col("_place")) & (F.col("ts") <= F.col("fork_ts")))
-            .join(signatures, ["child", "signature"], "left_semi")
-            .select("child", "signature", "place")
-        )
-        pairs = _ranked(rest.select("child", "position", "signature"), ["child"], "position", chunk_rows).join(
-            _ranked(ahead, ["child"], "place", chunk_rows), ["child", "signature", "copy_no"], "left"
-        )
-        paired = pairs.select(
-            "child", "position", "place", F.lit(False).alias("late"), F.lit(False).alias("may_continue")
-        )
-        state = staged(_first_stop(paired, chunk_rows), "replay")
-        settled = settled.unionByName(state.filter(~F.coalesce(F.col("stop.open"), F.lit(False))))
-        open_ = state.filter("stop.open")
-
-    return settled.select(
-        F.col("child").alias("file_path"),
-        F.coalesce(F.col("stop.position") - 1, F.col("end")).alias("replay_prefix"),
+        .join(numbered, ["source", "signature", "copy_no"], "left")
+        # in order of time what follows an event after the fork is after it too
+        .withColumn("place", F.when(F.col("ts") <= F.col("fork_ts"), F.col("place")))
+        .select("child", "source", "fork_ts", "position", "signature", "copy_no", "place"),
+        "replay-paired",
+    )
+    stops = staged(_first_stop(paired, chunk_rows), "replay-stops")
+    settled = stops.filter(~F.coalesce(F.col("stop.fallen"), F.lit(False))).select(
+        F.col("child").alias("file_path"), F.coalesce(F.col("stop.position") - 1, F.col("end")).alias("replay_prefix")
+    )
+    open_ = stops.filter("stop.fallen").select("child", "absent")
+    if open_.isEmpty():
+        return settled
+
+    state = paired.join(open_, "child").filter(F.coalesce(F.col("position") < F.col("absent"), F.lit(True)))
+    forks = state.select("child", "source", "fork_ts").distinct()
+    before_fork = numbered.join(forks.select("source").distinct(), "source", "left_semi")
+    state = staged(state.select("child", "position", "source", "signature", "copy_no", F.col("copy_no").alias("rank"), "place"), "replay-state")
+    going = True
+    while going:
+        state, going = _raised(state, before_fork, chunk_rows)
+        if going:
+            # a copy after the fork is no partner, nor is what comes after its event in the child
+            late = (
+                state.join(forks.select("child", "fork_ts"), "child")
+                .join(before_fork.select("source", "place", "ts"), ["source", "place"])
+                .filter(F.col("ts") > F.col("fork_ts"))
+                .groupBy("child")
+                .agg(F.min("position").alias("_late"))
+            )
+            state = staged(state.join(late, "child", "left").filter(F.coalesce(F.col("position") < F.col("_late"), F.lit(True))).drop("_late"), "replay-state")
+    counted = open_.select(F.col("child").alias("file_path")).join(
+        state.groupBy(F.col("child").alias("file_path")).agg(F.max("position").alias("_end")), "file_path", "left"
     )
+    return settled.unionByName(counted.select("file_path", F.coalesce("_end", F.lit(0)).cast(settled.schema["replay_prefix"].dataType).alias("replay_prefix")))
 
 
 def drop_replayed(events: DataFrame, threads: DataFrame, prefixes: DataFrame) -> DataFrame:
