@@ -147,6 +147,32 @@ def sync_rollouts(
     return C.beyond_cursor(rows, known), changes, threads.join(fresh, "file_path", "left_semi")
 
 
+PENDING = "file_path string, parent_id string, pending string, pending_reason string, file_modified_ns bigint, file_size bigint"
+
+
+def sync_rollout_files(
+    spark: SparkSession,
+    files: DataFrame,
+    cursors: DataFrame,
+    pending: DataFrame,
+    read: Callable[[SparkSession, list[str]], DataFrame],
+    now: int,
+) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(rows, cursor changes, the pending table after the pass) of rollout logs that are due; None if none are.
+
+    ``pending`` (columns as in ``PENDING``) is what the pass before has left: a log
+    that it deferred is opened again when it has changed or its parent has turned up.
+    """
+    paths = rollout_paths(spark, files, cursors, pending, read)
+    if not paths:
+        return None
+    rows, changes, threads = sync_rollouts(read(spark, paths), cursors, now)
+    tried = staged(threads, "rollout-threads")
+    held = C.pending_rows(tried, files)
+    left = pending.join(tried.select("file_path"), "file_path", "left_anti")
+    return rows, changes, left.select(*held.columns).unionByName(held)
+
+
 def _sync_sessions(table, marks, incomplete, read, cursors, prefix, now) -> Pass:
     due = C.due_sessions(marks, cursors, prefix)
     rows = read(table.join(due.select("session_id"), "session_id", "left_semi"), now)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reports", "prices", "logs", "streams")
+_MODULES = ("reports", "prices", "logs", "streams", "upkeep")
 
 
 def all_queries():

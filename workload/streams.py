@@ -117,8 +117,8 @@ def live_rows(spark, sf):
 
 
 def stream_live_suppression(spark, sf):
-    """All sources go through the live rule; the SQL states the rows of one of them."""
-    return live_rows(spark, sf).filter("data_source = 'codex_session'").select("request_id", "created_at")
+    """All session sources that the rule is for, next to the proxy's records."""
+    return live_rows(spark, sf).select("request_id", "data_source", "created_at")
 
 
 def stream_buckets(spark, sf):
@@ -168,7 +168,8 @@ ORACLES = {
 FROM u GROUP BY data_source""",
     "stream_suppression": f"{WITH_EFFECTIVE} SELECT data_source, COUNT(*) AS records FROM eff GROUP BY data_source",
     "stream_source": f"{_OPENCODE} SELECT request_id, model, input_tokens, output_tokens, created_at FROM opencode",
-    "stream_live_suppression": f"{WITH_EFFECTIVE} SELECT request_id, created_at FROM eff WHERE data_source = 'codex_session'",
+    "stream_live_suppression": f"""{WITH_EFFECTIVE} SELECT request_id, data_source, created_at FROM eff
+WHERE data_source IN ({', '.join(f"'{s}'" for s in READ_DEDUP_SOURCES)})""",
     "stream_settled": f"""{WITH_USAGE}, s AS (
   SELECT request_id, session_id, created_at, CAST(substr(request_id, 4) AS BIGINT) AS line_no FROM u
   WHERE data_source <> 'proxy'),
