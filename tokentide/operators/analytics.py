@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import report
 from ..functions.names import effective_model, provider_name
@@ -202,6 +202,43 @@ def request_log_page(df: DataFrame, page: int = 1, size: int = 10, max_size: int
     return log_rows(df).orderBy(F.desc("created_at"), "request_id").offset(offset).limit(size)
 
 
+#: Rows that a page's range of time may hold before it is narrowed further.
+PAGE_ROWS = 100_000
+
+
+def page_range(df: DataFrame, offset: int, size: int, rows: int = PAGE_ROWS) -> tuple[int, int, int] | None:
+    """(first second, last second, rows to skip in it) of the time that holds some rows, newest first; None if none do.
+
+    Rows are counted by day, and while the days hit hold more than ``rows`` by hour,
+    minute and second within them.
+    """
+    low, high = None, None
+    for width in (86400, 3600, 60, 1):
+        part = df if low is None else df.filter(F.col("created_at").between(low, high))
+        counts = part.groupBy(F.floor(F.col("created_at") / width).alias("_at")).agg(F.count("*").alias("_n"))
+        newer = Window.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each unit of time
+        placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+        hit = placed.filter((F.col("_before") < offset + size) & (F.col("_before") + F.col("_n") > offset))
+        found = hit.agg(F.min("_at"), F.max("_at"), F.min("_before"), F.sum("_n")).first()
+        if found[0] is None:
+            return None
+        low, high, offset = found[0] * width, (found[1] + 1) * width - 1, offset - found[2]
+        if found[3] <= rows:
+            break
+    return low, high, offset
+
+
+def request_log_deep(df: DataFrame, page: int, size: int = 10, max_size: int = MAX_PAGE, rows: int = PAGE_ROWS) -> DataFrame:
+    """As ``request_log_page``, for pages far down: counts find the page's range of time, and only that is sorted."""
+    offset, size = page_bounds(page, size, max_size)
+    found = page_range(df, offset, size, rows)
+    if found is None:
+        return log_rows(df.filter("false"))
+    low, high, skip = found
+    part = df.filter(F.col("created_at").between(low, high))
+    return log_rows(part).orderBy(F.desc("created_at"), "request_id").offset(skip).limit(size)
+
+
 def request_log_after(
     df: DataFrame, created_at: int, request_id: str, size: int = 10, max_size: int = MAX_PAGE
 ) -> DataFrame:

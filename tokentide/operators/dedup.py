@@ -192,6 +192,17 @@ def near_days(fact: DataFrame, days: Callable[[], DataFrame]) -> DataFrame:
     return dated.unionByName(fact.filter("event_date is null"))
 
 
+def effective_days(fact: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows that reports may count of some days (_day) of a table stored by day; reads those and their neighbours."""
+    beside = days.select(F.explode(F.array(*[F.date_add("_day", d) for d in (-1, 0, 1)])).alias("_day")).distinct()
+    return drop_proxied(
+        near_days(fact, lambda: days),
+        near_days(fact, lambda: beside),
+        _source().isin(*READ_DEDUP_SOURCES),
+        _source().isin(*OPEN_CACHE_SOURCES),
+    )
+
+
 def ingest_dedup(rows: DataFrame, fact: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """New session rows that are neither present nor already seen by the proxy (any source).
 

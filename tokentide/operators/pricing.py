@@ -66,8 +66,8 @@ def with_prices(rows: DataFrame, prices: DataFrame, *, normalized: bool = False)
     The model's own name is tried first, then the name without its date, both
     ignoring case. ``normalized`` also accepts names equal as catalog keys.
     """
-    exact = _by_key(prices, F.lower("model_id"), "_exact")
-    undated = exact.select(F.col("_exact_key").alias("_undated_key"), F.col("_exact").alias("_undated"))
+    # the same frame on both sides of the rows, so that it is grouped and sent once
+    exact = _by_key(prices, F.lower("model_id"), "_price")
     stripped = strip_day(F.col("model"))
     out = rows.withColumns(
         {
@@ -75,8 +75,9 @@ def with_prices(rows: DataFrame, prices: DataFrame, *, normalized: bool = False)
             "_undated_key": F.when(stripped != F.col("model"), F.lower(stripped)),
         }
     )
-    out = out.join(exact, "_exact_key", "left").join(undated, "_undated_key", "left")
-    found = F.coalesce(F.col("_exact"), F.col("_undated"))
+    out = out.join(exact.alias("_e"), F.col("_exact_key") == F.col("_e._price_key"), "left")
+    out = out.join(exact.alias("_u"), F.col("_undated_key") == F.col("_u._price_key"), "left")
+    found = F.coalesce(F.col("_e._price"), F.col("_u._price"))
     if normalized:
         loose = _by_key(prices, catalog_key(F.col("model_id")), "_loose")
         out = out.withColumn("_loose_key", catalog_key(F.col("model"))).join(loose, "_loose_key", "left")

@@ -187,6 +187,18 @@ d AS (SELECT previous_cost, latest_cost,
         CASE WHEN previous_cost > 0 THEN ROUND((latest_cost - previous_cost) / previous_cost * 100, 6) END
           AS trend_delta FROM delta)"""
 
+def daily_sql(source: str) -> str:
+    return f"""SELECT strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS date, app_type, provider_id, model,
+  COALESCE(request_model, '') AS request_model, COALESCE(pricing_model, '') AS pricing_model,
+  COUNT(*) AS request_count, {big('SUM(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1 ELSE 0 END)')}
+    AS success_count,
+  {big('SUM(input_tokens)')} AS input_tokens, {big('SUM(output_tokens)')} AS output_tokens,
+  {big('SUM(cache_read_tokens)')} AS cache_read_tokens,
+  {big('SUM(cache_creation_tokens)')} AS cache_creation_tokens,
+  {money('SUM(total_cost_usd)')} AS total_cost_usd, {big('ROUND(AVG(latency_ms))')} AS avg_latency_ms
+FROM {source} GROUP BY 1, 2, 3, 4, 5, 6"""
+
+
 ORACLES = {
     "usage_report_sections": f"""{WITH_EFFECTIVE}, s AS ({_summary_sql('eff')})
 SELECT 'trends' AS section, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS key, SUM(total)::DOUBLE AS value FROM eff GROUP BY 2
@@ -222,16 +234,7 @@ UNION SELECT 'model', effective_model FROM r WHERE provider_name = 'vendor' UNIO
     "usage_report": f"""{WITH_EFFECTIVE}, s AS ({_summary_sql('eff')})
 SELECT total_requests, total_cost, real_total_tokens FROM s""",
     "effective_usage": f"{WITH_EFFECTIVE} SELECT request_id, app_type, model, created_at, fresh, total FROM eff",
-    "daily_rollup": f"""{WITH_USAGE}
-SELECT strftime(make_timestamp(created_at * 1000000), '%Y-%m-%d') AS date, app_type, provider_id, model,
-  COALESCE(request_model, '') AS request_model, COALESCE(pricing_model, '') AS pricing_model,
-  COUNT(*) AS request_count, {big('SUM(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1 ELSE 0 END)')}
-    AS success_count,
-  {big('SUM(input_tokens)')} AS input_tokens, {big('SUM(output_tokens)')} AS output_tokens,
-  {big('SUM(cache_read_tokens)')} AS cache_read_tokens,
-  {big('SUM(cache_creation_tokens)')} AS cache_creation_tokens,
-  {money('SUM(total_cost_usd)')} AS total_cost_usd, {big('ROUND(AVG(latency_ms))')} AS avg_latency_ms
-FROM u GROUP BY 1, 2, 3, 4, 5, 6""",
+    "daily_rollup": f"{WITH_USAGE} {daily_sql('u')}",
     "profile_usage": f"""{WITH_USAGE}
 SELECT 'rows' AS section, CAST(NULL AS VARCHAR) AS key, COUNT(*)::DOUBLE AS value FROM u
 UNION ALL SELECT 'first_created_at', NULL, MIN(created_at) FROM u

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokentide.functions.times import make_range
+from tokentide.operators import analytics as A
 from tokentide.operators.dedup import effective_usage
 from tokentide.operators.filters import UsageQuery
 from tokentide.operators.merge import new_rows, rewrite_days, upsert, write_usage
 from tokentide.operators.pricing import seed_prices
 from tokentide.operators.transfer import import_usage
 from tokentide.plans.ingest import ingest_all
+from tokentide.plans.rollup import refresh_rollup, rollup_table
 from tokentide.plans.sync import PENDING, sync_rollout_files
 from tokentide.schema import CURSOR_SCHEMA
 from tokentide.session import new_path, staged
@@ -20,6 +22,7 @@ from tokentide.sources.lines import list_files, read_lines
 from tokentide.streaming import pipelines as S
 
 from .logs import _FORKED, _GROK, _ROW, _STORED, NOW, ROW, SETTLED_AT, _stored, claude_lines, forked_threads, grok_lines
+from .reports import daily_sql
 from .views import T0, WITH_EFFECTIVE, WITH_USAGE, usage
 
 DAY = 86400
@@ -127,7 +130,27 @@ def sync_rollout_logs(spark, sf):
     return out.unionByName(waits, allowMissingColumns=True)
 
 
+def rollup_maintained(spark, sf):
+    """The daily rollup of what reports count, kept up over two increments; proxy records of the first days come late."""
+    rows = usage(spark, sf)
+    late = (F.col("created_at") >= T0 + 12 * DAY) | (F.col("data_source") == "proxy")
+    log = S.usage_log(spark, new_path(spark, "fact"))
+    each, table = S.ingest_batch(log), rollup_table(spark, new_path(spark, "rollup"))
+    for batch, part in enumerate((~late, late)):
+        each(rows.filter(part), batch)
+        refresh_rollup(table, log.read(), log.at(batch), batch)
+    return table.latest()
+
+
+def request_log_deep(spark, sf):
+    """A page far down, from counts by time; the bound makes it look at hours and minutes too."""
+    page = A.request_log_deep(effective_usage(usage(spark, sf)), 30, 25, rows=40)
+    return page.select("request_id", "created_at", "model", "output_tokens")
+
+
 QUERIES = {
+    "rollup_maintained": rollup_maintained,
+    "request_log_deep": request_log_deep,
     "range_presets": range_presets,
     "import_rejected": import_rejected,
     "ingest_report": ingest_report,
@@ -156,6 +179,9 @@ def _fault_sql(name: str) -> str:
 
 
 ORACLES = {
+    "rollup_maintained": f"{WITH_EFFECTIVE} {daily_sql('eff')}",
+    "request_log_deep": f"""{WITH_EFFECTIVE} SELECT request_id, created_at, model, output_tokens FROM eff
+ORDER BY created_at DESC, request_id LIMIT 25 OFFSET 725""",
     "range_presets": f"{WITH_EFFECTIVE} "
     + " UNION ALL ".join(
         f"SELECT '{p}' AS preset, {s} AS range_start, {CLOCK} AS range_end, COUNT(*) AS requests FROM eff WHERE created_at BETWEEN {s} AND {CLOCK}"
