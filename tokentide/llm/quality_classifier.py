@@ -37,7 +37,7 @@ WIDTH = 6.0
 RIDGE = 1e-3
 BINS = 2048
 SEED = 20
-#: Tasks that add up normal equations, whatever the number of rows.
+#: Tasks that add up the sums of all tasks before them.
 SUMS = 12
 CUT = 0.5
 _RANGE = 4.0  # statistics are cut to so many deviations
@@ -146,7 +146,15 @@ def _solve(sums: np.ndarray) -> np.ndarray:
 
 
 def _partition_sums(rows: DataFrame, terms) -> np.ndarray:
-    """Sum of ``terms(stats, y, fold)``, an array a batch, over all rows: one array from each of SUMS tasks."""
+    """Sum of ``terms(stats, y, fold)``, an array a batch, over all rows.
+
+    Rows are added up where they are, an array for each task; those meet in SUMS tasks, an
+    array of which each goes to the driver.
+    """
+
+    def packed(total: np.ndarray | None):
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
 
     def run(batches):
         total = None
@@ -156,10 +164,17 @@ def _partition_sums(rows: DataFrame, terms) -> np.ndarray:
                 stats = batch.column("stats").flatten().to_numpy().reshape(-1, width)
                 part = terms(stats, batch.column("y").to_numpy(), batch.column("fold").to_numpy())
                 total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
+        yield from packed(total)
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for one in batch.column("total").to_pylist():
+                part = np.frombuffer(one)
+                total = part if total is None else total + part
+        yield from packed(total)
 
-    made = rows.repartition(SUMS).mapInArrow(run, "total binary").collect()
+    made = rows.mapInArrow(run, "total binary").repartition(SUMS).mapInArrow(add, "total binary").collect()
     return sum(np.frombuffer(bytes(r.total)) for r in made) if made else np.zeros(0)
 
 
