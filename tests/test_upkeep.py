@@ -1,5 +1,6 @@
 """The maintained rollup, deep pages and deferred logs."""
 
+import json
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from tokentide.operators import analytics as A
 from tokentide.operators.dedup import effective_usage
 from tokentide.operators.merge import write_usage
+from tokentide.operators.transfer import read_documents, read_large_documents
 from tokentide.plans.rollup import refresh_rollup, rollup_table
 
 T = 1_700_000_000 - 1_700_000_000 % 86400
@@ -67,3 +69,39 @@ def test_a_deep_page_sorts_its_range(make_usage):
     inside = df.filter(F.col("created_at").between(low, high)).count()
     assert inside <= 200 and skip < 200
     assert A.page_range(df, 3000, 10) is None and A.page_range(df.filter("false"), 0, 10) is None
+
+
+def document(rnd, n, **more):
+    """A transfer with braces, quotes and backslashes in its texts, and values that no one reads."""
+    odd = ['}', '{"records":[{', 'a"b', "\\\\", '\\"}', "é漢", "]}", "x" * 300, ""]
+    records = [
+        {"requestId": f"{n}-{i}", "providerId": rnd.choice(odd) + "p", "appType": "codex", "model": "m" + rnd.choice(odd), "inputTokens": i, "createdAt": T + i,
+         "statusCode": 200, "errorMessage": rnd.choice(odd), "extra": {"a": [{"b": rnd.choice(odd)}], "c": {}}}
+        for i in range(n)
+    ]
+    return {**more, "schemaVersion": 1, "note": rnd.choice(odd), "meta": {"records": [{"requestId": "no"}]}, "tags": [{"requestId": "no"}, "}"],
+            "sourceDevice": {"id": "d" + str(n), "name": rnd.choice(odd)}, "records": records, "after": [{"requestId": "no"}, {"x": "]"}]}
+
+
+def test_large_documents_equal_whole_ones(spark, tmp_path):
+    rnd = random.Random(8)
+    docs = [document(rnd, n) for n in (0, 1, 2, 40)] + [{"schemaVersion": 1, "records": [{"requestId": "z", "createdAt": 1}]}]
+    docs += [{"a": [{"b": 1}], "records": [{"requestId": "y"}, {"requestId": "x"}], "c": [{"requestId": "no"}, {"requestId": "no"}], "schemaVersion": 1}]
+    texts = [json.dumps(d, indent=i % 3 or None, ensure_ascii=bool(i % 2)) + " \n" * (i % 2) for i, d in enumerate(docs)]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+    want = sorted(map(str, read_documents(spark.createDataFrame([(t,) for t in texts], "value string")).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = read_large_documents(spark, str(tmp_path), chunk_rows=7)
+        assert sorted(map(str, read.collect())) == want and len(want) == 46
+        assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 20
+        with pytest.raises(ValueError, match="too many"):
+            read_large_documents(spark, str(tmp_path), max_records=39)
+        (tmp_path / "old.json").write_text(json.dumps({**docs[1], "schemaVersion": 99}))
+        with pytest.raises(ValueError, match="version"):
+            read_large_documents(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")

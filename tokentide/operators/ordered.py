@@ -15,6 +15,7 @@ def running(
     last: dict[str, Column] | None = None,
     last_before: dict[str, Column] | None = None,
     count: dict[str, Column] | None = None,
+    total: dict[str, Column] | None = None,
     peak: dict[str, Column] | None = None,
     peak_before: dict[str, Column] | None = None,
     chunk_rows: int = CHUNK_ROWS,
@@ -24,6 +25,7 @@ def running(
     ``last``: latest non-null value up to and including the row.
     ``last_before``: the same, excluding the row.
     ``count``: how many rows so far satisfy the condition, including the row.
+    ``total``: sum so far of a whole number that is never null, including the row.
     ``peak``: greatest value so far, including the row.
     ``peak_before``: the same, excluding the row.
 
@@ -32,12 +34,13 @@ def running(
     join on (keys, range) adds it back. A group with a third of all rows is so
     spread over many tasks; only its range summaries meet in one.
     """
-    last, last_before, count, peak, peak_before = last or {}, last_before or {}, count or {}, peak or {}, peak_before or {}
+    last, last_before, peak, peak_before = last or {}, last_before or {}, peak or {}, peak_before or {}
+    count = {n: F.coalesce(c, F.lit(False)).cast("bigint") for n, c in (count or {}).items()} | {n: c.cast("bigint") for n, c in (total or {}).items()}
     source = df.withColumns(
         {
             "_chunk": F.floor(F.col(order) / chunk_rows).cast("bigint"),
             **{f"_v_{n}": c for n, c in {**last, **last_before}.items()},
-            **{f"_c_{n}": F.coalesce(c, F.lit(False)).cast("bigint") for n, c in count.items()},
+            **{f"_c_{n}": c for n, c in count.items()},
             **{f"_p_{n}": c for n, c in {**peak, **peak_before}.items()},
         }
     )

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import COST_COLUMNS, TOKEN_COLUMNS, TRANSFER_VERSION, USAGE_SCHEMA, conform
+from ..session import staged
+from ..sources.lines import read_lines
 from .merge import new_rows
+from .ordered import CHUNK_ROWS, running
+
 
 def _camel(name: str) -> str:
     head, *rest = name.split("_")
@@ -100,6 +104,81 @@ def read_documents(documents: DataFrame, max_records: int | None = None, max_byt
     return fill_device(usage, F.col("_from.id"), F.col("_from.name")).drop("_from")
 
 
+# Fixed pattern: how the array of records opens, up to its first record.
+_OPENS = r'"records"\s*:\s*\[\s*(?=\{)'
+
+
+def read_large_documents(spark: SparkSession, paths: str | list[str], max_records: int | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """As ``read_documents``, from files whose one document may be of any size: many tasks parse it.
+
+    A file is read in pieces that end at a closing brace, which are splittable like lines. The
+    quotes of all pieces before one tell whether it starts inside a string, the brackets outside
+    strings how deep it starts, both as running sums; so a piece knows whether it is part
+    of a record. No task holds more of a document than a record, or what is around the records.
+    """
+    raw = read_lines(spark, paths, line_sep="}").select("file_path", "file_size", "line_no", "value")
+    sizes = staged(
+        raw.groupBy("file_path").agg(
+            F.max("line_no").alias("_last"), (F.sum(F.octet_length("value") + 1) > F.first("file_size")).alias("_open")
+        ),
+        "document-sizes",
+    )
+    # the last piece of a file has a brace unless the file goes on behind its last one
+    is_open = F.col("_open") & (F.col("line_no") == F.col("_last"))
+    pieces = raw.join(sizes, "file_path").select(
+        "file_path", "line_no", F.when(is_open, F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("value")
+    )
+    plain = F.regexp_replace("value", r'\\[\\"]', "")  # without escaped quotes
+    quoted = running(
+        pieces.withColumn("_plain", plain),
+        ["file_path"],
+        "line_no",
+        total={"_quotes": F.length("_plain") - F.length(F.replace("_plain", F.lit('"')))},
+        chunk_rows=chunk_rows,
+    )
+    before = F.col("_quotes") - (F.length("_plain") - F.length(F.replace("_plain", F.lit('"'))))
+    inside = before % 2 == 1
+    outside = F.when(inside, F.regexp_replace("_plain", r'^[^"]*"?', "")).otherwise(F.col("_plain"))
+    marks = F.regexp_replace(F.regexp_replace(outside, r'"[^"]*("|$)', ""), r"[^{}\[\]]", "")
+    number = lambda c: F.length("_marks") - F.length(F.replace("_marks", F.lit(c)))
+    marked = quoted.select("file_path", "line_no", "value", inside.alias("_inside"), marks.alias("_marks"))
+    braces, brackets = number("{") - number("}"), number("[") - number("]")
+    deep = running(marked, ["file_path"], "line_no", total={"_braces": braces, "_brackets": brackets}, chunk_rows=chunk_rows)
+    placed = deep.withColumns({"_b": F.col("_braces") - braces, "_k": F.col("_brackets") - brackets})
+
+    # an array on the first level: of records, or another
+    ahead = F.regexp_replace(F.regexp_replace(F.regexp_extract("value", rf"^([\s\S]*?){_OPENS}", 1), r'\\[\\"]', ""), r'"[^"]*"', "")
+    of = lambda c: F.length(ahead) - F.length(F.replace(ahead, F.lit(c)))
+    on_first_level = (F.col("_b") + of("{") == 1) & (F.col("_k") + of("[") - of("]") == 0)
+    first = ~F.col("_inside") & F.col("value").rlike(_OPENS) & on_first_level
+    closes = (F.col("_k") == 0) | ((F.col("_b") == 1) & F.col("_marks").startswith("]"))
+    opens = F.when(first, F.lit(True)).when(closes & (F.col("_brackets") > 0), F.lit(False))
+    known = running(placed.withColumn("_first", first), ["file_path"], "line_no", last_before={"_of_records": opens}, chunk_rows=chunk_rows)
+    within = (F.col("_k") >= 1) & F.coalesce("_of_records", F.lit(False))
+    next_ = within & (F.col("_b") == 1) & F.col("_marks").startswith("{")
+    numbered = running(
+        known.withColumns({"_starts": F.col("_first") | next_, "_part": F.col("_first") | next_ | (within & (F.col("_b") >= 2))}),
+        ["file_path"],
+        "line_no",
+        count={"_record": F.col("_starts")},
+        chunk_rows=chunk_rows,
+    )
+    cut = F.when(F.col("_first"), F.regexp_replace("value", rf"^[\s\S]*?{_OPENS}", "")).when(F.col("_starts"), F.regexp_replace("value", r"^[\s,]+", ""))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c.alias("t")))), lambda x: x["t"]), "")
+    kept = staged(numbered.select("file_path", "line_no", "value", "_first", "_part", "_record", cut.alias("_cut")), "document-pieces")
+    records = kept.filter("_part").groupBy("file_path", "_record").agg(text(F.coalesce("_cut", "value")).alias("value"))
+    head = F.when(F.col("_first"), F.regexp_extract("value", rf"^([\s\S]*?{_OPENS})", 1)).otherwise(F.col("value"))
+    heads = kept.filter(F.col("_first") | ~F.col("_part")).groupBy("file_path").agg(text(head).alias("value"))
+    heads = staged(heads.select("file_path", F.from_json("value", DOCUMENT_SCHEMA).alias("d")).select("file_path", "d.schemaVersion", "d.sourceDevice"), "document-heads")
+    if not heads.filter(F.col("schemaVersion").isNull() | (F.col("schemaVersion") != TRANSFER_VERSION)).isEmpty():
+        raise ValueError("unsupported transfer version")
+    if max_records is not None and not records.groupBy("file_path").count().filter(F.col("count") > max_records).isEmpty():
+        raise ValueError("too many records in transfer")
+    rows = records.select("file_path", F.from_json("value", RECORD_SCHEMA).alias("r")).join(heads, "file_path")
+    usage = from_records(rows.select(F.col("sourceDevice").alias("_from"), "r.*"), "_from")
+    return fill_device(usage, F.col("_from.id"), F.col("_from.name")).drop("_from")
+
+
 def _check_version(version: int) -> None:
     if version != TRANSFER_VERSION:
         raise ValueError(f"unsupported transfer version: {version}")

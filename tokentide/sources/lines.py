@@ -32,9 +32,11 @@ def list_files(spark: SparkSession, paths: str | list[str], *, glob: str | None
     )
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
     """(file_path, file_name, file_size, file_modified_ns, line_no from 1, value)."""
     reader = spark.read.option("recursiveFileLookup", "true")
+    if line_sep:
+        reader = reader.option("lineSep", line_sep)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.text(paths).select(

@@ -10,11 +10,11 @@ from tokentide.operators.dedup import effective_usage
 from tokentide.operators.filters import UsageQuery
 from tokentide.operators.merge import new_rows, rewrite_days, upsert, write_usage
 from tokentide.operators.pricing import seed_prices
-from tokentide.operators.transfer import import_usage
+from tokentide.operators.transfer import import_usage, read_large_documents, to_records
 from tokentide.plans.ingest import ingest_all
 from tokentide.plans.rollup import refresh_rollup, rollup_table
 from tokentide.plans.sync import PENDING, sync_rollout_files
-from tokentide.schema import CURSOR_SCHEMA
+from tokentide.schema import CURSOR_SCHEMA, TRANSFER_VERSION
 from tokentide.session import new_path, staged
 from tokentide.sources.claude import claude_usage
 from tokentide.sources.grok import deferred_files, grok_events, grok_usage, settled_events
@@ -148,7 +148,22 @@ def request_log_deep(spark, sf):
     return page.select("request_id", "created_at", "model", "output_tokens")
 
 
+def import_large_document(spark, sf):
+    """All records as one transfer document in one file, parsed piece by piece."""
+    rows = usage(spark, sf)
+    first = rows.agg(F.min("request_id")).first()[0]
+    comma = F.when(F.col("requestId") == first, "").otherwise(",")
+    records = to_records(rows).select(F.when(F.col("requestId") == first, 1).otherwise(2).alias("at"), F.concat(comma, F.to_json(F.struct("*"))).alias("value"))
+    head = f'{{"schemaVersion": {TRANSFER_VERSION}, "exportedAt": {NOW}, "sourceDevice": {{"id": "dev-a", "name": "Device A"}}, "records": ['
+    ends = spark.createDataFrame([(0, head), (3, "]}")], "at int, value string")
+    path = new_path(spark, "document")
+    records.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    out = import_usage(read_large_documents(spark, path), _stored(spark, sf))
+    return out.select("request_id", "model", "output_tokens", "device_id", "is_streaming", "created_at")
+
+
 QUERIES = {
+    "import_large_document": import_large_document,
     "rollup_maintained": rollup_maintained,
     "request_log_deep": request_log_deep,
     "range_presets": range_presets,
@@ -179,6 +194,7 @@ def _fault_sql(name: str) -> str:
 
 
 ORACLES = {
+    "import_large_document": f"{WITH_USAGE} SELECT request_id, model, output_tokens, device_id, true AS is_streaming, created_at FROM u WHERE NOT {_STORED}",
     "rollup_maintained": f"{WITH_EFFECTIVE} {daily_sql('eff')}",
     "request_log_deep": f"""{WITH_EFFECTIVE} SELECT request_id, created_at, model, output_tokens FROM eff
 ORDER BY created_at DESC, request_id LIMIT 25 OFFSET 725""",
