@@ -1,8 +1,15 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tokentide.llm import toxicity as tx
 from tokentide.llm.common import table
+from tokentide.llm.queries import op8_toxicity
+
+from .conftest import SF
 
 
 def test_cumulative_link_fit_recovers_an_order():
@@ -47,3 +54,57 @@ def test_odd_rows_and_empty_tables(odd_docs, odd_rows, no_docs, labels_of):
         assert len(got) == len(odd_rows)
         assert marks is labels or not any(r.toxic for r in got)
     assert tx.severity(no_docs, tx.fit(no_docs, labels)).count() == 0
+
+
+def plain_features(text):
+    """By feature, how often it occurs; words are letters, a feature a word or its beginning."""
+    counts = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        counts.update([word] + [word[:k] + "*" for k in (4, 5, 6) if len(word) > k])
+    return counts
+
+
+def plain_choice(rows):
+    """(text, toxic) -> features by falling likelihood-ratio statistic of their documents, equal ones by name."""
+    seen = {1: Counter(), 0: Counter()}
+    n = Counter(int(toxic == 1) for _, toxic in rows)
+    for text, toxic in rows:
+        seen[int(toxic == 1)].update(plain_features(text).keys())
+    names, total = set(seen[0]) | set(seen[1]), n[0] + n[1]
+    ranked = []
+    for f in names:
+        g = 0.0
+        for k in (0, 1):
+            for observed, of in ((seen[k][f], seen[0][f] + seen[1][f]), (n[k] - seen[k][f], total - seen[0][f] - seen[1][f])):
+                g += 2 * observed * math.log(observed / (of * n[k] / total)) if observed else 0.0
+        if seen[1][f] * n[0] > seen[0][f] * n[1] and g >= 2 * math.log(len(names) + 1):
+            ranked.append((-g, f))
+    return [f for _, f in sorted(ranked)][: tx.FEATURES], dict((f, -g) for g, f in ranked)
+
+
+def plain_severity(model, text):
+    counts = plain_features(text)
+    score = sum(w * math.log1p(counts[f]) for f, w in zip(model.chosen, model.weights.tolist(), strict=True) if counts[f])
+    upto = [1 / (1 + math.exp(-min(40, max(-40, t - score)))) for t in model.thresholds.tolist()] + [1.0]
+    p = [b - a for a, b in zip([0.0, *upto], upto, strict=False)]
+    return sum(k * x for k, x in enumerate(p)), p.index(max(p)), 1 - p[0]
+
+
+def test_query_equals_a_plain_version(spark):
+    """Features chosen and every document's severity, over a whole table with its labels."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    known = tx.sample(docs, labels)
+    rows = [(r.text, r.toxic) for r in known.select("text", "toxic").collect()]
+    chosen, statistic = plain_choice(rows)
+    got = tx.choose(known)
+    assert len(got) == len(chosen) and {round(statistic[f], 9) for f in got} == {round(statistic[f], 9) for f in chosen}
+    assert all(statistic[a] >= statistic[b] - 1e-9 for a, b in zip(got, got[1:]))
+    model = tx.fit(docs, labels)
+    assert set(model.chosen) == set(got)
+    scored = {r.doc_id: r for r in op8_toxicity(spark, SF).collect()}
+    texts = docs.select("doc_id", "text").collect()
+    assert len(scored) == len(texts)
+    for doc_id, text in texts:
+        row, (severity, grade, toxic) = scored[doc_id], plain_severity(model, text)
+        assert abs(row.severity - severity) < 1e-6 and abs(row.p_toxic - toxic) < 1e-6
+        assert row.toxic == (row.p_toxic >= 0.5) and (row.grade == grade or abs(row.severity % 1 - 0.5) < 0.2)

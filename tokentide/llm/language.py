@@ -205,7 +205,7 @@ def sample(docs: DataFrame) -> DataFrame:
     """
     known = docs.select("doc_id", "text", "lang").where("doc_id is not null and lang is not null and length(text) > 0").where(~held_out(F.col("doc_id")))
     n = staged(known.groupBy("lang").count(), "language-counts").withColumnRenamed("count", "n")
-    share = TRAIN_DOCS / max(1, n.count())
+    share = max(1.0, TRAIN_DOCS / max(1, n.count()))
     rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) * F.col("n")
     place = lambda i: F.pmod(F.xxhash64("doc_id", i), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
     cut = F.transform(F.sequence(F.lit(1), F.lit(TRAIN_WINDOWS)), lambda i: F.substr(F.col("text"), place(i), F.lit(WINDOW // 2 + 16)))
