@@ -246,3 +246,19 @@ def test_buckets_change_alone(spark, make_usage, tmp_path):
     assert [spark.read.parquet(str(tmp_path / "t" / r.name)).count() for r in table._runs()] == [1, 500]
     want = {tuple(r) for r in S.live_buckets(spark.read.parquet(src)).collect()}
     assert {tuple(r) for r in table.latest().collect()} == want
+
+
+def test_polling_goes_on_until_it_is_stopped(spark, make_usage, tmp_path):
+    """The polling trigger takes what has landed since, without a restart."""
+    src, log = str(tmp_path / "in"), S.usage_log(spark, str(tmp_path / "fact"))
+    first = make_usage([{"request_id": "a"}])
+    first.coalesce(1).write.mode("append").parquet(src)
+    query = S.start(S.watch(spark, src, first.schema), S.ingest_batch(log), str(tmp_path / "c"), poll="200 milliseconds")
+    try:
+        query.processAllAvailable()
+        assert log.read().count() == 1
+        make_usage([{"request_id": "a"}, {"request_id": "b"}]).coalesce(1).write.mode("append").parquet(src)
+        query.processAllAvailable()
+        assert {r.request_id for r in log.read().collect()} == {"a", "b"} and query.isActive
+    finally:
+        query.stop()
