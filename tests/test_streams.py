@@ -158,6 +158,14 @@ def test_one_commit_follows_a_version(spark, tmp_path):
     assert commits.head() == 130 and oldest == 30 and listed == set(range(30, 131))
 
 
+def test_a_batch_number_that_was_passed_is_an_error(spark, tables):
+    """A stream whose checkpoint was lost starts again with batch 0: that is told, not skipped."""
+    S.settle_batch(*tables(), lambda: 1000)(turns(spark, [("f", 1, "a", 10)]), 3)
+    with pytest.raises(ValueError, match="batch 1"):
+        S.settle_batch(*tables(), lambda: 1000)(turns(spark, [("f", 2, "b", 10)]), 1)
+    assert emitted(tables) == ["a"]
+
+
 def test_hidden_versions_are_deleted(spark, tables):
     out, pending = tables()
     settling = S.Settling(out, pending, 600)

@@ -133,6 +133,8 @@ def settle_batch(
         while (parent := settling.commits.head()) < version:
             if settling.step(as_of(), batch, parent, version):
                 return
+        if not settling.commits.has(version):
+            raise ValueError(f"batch {batch_id} comes after version {parent}")
 
     return each
 
@@ -145,6 +147,8 @@ def settle_sweep(out: BatchLog, pending: VersionedTable, as_of: int, window: int
     """
     settling = Settling(out, pending, window)
     parent = settling.commits.head()
+    if (parent + 1) % BETWEEN == 0 and parent > 0:
+        raise ValueError("no version is left before the next batch")
     return parent < 0 or settling.step(as_of, None, parent, parent + 1)
 
 

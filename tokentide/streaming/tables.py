@@ -96,6 +96,10 @@ class Commits:
         parents = self._parents()
         return (parents[0], {*parents, self.head()}) if parents else (-1, set())
 
+    def has(self, version: int) -> bool:
+        oldest, listed = self.holds()
+        return version in listed or 0 <= version < oldest
+
     def commit(self, parent: int, version: int) -> bool:
         """Show ``version``, written on top of ``parent``; false if another writer was first."""
         if not _write_text(self.spark, f"{self.path}/after={parent}", str(version)):
