@@ -8,7 +8,7 @@ and whether it is a heading. A decision tree (Gini splits), trained when a task
 the small labelled table of ``labelled_pages``, tells which blocks are main text.
 
 One pass where the pages are read, no shuffle. A page is read from front to back once,
-whatever is left open in it; memory follows the slab or a single longer page (about 15
+whatever is left open in it; memory follows the slab or a single longer page (5 to 10
 times its size).
 
 A block's text: character references decoded, white space (any Unicode) turned into one

@@ -15,7 +15,7 @@ down to that length are made: prose costs one pass over its words.
 
 Work stays inside a document and runs where its row is read, without a shuffle; short
 documents are taken together in slabs. Memory follows the slab, or a single longer text
-(about 60 times its size while it is worked on).
+(10 to 45 times its size while it is worked on, by how much of it repeats).
 
 Words are runs of anything but ASCII white space. Defined cases: a null, empty or blank
 text has no words and no runs; its collapsed text is empty. Repeated rows each give a row;
