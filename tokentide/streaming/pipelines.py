@@ -190,9 +190,12 @@ def replace_table(table: VersionedTable):
     return each
 
 
-def change_table(table: VersionedTable, keys: list[str]):
-    """Sink for update output: a micro-batch stores the rows that it changes."""
-    table.keyed(keys)
+def change_table(table: VersionedTable, keys: list[str], buckets: int = 8):
+    """Sink for update output: a micro-batch stores the rows that it changes.
+
+    ``buckets`` holds for a new table; few, as figures of time buckets are few.
+    """
+    table.keyed(keys, buckets=buckets)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         table.change(batch_id, batch)
