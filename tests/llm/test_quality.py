@@ -72,6 +72,16 @@ def test_ratio_and_verdict_equal_plain(spark):
         assert abs(r.score - score) < 1e-9 and r.kept == (not r.base_failed and score >= qr.THRESHOLD)
 
 
+def test_target_is_fitted_on_every_good_document(spark, make_docs):
+    n = 60_000
+    docs = make_docs([(i, f"{i % 7}good" if i % 9 else "other") for i in range(n)] + [(None, "good")] * 3)
+    labels = spark.range(n).selectExpr("id as doc_id", "int(id % 9 > 0) as quality")
+    again = labels.where("doc_id < 50").unionByName(spark.sql("select cast(null as bigint) as doc_id, 1 as quality"))
+    want = plain_ratio([(r.doc_id, r.text) for r in docs.collect()], {i for i in range(n) if i % 9})
+    ratio = qr.fit(docs, labels.unionByName(again))
+    assert all(abs(ratio[b] - v) < 1e-9 for b, v in want.items())
+
+
 def test_rules_tell_good_from_bad(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     judged = qr.judge(docs, qr.fit(docs, labels)).join(labels, "doc_id").where(~F.col("base_failed"))

@@ -6,10 +6,9 @@ the raw corpus (every document). A document's score is the mean log ratio of its
 does not matter, and it is kept if the score reaches a fixed threshold; no
 document is drawn at random.
 
-Raw counts cover all documents. The target is fitted on a bounded sample of
-labelled rows: of more than ``TRUSTED_DOCS`` good documents, those whose hashed
-ids are least. Only their ids go to the tasks, so texts are never shuffled; the
-model has a fixed number of buckets.
+Raw counts cover all documents, the target every document labelled as good. Ids of good
+documents grow with the table, so they meet the texts in a hash join by doc_id, which moves
+each text once and sorts none. The model has a fixed number of buckets.
 
 Words are runs of anything but ASCII white space. Defined cases: a null or empty
 text has no words, score 0 and fails the base rules; without any trusted text the
@@ -32,7 +31,7 @@ from .common import WordIds, keep_documents, least_hashed, per_document, slabs,
 NGRAM = 4
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
-#: Good documents that the target is fitted on, at most.
+#: Ids that ``trusted_ids`` lists, at most; the target is fitted on all of them.
 TRUSTED_DOCS = 50_000
 #: Pseudo-counts of the target, spread over buckets as the raw corpus is.
 PRIOR = 2 * BUCKETS
@@ -57,27 +56,32 @@ def hashed_ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return bucket.astype(np.int32), document[:n][inside]
 
 
+def trusted(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good, each once."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+
+
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> list:
-    """Ids of documents labelled good, the ``limit`` with the least hashed ids."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return [r[0] for r in least_hashed(good, limit).collect()]
+    """A list of ``limit`` documents labelled good, with the least hashed ids, to look at; no model is fitted on it."""
+    return [r[0] for r in least_hashed(trusted(labels), limit).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratio by bucket: target over raw corpus."""
-    trusted = docs.sparkSession.sparkContext.broadcast(frozenset(trusted_ids(labels)))
 
     def run(batches):
         counts = np.zeros((2, BUCKETS), dtype=np.int64)
         for part in slabs(batches):
-            good = np.array([d in trusted.value for d in part.column("doc_id").to_pylist()], dtype=bool)
+            good = part.column("good").to_numpy(zero_copy_only=False)
             bucket, document = hashed_ngrams(texts_of(part))
             counts[0] += np.bincount(bucket[good[document]], minlength=BUCKETS)
             counts[1] += np.bincount(bucket, minlength=BUCKETS)
         full = np.flatnonzero(counts[1])
         yield pa.RecordBatch.from_pydict({"bucket": full, "target": counts[0][full], "raw": counts[1][full]})
 
-    counted = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, target bigint, raw bigint")
+    good_ids = trusted(labels).withColumn("good", F.lit(True)).hint("shuffle_hash")
+    marked = docs.select("doc_id", "text").join(good_ids, "doc_id", "left")
+    counted = marked.select("text", F.coalesce("good", F.lit(False)).alias("good")).mapInArrow(run, "bucket bigint, target bigint, raw bigint")
     rows = counted.groupBy("bucket").agg(F.sum("target"), F.sum("raw")).toPandas().to_numpy()
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     if len(rows):
