@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokentide.operators import analytics as A
 from tokentide.operators.dedup import effective_usage
 from tokentide.operators.merge import write_usage
+from tokentide.operators import transfer
 from tokentide.operators.transfer import read_documents, read_large_documents
 from tokentide.plans.rollup import refresh_rollup, rollup_table
 
@@ -105,3 +106,21 @@ def test_large_documents_equal_whole_ones(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_whole_records_of_large_documents_stay_where_they_are(spark, tmp_path, monkeypatch):
+    kept = {}
+
+    def watched(df, label):
+        kept[label] = transfer_staged(df, label)
+        return kept[label]
+
+    transfer_staged = transfer.staged
+    monkeypatch.setattr(transfer, "staged", watched)
+    records = [{"requestId": f"r{i}", "model": "m}" if i == 50 else "m", "createdAt": i + 1} for i in range(100)]
+    (tmp_path / "one.json").write_text(json.dumps({"schemaVersion": 1, "records": records}))
+    rows = read_large_documents(spark, str(tmp_path)).collect()
+    assert sorted(r.created_at for r in rows) == list(range(1, 101))
+    # the opening piece, the two pieces of the record with a brace in it and the closing piece
+    assert kept["document-pieces"].count() == 4
+    assert not any("value" in df.columns for label, df in kept.items() if label != "document-pieces")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.logs import computed
 from ..schema import COST_COLUMNS, TOKEN_COLUMNS, TRANSFER_VERSION, USAGE_SCHEMA, conform
 from ..session import staged
 from ..sources.lines import read_lines
@@ -113,8 +114,11 @@ def read_large_documents(spark: SparkSession, paths: str | list[str], max_record
 
     A file is read in pieces that end at a closing brace, which are splittable like lines. The
     quotes of all pieces before one tell whether it starts inside a string, the brackets outside
-    strings how deep it starts, both as running sums; so a piece knows whether it is part
-    of a record. No task holds more of a document than a record, or what is around the records.
+    strings how deep it starts, both as running sums over a narrow table of counts; so a piece
+    knows whether it is part of a record. Counts are made for both cases, inside and outside, so the
+    sums move no text. Nor do pieces that are a whole record; only those of other records and
+    around the records are looked up and put together. No task holds more of a document than
+    a record, or what is around the records.
     """
     raw = read_lines(spark, paths, line_sep="}").select("file_path", "file_size", "line_no", "value")
     sizes = staged(
@@ -128,45 +132,88 @@ def read_large_documents(spark: SparkSession, paths: str | list[str], max_record
     pieces = raw.join(sizes, "file_path").select(
         "file_path", "line_no", F.when(is_open, F.col("value")).otherwise(F.concat("value", F.lit("}"))).alias("value")
     )
+
+    def number(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark)))
+
+    def counts(marks: str) -> Column:
+        c = F.col(marks)
+        braces, brackets = number(c, "{") - number(c, "}"), number(c, "[") - number(c, "]")
+        return F.struct(braces.alias("braces"), brackets.alias("brackets"), F.substring(c, 1, 1).alias("starts"))
+
     plain = F.regexp_replace("value", r'\\[\\"]', "")  # without escaped quotes
-    quoted = running(
-        pieces.withColumn("_plain", plain),
-        ["file_path"],
-        "line_no",
-        total={"_quotes": F.length("_plain") - F.length(F.replace("_plain", F.lit('"')))},
-        chunk_rows=chunk_rows,
+    marks = lambda text: F.regexp_replace(F.regexp_replace(text, r'"[^"]*("|$)', ""), r"[^{}\[\]]", "")
+    # up to an array of records, if one may open here
+    ahead = F.regexp_replace(F.regexp_replace(F.regexp_extract("value", rf"^([\s\S]*?){_OPENS}", 1), r'\\[\\"]', ""), r'"[^"]*"', "")
+    may_open = F.col("value").rlike(_OPENS)
+    own = computed(pieces, ["file_path", "line_no"], {"_plain": plain, "_may_open": may_open, "_ahead": F.when(may_open, ahead).otherwise("")})
+    both = {"_outside": marks(F.col("_plain")), "_inside": marks(F.regexp_replace("_plain", r'^[^"]*"?', ""))}
+    own = computed(own, own.columns, both)
+    counted = staged(
+        own.select(
+            "file_path",
+            "line_no",
+            number(F.col("_plain"), '"').alias("_own"),
+            counts("_outside").alias("_outside"),
+            counts("_inside").alias("_inside"),
+            "_may_open",
+            number(F.col("_ahead"), "{").alias("_ahead_b"),
+            (number(F.col("_ahead"), "[") - number(F.col("_ahead"), "]")).alias("_ahead_k"),
+        ),
+        "document-counts",
     )
-    before = F.col("_quotes") - (F.length("_plain") - F.length(F.replace("_plain", F.lit('"'))))
-    inside = before % 2 == 1
-    outside = F.when(inside, F.regexp_replace("_plain", r'^[^"]*"?', "")).otherwise(F.col("_plain"))
-    marks = F.regexp_replace(F.regexp_replace(outside, r'"[^"]*("|$)', ""), r"[^{}\[\]]", "")
-    number = lambda c: F.length("_marks") - F.length(F.replace("_marks", F.lit(c)))
-    marked = quoted.select("file_path", "line_no", "value", inside.alias("_inside"), marks.alias("_marks"))
-    braces, brackets = number("{") - number("}"), number("[") - number("]")
-    deep = running(marked, ["file_path"], "line_no", total={"_braces": braces, "_brackets": brackets}, chunk_rows=chunk_rows)
-    placed = deep.withColumns({"_b": F.col("_braces") - braces, "_k": F.col("_brackets") - brackets})
+    quoted = running(counted, ["file_path"], "line_no", total={"_quotes": F.col("_own")}, chunk_rows=chunk_rows)
+    inside = (F.col("_quotes") - F.col("_own")) % 2 == 1
+    marked = staged(
+        quoted.select(
+            "file_path",
+            "line_no",
+            F.when(inside, F.col("_inside")).otherwise(F.col("_outside")).alias("_m"),
+            (~inside & F.col("_may_open")).alias("_may_open"),
+            "_ahead_b",
+            "_ahead_k",
+        ),
+        "document-marks",
+    )
+    deep = running(
+        marked, ["file_path"], "line_no", total={"_braces": F.col("_m.braces"), "_brackets": F.col("_m.brackets")}, chunk_rows=chunk_rows
+    )
+    placed = deep.withColumns({"_b": F.col("_braces") - F.col("_m.braces"), "_k": F.col("_brackets") - F.col("_m.brackets")})
 
     # an array on the first level: of records, or another
-    ahead = F.regexp_replace(F.regexp_replace(F.regexp_extract("value", rf"^([\s\S]*?){_OPENS}", 1), r'\\[\\"]', ""), r'"[^"]*"', "")
-    of = lambda c: F.length(ahead) - F.length(F.replace(ahead, F.lit(c)))
-    on_first_level = (F.col("_b") + of("{") == 1) & (F.col("_k") + of("[") - of("]") == 0)
-    first = ~F.col("_inside") & F.col("value").rlike(_OPENS) & on_first_level
-    closes = (F.col("_k") == 0) | ((F.col("_b") == 1) & F.col("_marks").startswith("]"))
-    opens = F.when(first, F.lit(True)).when(closes & (F.col("_brackets") > 0), F.lit(False))
-    known = running(placed.withColumn("_first", first), ["file_path"], "line_no", last_before={"_of_records": opens}, chunk_rows=chunk_rows)
+    on_first_level = (F.col("_b") + F.col("_ahead_b") == 1) & (F.col("_k") + F.col("_ahead_k") == 0)
+    first = F.col("_may_open") & on_first_level
+    placed = staged(
+        placed.select("file_path", "line_no", "_braces", "_brackets", "_b", "_k", F.col("_m.starts").alias("_begins"), first.alias("_first")),
+        "document-depths",
+    )
+    closes = (F.col("_k") == 0) | ((F.col("_b") == 1) & (F.col("_begins") == "]"))
+    opens = F.when(F.col("_first"), F.lit(True)).when(closes & (F.col("_brackets") > 0), F.lit(False))
+    known = running(placed, ["file_path"], "line_no", last_before={"_of_records": opens}, chunk_rows=chunk_rows)
     within = (F.col("_k") >= 1) & F.coalesce("_of_records", F.lit(False))
-    next_ = within & (F.col("_b") == 1) & F.col("_marks").startswith("{")
-    numbered = running(
-        known.withColumns({"_starts": F.col("_first") | next_, "_part": F.col("_first") | next_ | (within & (F.col("_b") >= 2))}),
-        ["file_path"],
-        "line_no",
-        count={"_record": F.col("_starts")},
-        chunk_rows=chunk_rows,
+    next_ = within & (F.col("_b") == 1) & (F.col("_begins") == "{")
+    known = staged(
+        known.select(
+            "file_path",
+            "line_no",
+            "_first",
+            (F.col("_first") | next_).alias("_starts"),
+            (F.col("_first") | next_ | (within & (F.col("_b") >= 2))).alias("_part"),
+            (next_ & ~F.col("_first") & (F.col("_braces") == 1)).alias("_whole"),
+        ),
+        "document-known",
     )
-    cut = F.when(F.col("_first"), F.regexp_replace("value", rf"^[\s\S]*?{_OPENS}", "")).when(F.col("_starts"), F.regexp_replace("value", r"^[\s,]+", ""))
+    numbered = running(known, ["file_path"], "line_no", count={"_record": F.col("_starts")}, chunk_rows=chunk_rows)
+    others = staged(numbered.filter(~F.col("_whole")).drop("_whole"), "document-others")
+    place = ["file_path", "line_no"]
+    strip = F.regexp_replace("value", r"^[\s,]+", "")
+    cut = F.when(F.col("_first"), F.regexp_replace("value", rf"^[\s\S]*?{_OPENS}", "")).when(F.col("_starts"), strip)
     text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", c.alias("t")))), lambda x: x["t"]), "")
-    kept = staged(numbered.select("file_path", "line_no", "value", "_first", "_part", "_record", cut.alias("_cut")), "document-pieces")
-    records = kept.filter("_part").groupBy("file_path", "_record").agg(text(F.coalesce("_cut", "value")).alias("value"))
+    kept = pieces.join(others, place).select(*place, "value", "_first", "_part", "_record", cut.alias("_cut"))
+    kept = staged(kept, "document-pieces")
+    joined = kept.filter("_part").groupBy("file_path", "_record").agg(text(F.coalesce("_cut", "value")).alias("value"))
+    whole = pieces.join(others.select(*place), place, "left_anti").select("file_path", strip.alias("value"))
+    records = whole.unionByName(joined.drop("_record"))
     head = F.when(F.col("_first"), F.regexp_extract("value", rf"^([\s\S]*?{_OPENS})", 1)).otherwise(F.col("value"))
     heads = kept.filter(F.col("_first") | ~F.col("_part")).groupBy("file_path").agg(text(head).alias("value"))
     heads = staged(heads.select("file_path", F.from_json("value", DOCUMENT_SCHEMA).alias("d")).select("file_path", "d.schemaVersion", "d.sourceDevice"), "document-heads")
