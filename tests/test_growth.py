@@ -1,0 +1,40 @@
+"""What keeps the time of large runs in proportion to their input."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from tokentide.operators.ordered import running, wide_groups
+from tokentide.sources.rollouts import rollout_records
+
+#: Bytes of a method beyond which the JVM leaves it to its interpreter.
+HUGE_METHOD = 8000
+
+
+def method_sizes(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    text = df._jdf.queryExecution().explainString(mode)
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_parsing_of_rollouts_is_compiled(spark, make_lines):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = method_sizes(rollout_records(make_lines({"/a.jsonl": ["{}"]})))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < HUGE_METHOD
+
+
+def test_only_groups_of_several_ranges_are_summarised(spark):
+    rows = spark.range(40).select((F.col("id") % 3).alias("g"), "id", F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    rows = rows.filter("g < 2 or id < 10")
+    wide = wide_groups(rows, "g", "id", 10)
+    assert sorted(r.g for r in wide.collect()) == [0, 1]
+    scan = dict(last={"a": F.col("v")}, last_before={"b": F.col("v")}, count={"n": F.lit(True)}, peak_before={"p": F.col("v")}, chunk_rows=10)
+    plain = running(rows, ["g"], "id", **scan)
+    assert sorted(running(rows, ["g"], "id", wide=wide, **scan).collect()) == sorted(plain.collect())
+    # no group has two ranges: nothing is joined
+    short = running(rows, ["g"], "id", wide=wide_groups(rows, "g", "id", 100), **{**scan, "chunk_rows": 100})
+    assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(short.collect()) == sorted(plain.collect())

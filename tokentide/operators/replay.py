@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import staged
-from .ordered import CHUNK_ROWS, running
+from .ordered import CHUNK_ROWS, running, wide_groups
 
 
 def parent_timeline(records: DataFrame) -> DataFrame:
@@ -159,14 +159,14 @@ def resolve_parents(threads: DataFrame, records: DataFrame, chunk_rows: int = CH
     )
 
 
-def _ranked(df: DataFrame, keys: list[str], order: str, chunk_rows: int) -> DataFrame:
+def _ranked(df: DataFrame, keys: list[str], order: str, chunk_rows: int, wide: DataFrame) -> DataFrame:
     """Number the copies of each signature."""
-    return running(df, [*keys, "signature"], order, count={"copy_no": F.lit(True)}, chunk_rows=chunk_rows)
+    return running(df, [*keys, "signature"], order, count={"copy_no": F.lit(True)}, chunk_rows=chunk_rows, wide=wide)
 
 
-def _first_stop(paired: DataFrame, chunk_rows: int) -> DataFrame:
+def _first_stop(paired: DataFrame, chunk_rows: int, wide: DataFrame) -> DataFrame:
     """Per child: the first position that does not continue the run, whether it has fallen only, and the last position."""
-    linked = running(paired, ["child"], "position", last_before={"_before": F.col("place")}, chunk_rows=chunk_rows)
+    linked = running(paired, ["child"], "position", last_before={"_before": F.col("place")}, chunk_rows=chunk_rows, wide=wide)
     falls = F.col("place") <= F.col("_before")
     broken = F.col("place").isNull() | F.coalesce(falls, F.lit(False))
     stop = F.min_by(F.struct("position", F.col("place").isNotNull().alias("fallen")), F.when(broken, F.col("position")))
@@ -190,16 +190,16 @@ def _copies_passed(fallen: DataFrame, numbered: DataFrame, chunk_rows: int) -> D
     return passed.filter("_asked is not null").select(F.inline("_asked"), F.coalesce("_passed", F.lit(0)).alias("_passed"))
 
 
-def _raised(state: DataFrame, numbered: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
+def _raised(state: DataFrame, numbered: DataFrame, chunk_rows: int, wide: DataFrame) -> tuple[DataFrame, bool]:
     """One round over (child, position, source, signature, copy_no, rank, place); whether anything had fallen."""
-    peaks = staged(running(state, ["child"], "position", peak_before={"_peak": F.col("place")}, chunk_rows=chunk_rows), "replay-peaks")
+    peaks = staged(running(state, ["child"], "position", peak_before={"_peak": F.col("place")}, chunk_rows=chunk_rows, wide=wide), "replay-peaks")
     fallen = peaks.filter(F.col("place") <= F.col("_peak"))
     if fallen.isEmpty():
         return state, False
     passed = _copies_passed(fallen, numbered, chunk_rows)
     least = peaks.join(passed, ["child", "position"], "left").withColumn("_least", F.greatest(F.col("rank"), F.col("_passed") + 1))
     # copies are used in order, so what one event skips all later ones of its signature skip too
-    skipped = running(least, ["child", "signature"], "position", peak={"_skip": F.col("_least") - F.col("copy_no")}, chunk_rows=chunk_rows)
+    skipped = running(least, ["child", "signature"], "position", peak={"_skip": F.col("_least") - F.col("copy_no")}, chunk_rows=chunk_rows, wide=wide)
     ranked = skipped.select("child", "position", "source", "signature", "copy_no", (F.col("copy_no") + F.col("_skip")).alias("rank"))
     found = numbered.select("source", "signature", F.col("copy_no").alias("rank"), "place")
     placed = staged(ranked.join(found, ["source", "signature", "rank"], "left"), "replay-placed")
@@ -222,14 +222,20 @@ def replay_prefix(
     source = timeline.join(parents, timeline["file_path"] == parents["parent_path"], "left_semi").select(
         F.col("file_path").alias("parent_path"), F.col("line_no").alias("place"), "ts", "signature"
     )
-    times = running(source, ["parent_path"], "place", last_before={"_t": F.col("ts")}, chunk_rows=chunk_rows)
+    # logs that reach over several ranges of lines, and children that do of positions
+    long_logs = wide_groups(timeline, "file_path", "line_no", chunk_rows)
+    long_children = wide_groups(events, "file_path", "position", chunk_rows)
+    times = running(source, ["parent_path"], "place", last_before={"_t": F.col("ts")}, chunk_rows=chunk_rows, wide=long_logs)
     backwards = staged(times.filter(F.col("ts") < F.col("_t")).select("parent_path").distinct(), "replay-backwards")
 
     # what a child is matched with: its parent's events, or those before its own fork
     odd = links.join(backwards, "parent_path", "left_semi")
     own = odd.join(source, "parent_path").filter(F.col("ts") <= F.col("fork_ts")).select(F.col("child").alias("source"), "place", "ts", "signature")
     shared = source.withColumnRenamed("parent_path", "source").select("source", "place", "ts", "signature")
-    numbered = staged(_ranked(shared.unionByName(own), ["source"], "place", chunk_rows), "replay-numbered")
+    # the events before a fork are in the child's name
+    long_own = odd.join(long_logs.withColumnRenamed("file_path", "parent_path"), "parent_path", "left_semi").select("child")
+    long_sources = staged(long_logs.union(long_own), "wide-groups")
+    numbered = staged(_ranked(shared.unionByName(own), ["source"], "place", chunk_rows, long_sources), "replay-numbered")
     asked = links.join(backwards.withColumn("_back", F.lit(True)), "parent_path", "left").select(
         "child", "fork_ts", F.when(F.col("_back"), F.col("child")).otherwise(F.col("parent_path")).alias("source")
     )
@@ -237,14 +243,14 @@ def replay_prefix(
         F.col("file_path").alias("child"), "source", "fork_ts", "position", "signature"
     )
     paired = staged(
-        _ranked(child, ["child"], "position", chunk_rows)
+        _ranked(child, ["child"], "position", chunk_rows, long_children)
         .join(numbered, ["source", "signature", "copy_no"], "left")
         # in order of time what follows an event after the fork is after it too
         .withColumn("place", F.when(F.col("ts") <= F.col("fork_ts"), F.col("place")))
         .select("child", "source", "fork_ts", "position", "signature", "copy_no", "place"),
         "replay-paired",
     )
-    stops = staged(_first_stop(paired, chunk_rows), "replay-stops")
+    stops = staged(_first_stop(paired, chunk_rows, long_children), "replay-stops")
     settled = stops.filter(~F.coalesce(F.col("stop.fallen"), F.lit(False))).select(
         F.col("child").alias("file_path"), F.coalesce(F.col("stop.position") - 1, F.col("end")).alias("replay_prefix")
     )
@@ -258,7 +264,7 @@ def replay_prefix(
     state = staged(state.select("child", "position", "source", "signature", "copy_no", F.col("copy_no").alias("rank"), "place"), "replay-state")
     going = True
     while going:
-        state, going = _raised(state, before_fork, chunk_rows)
+        state, going = _raised(state, before_fork, chunk_rows, long_children)
         if going:
             # a copy after the fork is no partner, nor is what comes after its event in the child
             late = (

@@ -8,7 +8,7 @@ from ..functions import logs as J
 from ..functions.names import UUID_PATTERN, request_key, thread_id, thread_model
 from ..functions.times import rfc3339, rfc3339_seconds
 from ..functions.tokens import clamp, saturating_minus, zero
-from ..operators.ordered import CHUNK_ROWS, running
+from ..operators.ordered import CHUNK_ROWS, running, wide_groups
 from ..schema import SEMANTICS_LEGACY, SOURCE_CODEX
 
 _USAGE = """struct<input_tokens:bigint,cached_input_tokens:variant,cache_read_input_tokens:bigint,
@@ -70,22 +70,29 @@ def rollout_records(lines: DataFrame) -> DataFrame:
     info_keys = F.json_object_keys(F.get_json_object("value", "$.payload.info"))
     names_total = F.coalesce(F.array_contains(info_keys, "total_token_usage"), F.lit(False))
     place = ["file_path", "file_name", "line_no"]
-    read = J.computed(
+    # Several steps: the code generated for one has to stay within what the JVM compiles (8000 bytes a method).
+    told = J.computed(
         logged,
-        place,
+        [*place, "j"],
         {
-            "at": j["timestamp"],
             "is_meta": F.coalesce(is_meta, F.lit(False)),
             "is_context": F.coalesce(is_context, F.lit(False)),
             "has_total": F.when(total.isNotNull(), True).when(is_count & last.isNotNull(), names_total).otherwise(False),
             "of_total": F.when(is_count, _counters(total)),
-            "of_last": F.when(is_count, _counters(last)),
+        },
+    )
+    counters = J.computed(told, [*place, "j", "is_meta", "is_context", "has_total", "of_total"], {"of_last": F.when(is_count, _counters(last))})
+    read = J.computed(
+        counters,
+        [*place, "is_meta", "is_context", "has_total", "of_total", "of_last"],
+        {
+            "at": j["timestamp"],
             "named": F.when(
-                is_context,
+                F.col("is_context"),
                 J.text(F.coalesce(payload["model"], info["model"])),
             ).when(is_count, J.text(F.coalesce(info["model"], info["model_name"], payload["model"]))),
             "meta": F.when(
-                is_meta,
+                F.col("is_meta"),
                 F.struct(
                     _clean(F.coalesce(payload["id"], payload["thread_id"], payload["threadId"])).alias("id"),
                     _clean(payload["forked_from_id"]).alias("forked_from"),
@@ -189,6 +196,7 @@ def token_events(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     total untouched. The index numbers non-zero deltas, the position all events.
     """
     own = records.filter("kind in ('model', 'token')")
+    wide = wide_groups(own, "file_path", "line_no", chunk_rows)
     total = F.when(F.col("counted") & F.col("is_total"), F.struct("input", "cached", "output"))
     filled = running(
         own,
@@ -197,6 +205,7 @@ def token_events(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         last={"_model": F.col("model")},
         last_before={"_prev": total},
         chunk_rows=chunk_rows,
+        wide=wide,
     )
 
     def step(name: str) -> Column:
@@ -222,6 +231,7 @@ def token_events(records: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         "line_no",
         count={"event_index": billable, "position": F.lit(True)},
         chunk_rows=chunk_rows,
+        wide=wide,
     )
     return numbered.withColumn("event_index", F.when(billable, F.col("event_index")))
 
