@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tokentide.operators.analytics import page_range
 from tokentide.operators.ordered import running, wide_groups
 from tokentide.sources.rollouts import rollout_records
 
@@ -38,3 +39,17 @@ def test_only_groups_of_several_ranges_are_summarised(spark):
     short = running(rows, ["g"], "id", wide=wide_groups(rows, "g", "id", 100), **{**scan, "chunk_rows": 100})
     assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(short.collect()) == sorted(plain.collect())
+
+
+def test_rows_are_read_once_to_find_a_page(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(2000).select((1_700_000_000 + F.col("id") * 37).alias("created_at")).mapInArrow(seen, "created_at bigint")
+    low, high, skip = page_range(rows, 1500, 10, rows=1)
+    assert (low, high, skip) == (1_700_000_000 + 490 * 37, 1_700_000_000 + 499 * 37, 0)
+    assert read.value == 2000

@@ -209,13 +209,14 @@ PAGE_ROWS = 100_000
 def page_range(df: DataFrame, offset: int, size: int, rows: int = PAGE_ROWS) -> tuple[int, int, int] | None:
     """(first second, last second, rows to skip in it) of the time that holds some rows, newest first; None if none do.
 
-    Rows are counted by day, and while the days hit hold more than ``rows`` by hour,
-    minute and second within them.
+    Rows are counted by second, in the only pass over them; the counts are added up by day, and while
+    the days hit hold more than ``rows`` by hour, minute and second within them.
     """
     low, high = None, None
+    seconds = staged(df.groupBy("created_at").agg(F.count("*").alias("_n")), "page-seconds")
     for width in (86400, 3600, 60, 1):
-        part = df if low is None else df.filter(F.col("created_at").between(low, high))
-        counts = part.groupBy(F.floor(F.col("created_at") / width).alias("_at")).agg(F.count("*").alias("_n"))
+        part = seconds if low is None else seconds.filter(F.col("created_at").between(low, high))
+        counts = part.groupBy(F.floor(F.col("created_at") / width).alias("_at")).agg(F.sum("_n").alias("_n"))
         newer = Window.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each unit of time
         placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
         hit = placed.filter((F.col("_before") < offset + size) & (F.col("_before") + F.col("_n") > offset))
