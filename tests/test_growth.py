@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tokentide.operators.analytics import page_range
 from tokentide.operators.ordered import running, wide_groups
+from tokentide.operators.transfer import import_usage, read_documents
+from tokentide.schema import TRANSFER_VERSION
 from tokentide.sources.rollouts import rollout_records
 
 #: Bytes of a method beyond which the JVM leaves it to its interpreter.
@@ -53,3 +55,20 @@ def test_rows_are_read_once_to_find_a_page(spark):
     low, high, skip = page_range(rows, 1500, 10, rows=1)
     assert (low, high, skip) == (1_700_000_000 + 490 * 37, 1_700_000_000 + 499 * 37, 0)
     assert read.value == 2000
+
+
+def test_transfer_documents_are_made_once(spark, make_usage):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    record = '{"requestId": "r%d", "providerId": "p", "appType": "claude", "model": "m", "createdAt": 5}'
+    head = f'{{"schemaVersion": {TRANSFER_VERSION}, "sourceDevice": {{"id": "d", "name": "D"}}, "records": '
+    texts = [head + "[" + record % 1 + "," + record % 2 + "]}", head + "[]}", head + "[" + record % 3 + "]}"]
+    documents = spark.createDataFrame([(t,) for t in texts], "value string").mapInArrow(seen, "value string")
+    rows = import_usage(read_documents(documents), make_usage([{"request_id": "r2"}]))
+    assert sorted((r.request_id, r.device_id) for r in rows.collect()) == [("r1", "d"), ("r3", "d")]
+    assert made.value == 3

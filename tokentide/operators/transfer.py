@@ -88,10 +88,21 @@ def read_documents(documents: DataFrame, max_records: int | None = None, max_byt
 
     Documents above ``max_records`` or ``max_bytes`` are refused; there is no limit unless one is given.
     """
+    # making and parsing the documents is the work: done once, checks and rows read the table
     sized = documents.select(F.octet_length("value").alias("_bytes"), F.from_json("value", DOCUMENT_SCHEMA).alias("d"))
-    worst = sized.agg(
-        F.count_if(F.col("d.schemaVersion").isNull() | (F.col("d.schemaVersion") != TRANSFER_VERSION)).alias("version"),
-        F.max(F.size("d.records")).alias("records"),
+    parsed = staged(
+        sized.select(
+            "_bytes",
+            F.col("d.schemaVersion").alias("_version"),
+            F.size("d.records").alias("_records"),
+            F.col("d.sourceDevice").alias("_from"),
+            F.posexplode_outer("d.records").alias("_at", "r"),
+        ),
+        "transfer-records",
+    )
+    worst = parsed.agg(
+        F.count_if(F.col("_version").isNull() | (F.col("_version") != TRANSFER_VERSION)).alias("version"),
+        F.max("_records").alias("records"),
         F.max("_bytes").alias("bytes"),
     ).first()
     if worst["version"]:
@@ -100,7 +111,7 @@ def read_documents(documents: DataFrame, max_records: int | None = None, max_byt
         raise ValueError("transfer document too large")
     if max_records is not None and (worst["records"] or 0) > max_records:
         raise ValueError("too many records in transfer")
-    rows = sized.select(F.col("d.sourceDevice").alias("_from"), F.explode("d.records").alias("r"))
+    rows = parsed.filter("_at is not null")  # of a document without records there is one row, with no place
     usage = from_records(rows.select("_from", "r.*"), "_from")
     return fill_device(usage, F.col("_from.id"), F.col("_from.name")).drop("_from")
 
