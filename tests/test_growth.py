@@ -8,6 +8,7 @@ from tokentide.operators.analytics import page_range
 from tokentide.operators.ordered import running, wide_groups
 from tokentide.operators.transfer import import_usage, read_documents
 from tokentide.schema import TRANSFER_VERSION
+from tokentide.sources.grok import grok_events
 from tokentide.sources.rollouts import rollout_records
 
 #: Bytes of a method beyond which the JVM leaves it to its interpreter.
@@ -72,3 +73,11 @@ def test_transfer_documents_are_made_once(spark, make_usage):
     rows = import_usage(read_documents(documents), make_usage([{"request_id": "r2"}]))
     assert sorted((r.request_id, r.device_id) for r in rows.collect()) == [("r1", "d"), ("r3", "d")]
     assert made.value == 3
+
+
+def test_turns_of_short_logs_are_numbered_without_a_join(make_lines):
+    turn = '{"timestamp": 5, "method": "_x.ai/session/update", "params": {"update": {"sessionUpdate": "turn_completed", "usage": {}}}}'
+    lines = make_lines({"/s/a/updates.jsonl": [turn] * 5})
+    short, long = grok_events(lines), grok_events(lines, chunk_rows=2)
+    assert "Join" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.event_no for r in short.collect()) == sorted(r.event_no for r in long.collect()) == [0, 1, 2, 3, 4]
