@@ -21,7 +21,7 @@ from tokentide.plans.report import usage_report
 from tokentide.schema import CURSOR_SCHEMA
 from tokentide.sources import landed as L
 from tokentide.sources.claude import claude_usage
-from tokentide.sources.lines import list_files, read_lines
+from tokentide.sources.lines import list_files, read_lines, write_logs
 from tokentide.sources.opencode import opencode_usage
 from tokentide.sources.rollouts import classify_threads, rollout_records
 from tokentide.streaming import pipelines as S
@@ -308,3 +308,45 @@ def test_late_lines_are_kept_apart(spark, tmp_path):
     assert sorted(r.input_tokens for r in out.read().collect()) == [2, 10]
 
 
+
+
+def test_each_rollout_log_is_read_once(spark, tmp_path):
+    folder = tmp_path / "sessions"
+    folder.mkdir()
+    for n, lines in {1: [meta(1)], 2: [meta(2, forked_from_id=uid(1))], 3: [meta(3)]}.items():
+        (folder / path(n).rsplit("/", 1)[1]).write_text("\n".join(lines) + "\n")
+    files = list_files(spark, str(folder))
+    seen = files.filter(~F.col("file_path").contains(uid(2))).select("file_path", F.col("file_modified_ns").alias("last_modified"), F.lit(1).cast("bigint").alias("last_line_offset"), F.lit(1).cast("bigint").alias("last_synced_at"))
+    opened = []
+
+    def read(spark, paths):
+        opened.extend(p[-9:-6] for p in paths)
+        return read_lines(spark, paths)
+
+    rows, changes, pending = Y.sync_rollout_files(spark, files, seen, spark.createDataFrame([], Y.PENDING), read, NOW)
+    assert opened == [uid(2)[-3:], uid(1)[-3:]]
+    assert [r.file_path[-9:-6] for r in changes.collect()] == [uid(2)[-3:]]
+
+
+def test_lines_of_listed_logs_come_from_staged_text(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text(f"{name}1\n{name}2\n")
+    lines = read_lines(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")])
+    assert "FileScan text" not in plan(lines)
+    assert sorted((r.file_name, r.line_no, r.value) for r in lines.collect()) == [(f"{n}.jsonl", i, f"{n}{i}") for n in "ab" for i in (1, 2)]
+
+
+def test_logs_are_written_one_file_each(spark, tmp_path):
+    lines = spark.range(60_000).selectExpr("id % 3 AS user", "60000 - id AS line_no", "concat('é ', id, '  ') AS value")
+    folder = str(tmp_path / "logs")
+    write_logs(lines, "user", "line_no", folder)
+    write_logs(lines.filter("user = 1"), "user", "line_no", folder)
+    names = sorted(str(p.parent.name) for p in (tmp_path / "logs").rglob("*") if p.is_file())
+    assert names == ["user=0", "user=1", "user=1", "user=2"]  # no checksum files either
+    want = [f"é {i}  " for i in range(59_999, -1, -1) if i % 3 == 2]
+    (only,) = (tmp_path / "logs" / "user=2").iterdir()
+    assert only.read_text().split("\n") == [*want, ""]
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(conf)
+    files = list_files(spark, folder, glob="*.txt")
+    assert files.count() == 4 and spark.conf.get(conf) == before

@@ -55,11 +55,11 @@ def sync_files(
     None when nothing changed. Rollout logs need the parents of changed logs too, and
     so take ``rollout_paths`` instead.
     """
-    paths = changed_paths(files, cursors)
+    changed = staged(C.changed_files(files, cursors).select("file_path"), "changed-files")
+    paths = [r.file_path for r in changed.collect()]
     if not paths:
         return None
-    read_now = spark.createDataFrame([(p,) for p in paths], "file_path string")
-    known = staged(cursors.join(read_now, "file_path", "left_semi"), "known-cursors")
+    known = staged(cursors.join(changed, "file_path", "left_semi"), "known-cursors")
     return sync(read(spark, paths), known, now)
 
 
@@ -76,17 +76,25 @@ def rollout_paths(
     are found from the first lines of the changed logs; archived logs take over the
     cursor of the place they came from.
     """
+    paths, _, parents = _due_rollouts(spark, files, cursors, pending, read)
+    return sorted({*paths, *parents})
+
+
+def _due_rollouts(spark, files, cursors, pending, read) -> tuple[list[str], DataFrame | None, list[str]]:
+    """(logs to open, their lines, the parents among the other logs): see ``rollout_paths``."""
     known = upsert(cursors, C.inherit_archived(files, cursors), ["file_path"])
     index = files.select(thread_id(F.col("file_name")).alias("thread_id"), "file_path").filter("thread_id is not null")
     due = C.retry_files(files, pending, index.select("thread_id").distinct())
     again = due.join(pending.select("file_path"), "file_path", "left_semi")
     paths = changed_paths(due, known) + [r.file_path for r in again.select("file_path").collect()]
     if not paths:
-        return []
-    heads = read(spark, sorted(set(paths))).filter(F.col("value").contains('"session_meta"'))
+        return [], None, []
+    paths = sorted(set(paths))
+    lines = read(spark, paths)
+    heads = lines.filter(F.col("value").contains('"session_meta"'))
     parents = classify_threads(rollout_records(heads)).select(F.col("parent_id").alias("thread_id"))
     found = index.join(parents, "thread_id", "left_semi").select("file_path").collect()
-    return sorted({*paths, *(r.file_path for r in found)})
+    return paths, lines, sorted({r.file_path for r in found} - {*paths})
 
 
 def sync_claude(lines: DataFrame, cursors: DataFrame, now: int) -> Pass:
@@ -162,11 +170,14 @@ def sync_rollout_files(
 
     ``pending`` (columns as in ``PENDING``) is what the pass before has left: a log
     that it deferred is opened again when it has changed or its parent has turned up.
+    Each log is read once: the lines in which parents are looked for are those of the pass.
     """
-    paths = rollout_paths(spark, files, cursors, pending, read)
+    paths, lines, parents = _due_rollouts(spark, files, cursors, pending, read)
     if not paths:
         return None
-    rows, changes, threads = sync_rollouts(read(spark, paths), cursors, now)
+    if parents:
+        lines = lines.unionByName(read(spark, parents))
+    rows, changes, threads = sync_rollouts(lines, cursors, now)
     tried = staged(threads, "rollout-threads")
     held = C.pending_rows(tried, files)
     left = pending.join(tried.select("file_path"), "file_path", "left_anti")

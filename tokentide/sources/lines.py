@@ -11,20 +11,41 @@ Which files have to be read is decided from the list of files, which holds no co
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..session import staged
+from ..session import hadoop_path, staged
 
 #: Splits up to which their table is broadcast (about a hundred bytes each).
 BROADCAST_SPLITS = 100_000
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Lists many paths in a few tasks for each core; Spark's own default is a task a path, up to 10,000."""
+    conf = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def list_files(spark: SparkSession, paths: str | list[str], *, glob: str | None = None) -> DataFrame:
     """(file_path, file_name, file_size, file_modified_ns) of the files below the paths; no content is read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(paths).select(
+    with _listing(spark):
+        files = reader.load(paths)
+    return files.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -33,13 +54,19 @@ def list_files(spark: SparkSession, paths: str | list[str], *, glob: str | None
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None = None, line_sep: str | None = None) -> DataFrame:
-    """(file_path, file_name, file_size, file_modified_ns, line_no from 1, value)."""
+    """(file_path, file_name, file_size, file_modified_ns, line_no from 1, value).
+
+    A list of paths is a list of logs, mostly small ones whose opening is what costs: each is opened once and
+    its text staged, for counting and for whatever reads the lines. A path is opened by every reader instead.
+    """
     reader = spark.read.option("recursiveFileLookup", "true")
     if line_sep:
         reader = reader.option("lineSep", line_sep)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(paths).select(
+    with _listing(spark):
+        text = reader.text(paths)
+    raw = text.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -48,6 +75,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None
         F.monotonically_increasing_id().alias("_at"),
         "value",
     )
+    if not isinstance(paths, str):
+        raw = staged(raw, "raw-lines")
     splits = raw.groupBy("file_path", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = staged(splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "splits")
@@ -63,6 +92,45 @@ def read_lines(spark: SparkSession, paths: str | list[str], *, glob: str | None
     )
 
 
+def write_logs(lines: DataFrame, log: str, order: str, folder: str) -> None:
+    """One more text file of ``value`` for each ``log``, its lines by ``order``, in the layout of ``partitionBy``.
+
+    Spark creates a file on a local file system by way of two other processes (its rights, those of its checksum), unless
+    Hadoop's native library is there; with a file a log that is all the time. There the tasks write the files
+    themselves, each put in place whole, so that a repeated task replaces its own.
+    """
+    spark = lines.sparkSession
+    dealt = lines.select(F.col(log).cast("string").alias(log), order, "value").repartition(log)
+    dealt = dealt.sortWithinPartitions(log, order).select(log, "value")
+    files, place = hadoop_path(spark, folder)
+    if files.getUri().getScheme() != "file":
+        dealt.write.mode("append").partitionBy(log).text(folder)
+        return
+    files.mkdirs(place)
+    root, name = files.makeQualified(place).toUri().getPath(), f"part-{uuid.uuid4().hex}.txt"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, out, part, now = f".{name}-{uuid.uuid4().hex}", 0, None, "", None
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{part}/{own}", f"{part}/{name}")
+
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if out is None or key != now:
+                    close()
+                    now, part, n = key, f"{root}/{log}={quote(key, safe='')}", n + 1
+                    os.makedirs(part, exist_ok=True)
+                    out = open(f"{part}/{own}", "w", encoding="utf-8", newline="\n")
+                out.write(f"{value}\n")
+        close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    dealt.mapInArrow(write, "files long").agg(F.sum("files")).first()
+
+
 def read_documents(spark: SparkSession, paths: str | list[str], *, glob: str | None = None) -> DataFrame:
     """Whole-document sources, one row per file: (file_path, file_name, file_modified_ns, value).
 
