@@ -27,6 +27,8 @@ from tokentide.sources.rollouts import classify_threads, rollout_records
 from tokentide.streaming import pipelines as S
 from tokentide.streaming.tables import BatchLog, VersionedTable
 
+from workload.views import spread
+
 from .test_replay import meta, path, uid
 from .test_sources import turn
 
@@ -350,3 +352,21 @@ def test_logs_are_written_one_file_each(spark, tmp_path):
     before = spark.conf.get(conf)
     files = list_files(spark, folder, glob="*.txt")
     assert files.count() == 4 and spark.conf.get(conf) == before
+
+
+def test_a_table_in_one_file_is_spread(spark, tmp_path):
+    spark.range(300_000).selectExpr("id AS event_id", "uuid() AS props").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    folder = spread(spark, str(tmp_path), "events", "event_id")
+    rows = spark.read.parquet(f"{folder}/events.parquet")
+    assert len(rows.inputFiles()) > 1
+    assert rows.exceptAll(spark.read.parquet(str(tmp_path / "events.parquet"))).isEmpty() and rows.count() == 300_000
+
+
+def test_a_large_batch_is_not_made_to_find_its_buckets(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "ids"), spark.range(0).selectExpr("id AS request_id").schema).keyed(["request_id"], buckets=4)
+    table.change(0, spark.range(100).selectExpr("id AS request_id"))
+    late = "if(id < 50000, id, cast(raise_error('made whole') as bigint))"
+    batch = spark.range(0, 100_000, 1, 4).selectExpr(f"{late} AS request_id")
+    assert table.latest(only=batch).count() == 100
+    few = spark.range(1).selectExpr("id AS request_id")
+    assert 0 < table.latest(only=few).count() < 100 and table.latest(only=few.limit(0)).count() == 0

@@ -16,6 +16,8 @@ BETWEEN = 1_000_000
 #: Folders that the rows of a keyed table are dealt over by a hash, unless its first writer says
 #: otherwise. A large table wants one for every few hundred megabytes.
 BUCKETS = 32
+#: Rows of a batch that are looked at before it is asked as a whole which buckets it falls in.
+LOOKED_AT = 1000
 #: Commits that are listed; what is older is known to be committed.
 KEPT_COMMITS = 100
 
@@ -215,8 +217,11 @@ class VersionedTable(_Stored):
             return self.spark.read.schema(self.schema).parquet(f"{self.path}/{runs[0].name}")
         parts = [self.spark.read.schema(full).parquet(f"{self.path}/{r.name}") for r in runs]
         if only is not None:
-            some = [r[0] for r in only.select(self._bucket().alias("b")).distinct().collect()]  # at most as many as there are buckets
-            parts = [p.filter(F.col("_bucket").isin(some)) for p in parts]
+            buckets = only.select(self._bucket().alias("b"))
+            some = {r[0] for r in buckets.limit(LOOKED_AT).collect()}
+            if len(some) < self.facts()["buckets"]:  # else the first rows fall in all buckets already, and the rest is not made for this
+                some = {r[0] for r in buckets.distinct().collect()}
+            parts = [p.filter(F.col("_bucket").isin(*some)) for p in parts]
         if len(parts) == 1:
             return parts[0].filter(~F.coalesce("_gone", F.lit(False)))
         rows = None

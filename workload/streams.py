@@ -13,7 +13,7 @@ from tokentide.streaming import pipelines as S
 from tokentide.streaming.tables import BatchLog, VersionedTable
 
 from .logs import _OPENCODE, NOW, opencode_tables
-from .views import T0, WITH_EFFECTIVE, WITH_USAGE, big, events, money, usage
+from .views import T0, WITH_EFFECTIVE, WITH_USAGE, big, events, money, spread, usage
 
 DAY = 86400
 AS_OF = T0 + 29 * DAY
@@ -51,7 +51,7 @@ def as_is(stream):
 
 def stream_dedup(spark, sf):
     """Early records are delivered again in a last increment; one of each is stored."""
-    rows = usage(spark, sf)
+    rows = usage(spark, spread(spark, sf, "events", "event_id"))
     again = rows.filter(F.col("created_at") < CUT)
     log = S.usage_log(spark, new_path(spark, "fact"))
     feed([*increments(rows, "created_at", [CUT]), again], as_is, S.ingest_batch(log))
@@ -62,7 +62,7 @@ def stream_dedup(spark, sf):
 
 def stream_suppression(spark, sf):
     """Session and proxy records arrive in any order; reading hides the duplicates."""
-    rows = usage(spark, sf)
+    rows = usage(spark, spread(spark, sf, "events", "event_id"))
     log = S.usage_log(spark, new_path(spark, "fact"))
     feed(increments(rows, "created_at", [CUT]), as_is, S.ingest_batch(log))
     return effective_usage(log.read()).groupBy("data_source").agg(F.count("*").alias("records"))
@@ -92,7 +92,7 @@ def stream_settled(spark, sf):
 
 def stream_source(spark, sf):
     """A tool's message table as a stream: its adapter runs in each micro-batch."""
-    messages = opencode_tables(spark, sf)[1]
+    messages = opencode_tables(spark, spread(spark, sf, "events", "event_id"))[1]
     log = S.usage_log(spark, new_path(spark, "fact"))
     prices = seed_prices(spark)
     each = S.ingest_batch(log, lambda batch: price_usage(opencode_usage(batch, NOW), prices))
