@@ -370,3 +370,11 @@ def test_a_large_batch_is_not_made_to_find_its_buckets(spark, tmp_path):
     assert table.latest(only=batch).count() == 100
     few = spark.range(1).selectExpr("id AS request_id")
     assert 0 < table.latest(only=few).count() < 100 and table.latest(only=few.limit(0)).count() == 0
+
+
+def test_price_changes_are_matched_before_the_upsert(spark, make_usage):
+    entry = {"id": "lab/new-model", "name": "New", "pricing": {"prompt": "0.000001", "completion": "0.000002"}}
+    cat = L.price_catalog(spark.createDataFrame([(json.dumps({"data": [entry]}),)], "value string"))
+    out = P.refreshed_prices(make_usage([dict(model="NEW-MODEL")]), P.seed_prices(spark).limit(1), cat, 5)
+    assert "Generate explode" not in plan(out)
+    assert [r.model_id for r in out.filter("price_fetched_at = 5").collect()] == ["NEW-MODEL"]
