@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.names import provider_name
 from ..functions.tokens import clamp, is_success, real_total, saturating_minus
 from ..operators.dedup import bucket_of, drop_known
-from ..operators.merge import first_per_key
+from ..operators.merge import first_new, first_per_key
 from ..operators.ordered import running
 from ..schema import DEDUP_WINDOW_SECONDS, OPEN_CACHE_SOURCES, SETTLE_WINDOW_SECONDS, USAGE_SCHEMA, conform
-from ..session import staged
+from ..session import staged, staging
 from .tables import BETWEEN, BUCKETS, BatchLog, Commits, VersionedTable
 
 def watch(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None):
@@ -41,14 +41,21 @@ def ingest_batch(log: BatchLog, normalise: Callable[[DataFrame], DataFrame] | No
 
     Late records are never dropped: they are compared with the stored ids, of which
     only the hash buckets are read that the batch's own ids fall in, and land in
-    their own day. ``buckets`` holds for a new log.
+    their own day. ``buckets`` holds for a new log. A batch that ``normalise`` makes is made once; of
+    one that comes as it is the ids are compared first, see ``first_new``.
     """
     ids = id_index(log, buckets)
+    order = F.col("created_at"), F.col("provider_id")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = conform(normalise(batch) if normalise else batch)
-        fresh = drop_known(rows, ids.before(batch_id, only=rows))
-        log.write(batch_id, first_per_key(fresh, ["request_id"], F.col("created_at"), F.col("provider_id")))
+        known = ids.before(batch_id, only=rows)
+        with staging(log.spark):
+            if normalise:
+                fresh = first_per_key(drop_known(rows, known), ["request_id"], *order)
+            else:
+                fresh = first_new(rows, known, "request_id", *order)
+            log.write(batch_id, fresh)
         ids.change(batch_id, log.at(batch_id).select("request_id"))
 
     return each

@@ -229,7 +229,8 @@ class VersionedTable(_Stored):
             aged = part.withColumn("_age", F.lit(i))
             rows = aged if rows is None else rows.unionByName(aged)
         rest = [c for c in (*self.schema.names, "_gone") if c not in keys]
-        newest = rows.groupBy(*keys, "_bucket").agg(F.min_by(F.struct(*rest), "_age").alias("_row")).select(*keys, "_row.*", "_bucket")
+        # each column for itself: a hash aggregate holds numbers and flags, for a struct all rows would be sorted
+        newest = rows.groupBy(*keys, "_bucket").agg(*[F.min_by(c, "_age").alias(c) for c in rest]).select(*keys, *rest, "_bucket")
         return newest if runs[-1].low else newest.filter(~F.coalesce("_gone", F.lit(False)))
 
     def write(self, batch: int, df: DataFrame) -> None:
@@ -306,7 +307,7 @@ class BatchLog(_Stored):
             rows.write.mode("overwrite").parquet(f"{self.path}/batch={version}")
             return
         days = rows.withColumn("event_date", event_date(F.col("created_at")))
-        days.write.mode("overwrite").partitionBy("event_date").parquet(f"{self.path}/batch={version}")
+        days.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(f"{self.path}/batch={version}")
 
     def at(self, batch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch * BETWEEN}")
