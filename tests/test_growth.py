@@ -131,3 +131,20 @@ def test_changes_of_fixed_width_are_merged_by_hash(spark, tmp_path):
     assert "SortAggregate" not in plan(now) and "HashAggregate" in plan(now)
     got = {r.k: r.v for r in now.collect()}
     assert len(got) == 99 and "7" not in got and got["3"] is None and got["8"] == -8 and got["50"] == 50
+
+
+def test_columns_are_completed_for_kept_rows_alone(spark, make_usage, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    price = lambda rows: rows.mapInArrow(seen, rows.schema).withColumn("total_cost_usd", F.col("output_tokens") * 2)
+    log = S.usage_log(spark, str(tmp_path / "fact"))
+    each = S.ingest_batch(log, lambda batch: batch.drop("total_cost_usd"), complete=price)
+    each(make_usage([{"request_id": f"r{i}", "output_tokens": i} for i in (1, 2, 2, 3)]), 0)
+    each(make_usage([{"request_id": f"r{i}", "output_tokens": i} for i in (1, 2, 3, 4)]), 1)
+    assert {r.request_id: int(r.total_cost_usd) for r in log.read().collect()} == {"r1": 2, "r2": 4, "r3": 6, "r4": 8}
+    assert made.value == 4

@@ -36,26 +36,33 @@ def id_index(log: BatchLog, buckets: int = BUCKETS) -> VersionedTable:
     return VersionedTable(log.spark, f"{log.path}-ids", ids).keyed(["request_id"], buckets=buckets)
 
 
-def ingest_batch(log: BatchLog, normalise: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS):
+def ingest_batch(
+    log: BatchLog,
+    normalise: Callable[[DataFrame], DataFrame] | None = None,
+    buckets: int = BUCKETS,
+    complete: Callable[[DataFrame], DataFrame] | None = None,
+):
     """Append each request once, whatever is read again; the first writer stays.
 
     Late records are never dropped: they are compared with the stored ids, of which
     only the hash buckets are read that the batch's own ids fall in, and land in
     their own day. ``buckets`` holds for a new log. A batch that ``normalise`` makes is made once; of
-    one that comes as it is the ids are compared first, see ``first_new``.
+    one that comes as it is the ids are compared first, see ``first_new``. ``complete`` adds columns to
+    the rows that are kept (prices), so that they are not made, moved and sorted for repeats.
     """
     ids = id_index(log, buckets)
     order = F.col("created_at"), F.col("provider_id")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = conform(normalise(batch) if normalise else batch)
+        rows = normalise(batch) if normalise else batch
+        rows = rows if complete else conform(rows)
         known = ids.before(batch_id, only=rows)
         with staging(log.spark):
             if normalise:
                 fresh = first_per_key(drop_known(rows, known), ["request_id"], *order)
             else:
                 fresh = first_new(rows, known, "request_id", *order)
-            log.write(batch_id, fresh)
+            log.write(batch_id, conform(complete(fresh)) if complete else fresh)
         ids.change(batch_id, log.at(batch_id).select("request_id"))
 
     return each

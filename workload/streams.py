@@ -95,7 +95,7 @@ def stream_source(spark, sf):
     messages = opencode_tables(spark, spread(spark, sf, "events", "event_id"))[1]
     log = S.usage_log(spark, new_path(spark, "fact"))
     prices = seed_prices(spark)
-    each = S.ingest_batch(log, lambda batch: price_usage(opencode_usage(batch, NOW), prices))
+    each = S.ingest_batch(log, lambda batch: opencode_usage(batch, NOW), complete=lambda rows: price_usage(rows, prices))
     feed([*increments(messages, "time_created", [CUT * 1000]), messages], as_is, each)
     return log.read().select("request_id", "model", "input_tokens", "output_tokens", "created_at")
 
