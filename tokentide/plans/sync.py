@@ -32,35 +32,34 @@ def _cursor_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType) for f in CURSOR_SCHEMA])
 
 
-def changed_paths(files: DataFrame, cursors: DataFrame) -> list[str]:
-    """Paths of the files modified since their cursor.
-
-    A list of paths is what a reader takes; it is as long as the list of new files.
-    """
-    return [r.file_path for r in C.changed_files(files, cursors).select("file_path").collect()]
-
-
 def sync_files(
     spark: SparkSession,
     files: DataFrame,
     cursors: DataFrame,
-    read: Callable[[SparkSession, list[str]], DataFrame],
+    read: Callable[[SparkSession, list[str]], DataFrame] | Callable[[SparkSession, DataFrame], DataFrame],
     sync: Callable[[DataFrame, DataFrame, int], tuple],
     now: int,
+    *,
+    by_table: bool = False,
 ) -> tuple | None:
     """A pass over the files that changed since their cursor: no other file is opened.
 
-    ``files`` is the list of files (sources.lines.list_files), ``read`` reads paths and
+    ``files`` is the list of files (sources.lines.list_files), ``read`` reads paths, or with
+    ``by_table`` a table of the changed files (sources.lines.read_files), and
     ``sync`` is one of the passes below, which gets the cursors of those files only.
     None when nothing changed. Rollout logs need the parents of changed logs too, and
-    so take ``rollout_paths`` instead.
+    so take ``sync_rollout_files`` instead.
     """
-    changed = staged(C.changed_files(files, cursors).select("file_path"), "changed-files")
-    paths = [r.file_path for r in changed.collect()]
-    if not paths:
+    changed = staged(C.changed_files(files, cursors).select(*files.columns), "changed-files")
+    if changed.isEmpty():
         return None
-    known = staged(cursors.join(changed, "file_path", "left_semi"), "known-cursors")
-    return sync(read(spark, paths), known, now)
+    known = staged(cursors.join(changed.select("file_path"), "file_path", "left_semi"), "known-cursors")
+    return sync(_opened(spark, changed, read, by_table), known, now)
+
+
+def _opened(spark, files: DataFrame, read, by_table: bool) -> DataFrame:
+    """The lines of a table of files, by a reader of such tables or one of paths."""
+    return read(spark, files if by_table else sorted(r.file_path for r in files.select("file_path").collect()))
 
 
 def rollout_paths(
@@ -76,25 +75,25 @@ def rollout_paths(
     are found from the first lines of the changed logs; archived logs take over the
     cursor of the place they came from.
     """
-    paths, _, parents = _due_rollouts(spark, files, cursors, pending, read)
-    return sorted({*paths, *parents})
+    due, _, parents = _due_rollouts(spark, files, cursors, pending, read)
+    return sorted(r.file_path for t in (due, parents) if t is not None for r in t.select("file_path").collect())
 
 
-def _due_rollouts(spark, files, cursors, pending, read) -> tuple[list[str], DataFrame | None, list[str]]:
+def _due_rollouts(spark, files, cursors, pending, read, by_table=False) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """(logs to open, their lines, the parents among the other logs): see ``rollout_paths``."""
     known = upsert(cursors, C.inherit_archived(files, cursors), ["file_path"])
     index = files.select(thread_id(F.col("file_name")).alias("thread_id"), "file_path").filter("thread_id is not null")
-    due = C.retry_files(files, pending, index.select("thread_id").distinct())
-    again = due.join(pending.select("file_path"), "file_path", "left_semi")
-    paths = changed_paths(due, known) + [r.file_path for r in again.select("file_path").collect()]
-    if not paths:
-        return [], None, []
-    paths = sorted(set(paths))
-    lines = read(spark, paths)
+    worth = staged(C.retry_files(files, pending, index.select("thread_id").distinct()), "worth-files")
+    again = worth.join(pending.select("file_path"), "file_path", "left_semi").select("file_path")
+    due = C.changed_files(worth, known).select("file_path").union(again).distinct()
+    due = staged(worth.join(due, "file_path", "left_semi"), "due-files")
+    if due.isEmpty():
+        return None, None, None
+    lines = _opened(spark, due, read, by_table)
     heads = lines.filter(F.col("value").contains('"session_meta"'))
     parents = classify_threads(rollout_records(heads)).select(F.col("parent_id").alias("thread_id"))
-    found = index.join(parents, "thread_id", "left_semi").select("file_path").collect()
-    return paths, lines, sorted({r.file_path for r in found} - {*paths})
+    found = index.join(parents, "thread_id", "left_semi").select("file_path").join(due.select("file_path"), "file_path", "left_anti")
+    return due, lines, staged(files.join(found, "file_path", "left_semi"), "parent-files")
 
 
 def sync_claude(lines: DataFrame, cursors: DataFrame, now: int) -> Pass:
@@ -163,20 +162,23 @@ def sync_rollout_files(
     files: DataFrame,
     cursors: DataFrame,
     pending: DataFrame,
-    read: Callable[[SparkSession, list[str]], DataFrame],
+    read: Callable[[SparkSession, list[str]], DataFrame] | Callable[[SparkSession, DataFrame], DataFrame],
     now: int,
+    *,
+    by_table: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(rows, cursor changes, the pending table after the pass) of rollout logs that are due; None if none are.
 
     ``pending`` (columns as in ``PENDING``) is what the pass before has left: a log
     that it deferred is opened again when it has changed or its parent has turned up.
     Each log is read once: the lines in which parents are looked for are those of the pass.
+    ``read`` and ``by_table`` are as in ``sync_files``.
     """
-    paths, lines, parents = _due_rollouts(spark, files, cursors, pending, read)
-    if not paths:
+    due, lines, parents = _due_rollouts(spark, files, cursors, pending, read, by_table)
+    if due is None:
         return None
-    if parents:
-        lines = lines.unionByName(read(spark, parents))
+    if not parents.isEmpty():
+        lines = lines.unionByName(_opened(spark, parents, read, by_table))
     rows, changes, threads = sync_rollouts(lines, cursors, now)
     tried = staged(threads, "rollout-threads")
     held = C.pending_rows(tried, files)
