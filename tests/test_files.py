@@ -12,6 +12,7 @@ from tokentide.session import staged
 from tokentide.operators.merge import upsert
 from tokentide.sources import lines as L
 
+from .test_replay import meta, path, token, uid
 from .test_sources import turn
 
 NOW = 1_800_000_000
@@ -107,3 +108,56 @@ def test_written_logs_hold_their_lines(spark, tmp_path):
         "user=c": "".join(f"c é {n}\n" for n in range(30)) + "\n",
         "user=__HIVE_DEFAULT_PARTITION__": "x\n",
     }
+
+
+def test_rollout_pass_joins_lines_with_left_out_logs_only(spark, make_lines, monkeypatch):
+    """Lines are told apart by file: with every log wanted their text goes into no join."""
+    tables, plans = Y.rollout_tables, []
+
+    def noted(lines, *args):
+        plans.append(lines._jdf.queryExecution().optimizedPlan().toString())
+        return tables(lines, *args)
+
+    monkeypatch.setattr(Y, "rollout_tables", noted)
+    logs = {path(1): [meta(1), token((5, 0, 0), second=1)], path(2): [meta(2), token((7, 0, 0), second=1)]}
+    lines = staged(make_lines(logs).withColumn("file_modified_ns", F.lit(5).cast("bigint")), "lines")
+    none = spark.createDataFrame([], CURSOR_SCHEMA)
+    got, changes, _ = Y.sync_rollouts(lines, none, NOW)
+    assert "Join" not in plans[0] and got.count() == 2
+    seen = staged(changes.filter(F.col("file_path") == path(1)), "cursors")
+    got, changes, threads = Y.sync_rollouts(lines, seen, NOW)
+    assert "Join" in plans[1]
+    assert [r.file_path for r in got.collect()] == [r.file_path for r in changes.collect()] == [r.file_path for r in threads.collect()] == [path(2)]
+
+
+def test_rollout_files_are_taken_as_a_table(spark, tmp_path):
+    """A deferred log is opened again with its parent, once that turns up; a parent that is known is opened, not emitted."""
+    folder = tmp_path / "sessions"
+    folder.mkdir()
+    opened = []
+
+    def put(n, lines):
+        (folder / path(n).rsplit("/", 1)[1]).write_text("\n".join(lines) + "\n")
+
+    def read(session, files):
+        opened.append(sorted(r.file_name[-42:-6].lower() for r in files.collect()))
+        return L.read_files(session, files)
+
+    def run(cursors, pending):
+        files = L.list_files(spark, str(folder))
+        rows_, changes, left = (staged(t, "pass") for t in Y.sync_rollout_files(spark, files, cursors, pending, read, NOW, by_table=True))
+        return sorted(r.request_id.rsplit("v1:", 1)[1] for r in rows_.collect()), staged(upsert(cursors, changes, ["file_path"]), "cursors"), left
+
+    cursors, pending = spark.createDataFrame([], CURSOR_SCHEMA), spark.createDataFrame([], Y.PENDING)
+    put(2, [meta(2, 30, forked_from_id=uid(1)), token((10, 0, 0), second=31), token((50, 0, 0), second=40)])
+    put(3, [meta(3), token((1, 0, 0), second=1)])
+    ids, cursors, pending = run(cursors, pending)
+    assert ids == [f"{uid(3)}:1"] and [r.pending for r in pending.collect()] == ["missing_parent"]
+    put(1, [meta(1), token((10, 0, 0), second=1), token((20, 0, 0), second=90)])
+    ids, cursors, pending = run(cursors, pending)
+    assert ids == sorted([f"{uid(1)}:1", f"{uid(1)}:2", f"{uid(2)}:2"]) and pending.isEmpty()
+    put(4, [meta(4, 80, forked_from_id=uid(1)), token((10, 0, 0), second=81), token((70, 0, 0), second=85)])
+    ids, cursors, pending = run(cursors, pending)
+    assert ids == [f"{uid(4)}:2"] and pending.isEmpty()
+    assert [len(files) for files in opened] == [2, 2, 1, 1]
+    assert Y.sync_rollout_files(spark, L.list_files(spark, str(folder)), cursors, pending, read, NOW, by_table=True) is None

@@ -75,12 +75,18 @@ def rollout_paths(
     are found from the first lines of the changed logs; archived logs take over the
     cursor of the place they came from.
     """
-    due, _, parents = _due_rollouts(spark, files, cursors, pending, read)
+    due, _, parents, _ = _due_rollouts(spark, files, cursors, pending, read)
     return sorted(r.file_path for t in (due, parents) if t is not None for r in t.select("file_path").collect())
 
 
-def _due_rollouts(spark, files, cursors, pending, read, by_table=False) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """(logs to open, their lines, the parents among the other logs): see ``rollout_paths``."""
+def _forks(lines: DataFrame) -> DataFrame:
+    """(file_path, parent_id) of logs by their first meta line; the other lines are not parsed."""
+    heads = lines.filter(F.col("value").contains('"session_meta"'))
+    return classify_threads(rollout_records(heads)).select("file_path", "parent_id").filter("parent_id is not null")
+
+
+def _due_rollouts(spark, files, cursors, pending, read, by_table=False) -> tuple[DataFrame | None, ...]:
+    """(logs to open, their lines, the parents among the other logs, forks): see ``rollout_paths``."""
     known = upsert(cursors, C.inherit_archived(files, cursors), ["file_path"])
     index = files.select(thread_id(F.col("file_name")).alias("thread_id"), "file_path").filter("thread_id is not null")
     worth = staged(C.retry_files(files, pending, index.select("thread_id").distinct()), "worth-files")
@@ -88,12 +94,12 @@ def _due_rollouts(spark, files, cursors, pending, read, by_table=False) -> tuple
     due = C.changed_files(worth, known).select("file_path").union(again).distinct()
     due = staged(worth.join(due, "file_path", "left_semi"), "due-files")
     if due.isEmpty():
-        return None, None, None
+        return None, None, None, None
     lines = _opened(spark, due, read, by_table)
-    heads = lines.filter(F.col("value").contains('"session_meta"'))
-    parents = classify_threads(rollout_records(heads)).select(F.col("parent_id").alias("thread_id"))
-    found = index.join(parents, "thread_id", "left_semi").select("file_path").join(due.select("file_path"), "file_path", "left_anti")
-    return due, lines, staged(files.join(found, "file_path", "left_semi"), "parent-files")
+    forks = staged(_forks(lines), "forks")
+    found = index.join(forks.select(F.col("parent_id").alias("thread_id")), "thread_id", "left_semi").select("file_path")
+    others = found.join(due.select("file_path"), "file_path", "left_anti")
+    return due, lines, staged(files.join(others, "file_path", "left_semi"), "parent-files"), forks
 
 
 def sync_claude(lines: DataFrame, cursors: DataFrame, now: int) -> Pass:
@@ -123,27 +129,34 @@ def sync_grok(lines: DataFrame, cursors: DataFrame, now: int, chunk_rows: int =
 
 
 def sync_rollouts(
-    lines: DataFrame, cursors: DataFrame, now: int, chunk_rows: int = CHUNK_ROWS
+    lines: DataFrame, cursors: DataFrame, now: int, chunk_rows: int = CHUNK_ROWS, forks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, cursor changes, threads): changed logs, plus the parents they were forked from.
 
     Archived files take over the cursor of the place they came from. A deferred
-    log with billable events keeps its cursor and is tried again.
+    log with billable events keeps its cursor and is tried again. What is read is decided by
+    file: lines are joined with nothing but the files that are left out, if there are any.
+    ``forks``, (file_path, parent_id) of all logs, saves looking for them in the lines.
     """
-    files = lines.groupBy("file_path", "file_name").agg(F.max("file_modified_ns").alias("file_modified_ns"))
+    files = staged(
+        lines.groupBy("file_path", "file_name").agg(F.max("file_modified_ns").alias("file_modified_ns"), F.max("line_no").alias("line_no")),
+        "rollout-files",
+    )
     moved = staged(C.inherit_archived(files, cursors), "moved")
     known = staged(upsert(cursors, moved, ["file_path"]), "cursors")
-    changed = C.changed_lines(lines, known)
+    changed = staged(C.changed_lines(files, known), "changed-files")
 
-    heads = changed.filter(F.col("value").contains('"session_meta"'))
-    forked = classify_threads(rollout_records(heads)).select(F.col("parent_id").alias("thread_id"))
+    forks = _forks(lines) if forks is None else forks
+    forked = forks.join(changed.select("file_path"), "file_path", "left_semi").select(F.col("parent_id").alias("thread_id"))
     tagged = files.withColumn("thread_id", F.lower(F.regexp_extract("file_name", r"([0-9a-fA-F-]{36})\.jsonl$", 1)))
     parents = tagged.join(forked, "thread_id", "left_semi").select("file_path")
-    wanted = staged(changed.select("file_path").unionByName(parents).distinct(), "wanted")
-    records, threads, events = rollout_tables(lines.join(wanted, "file_path", "left_semi"), chunk_rows)
+    wanted = changed.select("file_path").unionByName(parents)
+    unwanted = staged(files.join(wanted, "file_path", "left_anti").select("file_path"), "unwanted")
+    own = lines if unwanted.isEmpty() else lines.filter("file_path is not null").join(unwanted, "file_path", "left_anti")
+    records, threads, events = rollout_tables(own, chunk_rows)
 
     prefixes = replay_prefix(threads, events, parent_timeline(records), chunk_rows)
-    fresh = C.changed_files(files, known).select("file_path")
+    fresh = changed.select("file_path")
     rows = rollout_usage(drop_replayed(events, threads, prefixes), now).join(fresh, "file_path", "left_semi")
 
     billable = events.filter("event_index is not null").select("file_path").distinct()
@@ -174,12 +187,13 @@ def sync_rollout_files(
     Each log is read once: the lines in which parents are looked for are those of the pass.
     ``read`` and ``by_table`` are as in ``sync_files``.
     """
-    due, lines, parents = _due_rollouts(spark, files, cursors, pending, read, by_table)
+    due, lines, parents, forks = _due_rollouts(spark, files, cursors, pending, read, by_table)
     if due is None:
         return None
     if not parents.isEmpty():
-        lines = lines.unionByName(_opened(spark, parents, read, by_table))
-    rows, changes, threads = sync_rollouts(lines, cursors, now)
+        more = _opened(spark, parents, read, by_table)
+        lines, forks = lines.unionByName(more), forks.unionByName(staged(_forks(more), "forks"))
+    rows, changes, threads = sync_rollouts(lines, cursors, now, forks=forks)
     tried = staged(threads, "rollout-threads")
     held = C.pending_rows(tried, files)
     left = pending.join(tried.select("file_path"), "file_path", "left_anti")
